@@ -1,0 +1,70 @@
+"""The flagship job: files and stored model answers to gated, priced and merged review runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from reviewlake.operators import merge, responses, rules, scoring
+from reviewlake.operators.metrics import token_cost
+from reviewlake.operators.validation import valid_files
+
+KEYS = ("run_id", "path")
+# Positions within one answer stay far below this, so answer id and position make one ordinal.
+ANSWER_SPAN = 1_000_000
+
+
+def model_issues(answers: DataFrame) -> DataFrame:
+    """Issues of all answers of a file in order, with one whole-number ordinal per file."""
+    parsed = responses.parse_findings(answers, keys=("run_id", "path", "response_id"))
+    return parsed.withColumn("ordinal", F.col("response_id") * ANSWER_SPAN + F.col("pos")).drop("response_id", "pos")
+
+
+def _findings(files: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reviewed files, rule findings, model findings of those files)."""
+    reviewed = valid_files(files)
+    found = model_issues(answers).join(reviewed.select(*KEYS).distinct(), list(KEYS), "left_semi")
+    return reviewed, rules.rule_scan(reviewed, keys=KEYS), found
+
+
+def _runs(files: DataFrame, rule_findings: DataFrame, own: DataFrame, usage: DataFrame, pricing: DataFrame) -> DataFrame:
+    # Files that are skipped still count as reviewed.
+    gates = scoring.pr_gate(files, rule_findings, own).where(F.col("files_reviewed") > 0)
+    spent = {c: F.coalesce(c, F.lit(0)) for c in ("input_tokens", "output_tokens", "cost_usd")}
+    return gates.join(token_cost(usage, pricing), "run_id", "left").withColumns(spent).withColumn(
+        "total_tokens", F.col("input_tokens") + F.col("output_tokens")
+    )
+
+
+def review_runs(files: DataFrame, answers: DataFrame, usage: DataFrame, pricing: DataFrame) -> DataFrame:
+    """One row per run: counts, gate, status, tokens and cost."""
+    _, rule_findings, found = _findings(files, answers)
+    return _runs(files, rule_findings, merge.llm_findings_exact(rule_findings, found), usage, pricing)
+
+
+def review_run(files: DataFrame, answers: DataFrame, usage: DataFrame, pricing: DataFrame) -> dict[str, DataFrame]:
+    """All outputs of a review as tables.
+
+    ``runs``: see :func:`review_runs`.  ``validation_failures`` and ``llm_findings``: flat findings.
+    ``merged``: issues after the greedy merge.  ``files``: counts per file.  Lists stay tables, so a
+    run or file of any size stays distributed.  The findings feed several outputs: write or
+    checkpoint them first when more than one output is needed.
+    """
+    reviewed, rule_findings, found = _findings(files, answers)
+    own = merge.llm_findings_exact(rule_findings, found)
+    return {
+        "runs": _runs(files, rule_findings, own, usage, pricing),
+        "validation_failures": rule_findings,
+        "llm_findings": own,
+        "merged": merge.merge_findings(rule_findings, found),
+        "files": scoring.per_file_counts(reviewed, rule_findings, own),
+    }
+
+
+def training_records(runs: DataFrame, prompts: DataFrame | None = None, template_version: str = "1.0") -> DataFrame:
+    """Record columns of a finished run, for ``insert_first``."""
+    out = runs.withColumns({
+        "schema_version": F.lit("1.0"), "prompt_template_version": F.lit(template_version),
+        "model_version": F.col("model"), "source": F.lit("pipeline"),
+    })
+    return out if prompts is None else out.join(prompts, "run_id", "left")
