@@ -244,7 +244,7 @@ def report_pr_comment(results: DataFrame, scores: DataFrame, top: int = 10) -> D
         table = [F.lit("| Category | Score |"), F.lit("|----------|-------|"),
                  *[F.concat(F.lit(f"| {n} | "), _text(F.col(c)), F.lit(" |")) for c, n in have], F.lit("")]
     head = F.array(
-        F.lit("## Code Review Results"), F.lit(""),
+        F.lit("## AI Code Review Results"), F.lit(""),
         F.concat(F.lit("**Overall Score: "), F.coalesce(_text(F.col("overall_score")), F.lit("N/A")), F.lit("/100** "),
                  F.when(passed, "✅ Passed").otherwise("❌ Failed")),
         F.lit(""), *table,

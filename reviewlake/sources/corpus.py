@@ -190,6 +190,46 @@ SELECT event_id,
            '"}}}}')
   END AS body
 FROM {events}""",
+    # Stored runs with their nested columns as JSON text, some of it broken.
+    "stored_runs": """
+SELECT concat('run-', CAST(o_orderkey AS STRING)) AS run_id,
+  concat('org/repo-', CAST(o_custkey % 20 AS STRING)) AS repository,
+  concat('wf-', CAST(o_orderkey AS STRING)) AS workflow_run_id,
+  CASE WHEN o_orderstatus = 'F' THEN 'fail' ELSE 'pass' END AS gate_status,
+  CASE o_orderstatus WHEN 'F' THEN 'failure' WHEN 'P' THEN 'partial' ELSE 'success' END AS status,
+  CASE WHEN o_orderkey % 7 = 0 THEN '[{{"severity": ' WHEN o_orderkey % 5 = 0 THEN NULL
+       ELSE concat('[{{"severity": "high", "message": "m', CAST(o_custkey AS STRING), '", "line_number": 3}}]') END
+    AS validation_failures,
+  '[{{"severity": "low", "message": "a"}}, {{"severity": "info", "message": "b"}}]' AS llm_findings,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'n/a' ELSE concat('{{"critical": ', CAST(o_orderkey % 3 AS STRING),
+       ', "high": 1, "medium": 0, "low": 1, "info": 1}}') END AS severity_distribution,
+  o_orderkey % 9 AS total_issues, o_custkey % 900 AS latency_ms, o_orderdate AS ts,
+  CASE WHEN o_custkey % 4 = 0 THEN NULL WHEN o_custkey % 3 = 0 THEN 'ide' ELSE 'application' END AS source
+FROM {orders}""",
+    # Several writes per run: one per order, keyed by customer.
+    "run_writes": """
+SELECT concat('run-', CAST(o_custkey AS STRING)) AS run_id, o_orderkey AS ingest_seq,
+  o_orderstatus AS status, o_orderkey % 9 AS total_issues
+FROM {orders}""",
+    # Editor and web runs, one per event.
+    "ide_runs": """
+SELECT concat('ide-', CAST(event_id AS STRING)) AS run_id,
+  CASE event_id % 3 WHEN 0 THEN 'application' WHEN 1 THEN 'ide' ELSE NULL END AS source,
+  CASE WHEN event_id % 4 = 0 THEN concat(' user-', CAST(user_id AS STRING), ' ') WHEN event_id % 4 = 1 THEN ' '
+       ELSE NULL END AS user_id,
+  CASE WHEN event_id % 5 = 0 THEN concat('org/repo-', CAST(user_id % 20 AS STRING)) ELSE NULL END AS repository,
+  CASE WHEN event_id % 7 = 0 THEN 'proj-1' ELSE NULL END AS project_id,
+  CASE event_id % 4 WHEN 0 THEN 'pyspark' WHEN 1 THEN 'sql' WHEN 2 THEN 'scala' ELSE 'terraform' END AS language
+FROM {events}""",
+    # Review requests: the runs of the files, a few without repository or files.
+    "review_requests": """
+SELECT DISTINCT run_id,
+  CASE WHEN length(run_id) = 5 THEN NULL ELSE concat('org/', run_id) END AS repository,
+  CASE WHEN run_id LIKE '%7' THEN '' ELSE concat('wf-', run_id) END AS workflow_run_id
+FROM {source_files}
+UNION ALL
+SELECT DISTINCT concat('empty-', CAST(o_custkey AS STRING)) AS run_id, 'org/x' AS repository, 'wf' AS workflow_run_id
+FROM {orders}""",
     # Review results as the command line tool stores them, one per order.
     "review_results": """
 SELECT concat('wf-', CAST(o_orderkey AS STRING)) AS workflow_run_id,
@@ -219,13 +259,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in _references(sql)})
 
 
-def oracle(body: str) -> str:
+def oracle(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with the views it names in braces, as common table expressions."""
     order: list[str] = []
+    known = {**VIEWS, **(extra or {})}
 
     def visit(name: str) -> None:
-        if name in VIEWS and name not in order:
-            for n in _references(VIEWS[name]):
+        if name in known and name not in order:
+            for n in _references(known[name]):
                 visit(n)
             order.append(name)
 
@@ -235,7 +276,7 @@ def oracle(body: str) -> str:
     def plain(sql: str) -> str:
         return _NAME.sub(r"\1", sql).replace("{{", "{").replace("}}", "}")
 
-    views = [f"{name} AS ({plain(VIEWS[name])})" for name in order]
+    views = [f"{name} AS ({plain(known[name])})" for name in order]
     text = plain(body).strip()
     if not views:
         return text
