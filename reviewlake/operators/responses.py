@@ -46,23 +46,31 @@ def json_text(text: Column) -> Column:
 def _parse(df: DataFrame, schema: str, strip_code: bool) -> DataFrame:
     """Add ``doc``: the answer as a struct, after up to two repairs; NULL when unreadable.
 
-    Every attempt is its own projection, so a parsed struct is never parsed again for each of
-    its fields, and a repair only runs on rows that need it.
+    ``coalesce`` stops at the first readable attempt, so a repair only runs on rows that need it.
+    Each attempt is named once (the test is a filter over a one-element array), which keeps the
+    expression small when the optimizer moves it.
     """
 
-    def readable(doc: Column) -> Column:
-        return doc.isNotNull() & doc["_bad"].isNull()
+    def attempt(text: Column, options: dict) -> Column:
+        parsed = F.array(F.from_json(text, schema, options))
+        return F.get(F.filter(parsed, lambda doc: doc.isNotNull() & doc["_bad"].isNull()), F.lit(0))
 
-    repaired = F.regexp_replace("_json", _TRAILING_COMMA, "$1")
-    attempts = [(repaired, _RELAXED)]
+    text = F.col("_json")
+    repaired = F.regexp_replace(text, _TRAILING_COMMA, "$1")
+    attempts = [attempt(text, _STRICT), attempt(repaired, _RELAXED)]
     if strip_code:
-        attempts.append((F.regexp_replace(repaired, _REFACTORED, ""), _RELAXED))
-    out = df.withColumn("_json", json_text(F.col("response_text"))).withColumn(
-        "doc", F.from_json("_json", schema, _STRICT)
-    )
-    for text, options in attempts:
-        out = out.withColumn("doc", F.when(readable(F.col("doc")), F.col("doc")).otherwise(F.from_json(text, schema, options)))
-    return out.withColumn("doc", F.when(readable(F.col("doc")), F.col("doc"))).drop("_json")
+        attempts.append(attempt(F.regexp_replace(repaired, _REFACTORED, ""), _RELAXED))
+    return df.withColumn("_json", json_text(F.col("response_text"))).withColumn("doc", F.coalesce(*attempts)).drop("_json")
+
+
+def _exploded(df: DataFrame, column: str, position: str, item: str, keep: list) -> DataFrame:
+    """One row per array element.
+
+    The outer form plus a test of the position: the inner form makes the optimizer infer a
+    "not empty" filter that would parse every answer a second time.
+    """
+    rows = df.select(*keep, F.posexplode_outer(column).alias(position, item))
+    return rows.where(F.col(position).isNotNull())
 
 
 def _issue_columns(issue: str) -> list[Column]:
@@ -80,7 +88,7 @@ def _issue_columns(issue: str) -> list[Column]:
 def parse_findings(responses: DataFrame, keys: tuple[str, ...] = ("path", "response_id")) -> DataFrame:
     """Issues of each answer, in order (``pos`` from 0).  Unreadable answers give no rows."""
     parsed = _parse(responses, REVIEW_SCHEMA, strip_code=False)
-    return parsed.select(*keys, F.posexplode("doc.issues").alias("pos", "issue")).select(
+    return _exploded(parsed, "doc.issues", "pos", "issue", list(keys)).select(
         *keys, "pos", *_issue_columns("issue")
     )
 
@@ -103,13 +111,12 @@ def parse_review(responses: DataFrame, keys: tuple[str, ...] = ("path", "respons
 def parse_batch_response(responses: DataFrame, keys: tuple[str, ...] = ("run_id", "response_id")) -> dict[str, DataFrame]:
     """Batch answers as three tables: ``files``, ``issues`` and ``cross_file`` (plus advice in ``notes``)."""
     parsed = _parse(responses, BATCH_SCHEMA, strip_code=False)
-    files = parsed.select(*keys, F.posexplode("doc.files").alias("file_pos", "file"))
+    files = _exploded(parsed, "doc.files", "file_pos", "file", list(keys))
     score = F.expr("try_cast(file.score AS double)")
     none = F.array().cast("array<string>")
-    issues = files.select(
-        *keys, "file_pos", F.col("file.path").alias("path"), F.posexplode("file.issues").alias("pos", "issue")
-    ).select(*keys, "file_pos", "path", "pos", *_issue_columns("issue"))
-    cross = parsed.select(*keys, F.posexplode("doc.crossFileIssues").alias("pos", "issue")).select(
+    kept = [*keys, "file_pos", F.col("file.path").alias("path")]
+    issues = _exploded(files, "file.issues", "pos", "issue", kept).select(*keys, "file_pos", "path", "pos", *_issue_columns("issue"))
+    cross = _exploded(parsed, "doc.crossFileIssues", "pos", "issue", list(keys)).select(
         *keys, "pos", "issue.severity", "issue.category", "issue.message", "issue.suggestion", "issue.affectedFiles"
     )
 
