@@ -9,6 +9,7 @@ from reviewlake.functions.jsnum import share_pct
 from reviewlake.operators.filters import matching
 from reviewlake.operators.skew import CHUNK, nested
 from reviewlake.operators.validation import ACTIONS, CHANNELS
+from reviewlake.session import local_table
 
 # Label classes and page sizes.
 LABELS = ("correct", "false_positive", "false_negative", "partial")
@@ -154,7 +155,7 @@ def training_stats_totals(records: DataFrame, labels: DataFrame, feedback: DataF
 def _distribution(df: DataFrame, column: str, domain: tuple[str, ...], total: DataFrame | None = None) -> DataFrame:
     """Counts and shares per value: every domain value has a row, other values keep theirs."""
     counts = df.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("cnt"))
-    keys = df.sparkSession.createDataFrame([(k,) for k in domain], "key string")
+    keys = local_table(df.sparkSession, [(k,) for k in domain], "key string")
     filled = keys.join(counts, "key", "full_outer").select("key", F.coalesce("cnt", F.lit(0)).alias("cnt"))
     # The rows are one per distinct value, so this window is over a handful of rows.
     whole = F.sum("cnt").over(Window.partitionBy())

@@ -16,11 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.similarity import features, is_similar
-from reviewlake.operators.skew import CHUNK, first_rows
+from reviewlake.operators.skew import CHUNK, SALTS, first_rows
 from reviewlake.session import cut_lineage
 
 KEYS = ("run_id", "path")
-_SPREAD = 64
 
 
 def _candidates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,14 +104,15 @@ def _small_files(rules: DataFrame, models: DataFrame, keys: list[str]) -> DataFr
 
 
 def _attach(rest: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """Give every open finding the first similar one of the ``known`` array of its file, if any.
+    """Give every open finding after ``last`` the first similar one of the ``known`` array, if any.
 
     ``known`` has one bounded array per file.  The rows of a large file are spread over salted
     copies of that array, so the file is not pulled into one task.
     """
-    salted = rest.withColumn("salt", F.pmod(F.xxhash64("ordinal"), F.lit(_SPREAD)))
-    copies = known.withColumn("salt", F.explode(F.expr(f"sequence(0L, {_SPREAD - 1}L)")))
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("ordinal"), F.lit(SALTS)))
+    copies = known.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     found = salted.join(copies, [*keys, "salt"], "left").drop("salt")
+    found = found.where(F.col("last").isNull() | (F.col("ordinal") > F.col("last"))).drop("last")
     return found.withColumn("hit", F.when(
         F.col("known").isNotNull(), _first_similar(F.col("known"), F.struct("f"))
     )).drop("known")
@@ -145,7 +145,9 @@ def _large_files(rules: DataFrame, models: DataFrame, keys: list[str], block: in
 
     while not seeds.isEmpty():
         head = cut_lineage(first_rows(seeds, keys, [F.col("ordinal")], block))
-        settle(head.groupBy(*keys).agg(F.array_sort(F.collect_list(_item(0))).alias("known")))
+        settle(head.groupBy(*keys).agg(
+            F.array_sort(F.collect_list(_item(0))).alias("known"), F.lit(None).cast("long").alias("last")
+        ))
         seeds = cut_lineage(seeds.join(head.select(*keys, "ordinal"), [*keys, "ordinal"], "left_anti"))
 
     while not rest.isEmpty():
@@ -154,13 +156,12 @@ def _large_files(rules: DataFrame, models: DataFrame, keys: list[str], block: in
         nothing = F.filter("models", lambda x: F.lit(False))
         folded = cut_lineage(arrays.select(*keys, "models", _fold(nothing, F.col("models")).alias("out")))
         parts.append(folded.select(*keys, F.inline("out")))
-        last = folded.select(*keys, F.array_max(F.transform("out", lambda o: o["ordinal"])).alias("last"))
-        fresh = folded.select(*keys, F.filter("models", lambda m: F.exists(
-            F.col("out"), lambda o: (o["ordinal"] == m["ordinal"]) & (o["target"] == o["ordinal"])
-        )).alias("known"))
-        # At most one row per large file on the right; a plain join, so Spark checks the size itself.
-        rest = rest.join(last, keys).where(F.col("ordinal") > F.col("last")).drop("last")
-        settle(fresh)
+        kept = F.transform(F.filter("out", lambda o: o["target"] == o["ordinal"]), lambda o: o["ordinal"])
+        settle(folded.select(
+            *keys,
+            F.filter("models", lambda m: F.array_contains(kept, m["ordinal"])).alias("known"),
+            F.array_max(F.transform("out", lambda o: o["ordinal"])).alias("last"),
+        ))
 
     result = parts[0]
     for part in parts[1:]:

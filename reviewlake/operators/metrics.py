@@ -6,17 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.jsnum import exact_sum, half_up, round_micro, total
+from reviewlake.session import local_table
 
 # Where a run can come from.
 SOURCES = ("pipeline", "application", "ide")
 
 
-def token_cost(runs: DataFrame, pricing: DataFrame, longest_prefix: bool = False) -> DataFrame:
+Prices = list[tuple[int, str, float, float]]
+
+
+def _listed_price(prices: Prices) -> tuple[Column, Column]:
+    """Input and output price of ``model`` from a constant list, as expressions over one CASE."""
+    model = F.col("model")
+    row = F.when(model.isNull(), F.lit(None).cast("int"))
+    for position, (_, key, _, _) in enumerate(prices):
+        row = row.when(model == key, position)
+    for position, (_, key, _, _) in enumerate(prices):
+        row = row.when(model.startswith(key), position)
+    return (F.get(F.array(*[F.lit(float(p[2])) for p in prices]), row),
+            F.get(F.array(*[F.lit(float(p[3])) for p in prices]), row))
+
+
+def _cost(price_in: Column, price_out: Column) -> Column:
+    usd = (F.coalesce("input_tokens", F.lit(0)) / F.lit(1e6) * price_in
+           + F.coalesce("output_tokens", F.lit(0)) / F.lit(1e6) * price_out)
+    return F.coalesce(round_micro(usd), F.lit(0.0)).alias("cost_usd")
+
+
+def token_cost(runs: DataFrame, pricing: DataFrame | Prices, longest_prefix: bool = False) -> DataFrame:
     """Add ``cost_usd``: exact model match, else the first price key that is a prefix; unknown is free.
 
-    Only the distinct model names meet the price list (a handful of rows after partial
+    A price list given as rows becomes part of the projection: no join, no shuffle, and it works on
+    streams.  For a price table only the distinct model names meet the price list (a handful of rows after partial
     aggregation); the runs then join their model's price by equality.
     """
+    if isinstance(pricing, list):
+        ranked = sorted(pricing, key=lambda p: -len(p[1])) if longest_prefix else pricing
+        return runs.select("*", _cost(*_listed_price(ranked)))
     order = -F.length("model_key") if longest_prefix else F.col("ordinal")
     preference = F.struct(F.when(F.col("model") == F.col("model_key"), 0).otherwise(1), order)
     resolved = (
@@ -26,12 +52,8 @@ def token_cost(runs: DataFrame, pricing: DataFrame, longest_prefix: bool = False
         .agg(F.min_by(F.struct("input_per_m", "output_per_m"), preference).alias("price"))
         .select("model", "price.input_per_m", "price.output_per_m")
     )
-    usd = (
-        F.coalesce("input_tokens", F.lit(0)) / F.lit(1e6) * F.col("input_per_m")
-        + F.coalesce("output_tokens", F.lit(0)) / F.lit(1e6) * F.col("output_per_m")
-    )
     priced = runs.join(resolved, "model", "left")
-    return priced.select(*runs.columns, F.coalesce(round_micro(usd), F.lit(0.0)).alias("cost_usd"))
+    return priced.select(*runs.columns, _cost(F.col("input_per_m"), F.col("output_per_m")))
 
 
 def _measures() -> list[Column]:
@@ -98,7 +120,7 @@ def metrics_summary(runs: DataFrame) -> DataFrame:
 def metrics_by_source(runs: DataFrame) -> DataFrame:
     """The summary per source; a source without runs keeps a row of zeros."""
     groups = runs.groupBy("source", "repository", "project_id").agg(*_measures())
-    domain = runs.sparkSession.createDataFrame([(s,) for s in SOURCES], "source string")
+    domain = local_table(runs.sparkSession, [(s,) for s in SOURCES], "source string")
     filled = domain.join(_totals(groups, ["source"]), "source", "left")
     zeros = {c: F.coalesce(c, F.lit(0)) for c in (*_ADDITIVE, "repositories", "projects")}
     return filled.withColumns(zeros).select("source", *_summary_columns())

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlake.session import cut_lineage
+
 CHUNK = 10_000
+SALTS = 64
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -45,15 +48,23 @@ def nested(
     A group of up to ``chunk`` rows gives one row (``part`` 0 of 1).  A larger group gives several
     rows: its items are spread by hash, so no task ever holds the whole group, and the
     concatenation of the parts is the group.
+
+    The group sizes are counted first (keys only, combined before the shuffle).  Without a large
+    group the plan is one aggregation.  Otherwise the part counts are joined over salted copies and
+    the rows are shuffled by (group, part).
     """
-    sizes = (
-        df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > chunk)
-        .select(*keys, F.ceil(F.col("_rows") / chunk).cast("int").alias("_parts"))
-    )
+    collected = F.sort_array(F.collect_list(item)).alias(name)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > chunk)
+    large = cut_lineage(sizes.select(*keys, F.ceil(F.col("_rows") / chunk).cast("int").alias("_parts")))
+    if large.isEmpty():
+        grouped = df.groupBy(*keys).agg(collected)
+        return grouped.select(*keys, F.lit(0).alias("part"), F.lit(1).alias("parts"), name)
+    copies = large.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
     spread = (
-        df.join(sizes, keys, "left")
+        df.withColumn("_hash", F.xxhash64(*spread_by))
+        .withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
+        .join(copies, [*keys, "_salt"], "left")
         .withColumn("parts", F.coalesce("_parts", F.lit(1)))
-        .withColumn("part", F.pmod(F.xxhash64(*spread_by), F.col("parts")).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("_hash"), F.col("parts")).cast("int"))
     )
-    return spread.groupBy(*keys, "part", "parts").agg(F.sort_array(F.collect_list(item)).alias(name))
+    return spread.groupBy(*keys, "part", "parts").agg(collected)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.jsnum import is_blank
-from reviewlake.operators.metrics import token_cost
+from reviewlake.operators.metrics import Prices, token_cost
 
 # Allowed states.
 STATUSES = ("success", "failure", "partial")
@@ -69,7 +69,7 @@ def validate_feedback(df: DataFrame, records: DataFrame) -> tuple[DataFrame, Dat
     return _split(check_feedback(df, records))
 
 
-def normalise_metrics(df: DataFrame, pricing: DataFrame) -> DataFrame:
+def normalise_metrics(df: DataFrame, pricing: DataFrame | Prices) -> DataFrame:
     """Defaults: counters 0, status success, source pipeline, total = in + out, cost from the price list."""
     counters = ["request_count", "input_tokens", "output_tokens", "latency_ms", "files_reviewed", "issues_found",
                 "critical_count", "high_count"]

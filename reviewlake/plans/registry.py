@@ -20,7 +20,7 @@ from reviewlake.operators import (
     validation,
 )
 from reviewlake.plans import oracles
-from reviewlake.session import scratch_path, spread, tune
+from reviewlake.session import cut_lineage, local_table, scratch_path, spread, tune
 from reviewlake.sources import corpus, pricing, rule_catalog, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._findings: DataFrame | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         return corpus.table(self.spark, self.sf_dir, name)
@@ -42,8 +43,8 @@ class Tables:
         return spread(corpus.table(self.spark, self.sf_dir, "source_files"))
 
     @property
-    def prices(self) -> DataFrame:
-        return pricing.scan_pricing(self.spark)
+    def prices(self) -> metrics.Prices:
+        return pricing.price_rows()
 
     @property
     def priced(self) -> DataFrame:
@@ -53,6 +54,13 @@ class Tables:
     def rule_findings(self) -> DataFrame:
         return rules.rule_scan(self.files, keys=("run_id", "file_no", "path", "language"))
 
+    @property
+    def stored_findings(self) -> DataFrame:
+        """Rule findings, stored once, for queries that use them more than once."""
+        if self._findings is None:
+            self._findings = cut_lineage(self.rule_findings)
+        return self._findings
+
     @property
     def labels(self) -> DataFrame:
         """Labels of all feedback (the given table of that name holds something else)."""
@@ -118,7 +126,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("scan_source_files", """
-SELECT lang, sum(length(text) + 1) AS chars, sum(len(string_split(text, chr(10)))) AS lines FROM {documents} GROUP BY lang""")
+SELECT lang, sum(length(text) + 1)::BIGINT AS chars, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM {documents} GROUP BY lang""")
 def _(t: Tables) -> DataFrame:
     path = t.scratch("texts")
     t.documents.select("lang", F.col("text").alias("value")).repartition("lang").write.partitionBy("lang").text(path)
@@ -200,7 +208,7 @@ SELECT run_id, max(ingest_seq) AS ingest_seq, arg_max(status, ingest_seq) AS sta
   arg_max(total_issues, ingest_seq) AS total_issues FROM {run_writes} GROUP BY run_id""")
 def _(t: Tables) -> DataFrame:
     first = F.col("status") == "F"
-    stored = sinks.upsert_last(t.run_writes.where(first).limit(0), t.run_writes.where(first))
+    stored = sinks.upsert_last(t.run_writes.where("false"), t.run_writes.where(first))
     return sinks.upsert_last(stored, t.run_writes.where(~first))
 
 
@@ -470,7 +478,7 @@ SELECT severity, message, count(*) AS findings FROM (
   FROM {rule_findings} WHERE rule_id NOT IN ('common-003', 'sql-010')) f GROUP BY severity, message""")
 def _(t: Tables) -> DataFrame:
     schema = "id string, enabled boolean, severity string, message string, deleted boolean"
-    changes = t.spark.createDataFrame([
+    changes = local_table(t.spark, [
         ("common-001", None, "high", None, False), ("scala-001", None, None, "no var please", False),
         ("common-003", False, None, None, False), ("sql-010", None, None, None, True)], schema)
     catalog = rules.apply_overrides(rule_catalog.scan_rule_catalog(t.spark), changes)
@@ -560,7 +568,7 @@ FROM {source_files} JOIN (VALUES ('custom-001', 'high', '(?i)track\\(', ['python
   ('custom-003', 'critical', '(?i)secret\\s*=|passw', ['sql', 'terraform', 'pyspark'])) c(rule_id, severity, regex, languages)
   ON list_contains(languages, language) WHERE regexp_matches(content, regex)""")
 def _(t: Tables) -> DataFrame:
-    catalog = t.spark.createDataFrame(_CUSTOM, rule_catalog.RULE_SCHEMA)
+    catalog = local_table(t.spark, _CUSTOM, rule_catalog.RULE_SCHEMA)
     return rules.rule_scan_custom(t.files, catalog).select("path", "rule_id", "severity", "line_number")
 
 
@@ -634,7 +642,7 @@ FROM {candidates} m LEFT JOIN (
   GROUP BY b.path, b.ordinal) s ON s.path = m.path AND s.ordinal = m.ordinal
 WHERE m.is_model = 1""")
 def _(t: Tables) -> DataFrame:
-    return merge.first_similar_rule(t.rule_findings, t.model_findings).select("path", "ordinal", "similar_rule", "is_similar")
+    return merge.first_similar_rule(t.stored_findings, t.model_findings).select("path", "ordinal", "similar_rule", "is_similar")
 
 
 @query("merge_findings", oracles.MERGED + """
@@ -642,7 +650,7 @@ SELECT b.path, b.is_model AS target_model, b.ordinal, b.severity, b.category, b.
   concat(b.suggestion, coalesce(n.added, '')) AS suggestion, coalesce(n.last, b.reasoning) AS reasoning, coalesce(n.attached, 0) AS merged_count
 FROM placed b LEFT JOIN notes n ON n.run_id = b.run_id AND n.path = b.path AND n.target = b.place WHERE b.place = b.target""")
 def _(t: Tables) -> DataFrame:
-    return merge.merge_findings(t.rule_findings, t.model_findings).select(
+    return merge.merge_findings(t.stored_findings, t.model_findings).select(
         "path", "target_model", "ordinal", "severity", "category", "message", "line_number", "suggestion", "reasoning", "merged_count")
 
 
@@ -653,7 +661,7 @@ SELECT b.path, b.ordinal, b.message,
   CASE WHEN n.attached > 0 THEN 'both' WHEN b.is_model = 0 THEN 'internal' ELSE 'external' END AS validation_source
 FROM placed b LEFT JOIN notes n ON n.run_id = b.run_id AND n.path = b.path AND n.target = b.place WHERE b.place = b.target""")
 def _(t: Tables) -> DataFrame:
-    return merge.merge_findings_tagged(t.rule_findings, t.model_findings).select(
+    return merge.merge_findings_tagged(t.stored_findings, t.model_findings).select(
         "path", "ordinal", "message", "suggestion", "validation_source")
 
 
@@ -669,7 +677,7 @@ SELECT k.path, k.is_model, k.ordinal, k.message,
 FROM keyed k LEFT JOIN last l ON l.path = k.path AND l.line_number IS NOT DISTINCT FROM k.line_number AND l.cat = lower(k.category)
 WHERE k.rn = 1 OR k.is_model = 0""")
 def _(t: Tables) -> DataFrame:
-    return merge.merge_batch_findings(t.rule_findings, t.model_findings, t.source_files).select(
+    return merge.merge_batch_findings(t.stored_findings, t.model_findings, t.source_files).select(
         "path", "is_model", "ordinal", "message", "reasoning", "source")
 
 

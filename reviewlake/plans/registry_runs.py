@@ -21,7 +21,7 @@ FINDING_KEYS = ["run_id", "path", "ordinal", "severity"]
 def _both(t: Tables) -> DataFrame:
     """Rule findings and model findings with one order per file."""
     columns = ["run_id", "path", "ordinal", "severity", "category", "message", "suggestion", "line_number"]
-    return t.rule_findings.select(*columns, F.lit(0).alias("is_model"), "rule_id").unionByName(
+    return t.stored_findings.select(*columns, F.lit(0).alias("is_model"), "rule_id").unionByName(
         t.model_findings.select(*columns, F.lit(1).alias("is_model"), F.lit("model").alias("rule_id")))
 
 
@@ -48,9 +48,9 @@ SELECT f.path, f.language, (SELECT count(*) FROM {rule_findings} r WHERE r.path
   coalesce(m.issues, 0) AS issues, coalesce(m.issue_order, '') AS issue_order
 FROM {source_files} f LEFT JOIN m ON m.path = f.path""")
 def _(t: Tables) -> DataFrame:
-    own = merge.llm_findings_exact(t.rule_findings, t.model_findings)
-    merged = merge.merge_findings(t.rule_findings, t.model_findings)
-    out = scoring.per_file_results(t.source_files, t.rule_findings, own, merged)
+    own = merge.llm_findings_exact(t.stored_findings, t.model_findings)
+    merged = merge.merge_findings(t.stored_findings, t.model_findings)
+    out = scoring.per_file_results(t.source_files, t.stored_findings, own, merged)
     place = F.transform("issues", lambda i: F.concat(i["target_model"].cast("string"), F.lit(":"), i["ordinal"].cast("string")))
     return out.select("path", "language", "validation_count", "llm_count", F.size("issues").alias("issues"),
                       F.array_join(place, ",").alias("issue_order"))
@@ -74,9 +74,9 @@ SELECT f.run_id, f.n AS files_reviewed, coalesce(c.total_issues, 0) AS total_iss
 FROM (SELECT run_id, count(*) AS n FROM {source_files} GROUP BY run_id) f LEFT JOIN counted c ON c.run_id = f.run_id
 LEFT JOIN broken b ON b.run_id = f.run_id""")
 def _(t: Tables) -> DataFrame:
-    own = merge.llm_findings_exact(t.rule_findings, t.model_findings)
+    own = merge.llm_findings_exact(t.stored_findings, t.model_findings)
     errors = t.source_files.where(F.length("content") > 20000).select("run_id")
-    return scoring.pr_gate(t.source_files, t.rule_findings, own, errors).select(
+    return scoring.pr_gate(t.source_files, t.stored_findings, own, errors).select(
         "run_id", "files_reviewed", "total_issues", "gate_status", "status")
 
 
@@ -483,7 +483,7 @@ WITH pieces AS (
 SELECT run_id, section, file_no, block, item, CAST(pos - 1 AS INT) AS line_no, lines[pos] AS line
 FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM pieces) p""")
 def _(t: Tables) -> DataFrame:
-    return reports.report_markdown(_summary(t), _scores(t), t.rule_findings)
+    return reports.report_markdown(_summary(t), _scores(t), t.stored_findings)
 
 
 @query("report_sarif", f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reviewlake.operators import merge, responses, rules, scoring
 from reviewlake.operators.metrics import token_cost
 from reviewlake.operators.validation import valid_files
+from reviewlake.session import cut_lineage
 
 KEYS = ("run_id", "path")
 # Positions within one answer stay far below this, so answer id and position make one ordinal.
@@ -20,11 +21,16 @@ def model_issues(answers: DataFrame) -> DataFrame:
     return parsed.withColumn("ordinal", F.col("response_id") * ANSWER_SPAN + F.col("pos")).drop("response_id", "pos")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Findings are small next to the texts: store them once instead of scanning the texts again."""
+    return cut_lineage(df)
+
+
 def _findings(files: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reviewed files, rule findings, model findings of those files)."""
     reviewed = valid_files(files)
     found = model_issues(answers).join(reviewed.select(*KEYS).distinct(), list(KEYS), "left_semi")
-    return reviewed, rules.rule_scan(reviewed, keys=KEYS), found
+    return reviewed, _stored(rules.rule_scan(reviewed, keys=KEYS)), found
 
 
 def _runs(files: DataFrame, rule_findings: DataFrame, own: DataFrame, usage: DataFrame, pricing: DataFrame) -> DataFrame:
@@ -47,10 +53,10 @@ def review_run(files: DataFrame, answers: DataFrame, usage: DataFrame, pricing:
 
     ``runs``: see :func:`review_runs`.  ``validation_failures`` and ``llm_findings``: flat findings.
     ``merged``: issues after the greedy merge.  ``files``: counts per file.  Lists stay tables, so a
-    run or file of any size stays distributed.  The findings feed several outputs: write or
-    checkpoint them first when more than one output is needed.
+    run or file of any size stays distributed.
     """
     reviewed, rule_findings, found = _findings(files, answers)
+    found = _stored(found)
     own = merge.llm_findings_exact(rule_findings, found)
     return {
         "runs": _runs(files, rule_findings, own, usage, pricing),

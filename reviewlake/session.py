@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Only settings that change results (time zone) or protect against skew.  Parallelism is left
 # to the cluster: AQE coalesces or splits shuffle partitions from the sizes it measures.
@@ -67,6 +69,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Constant rows as a local relation: Spark knows its size and joins it without a shuffle.
+
+    (A DataFrame made from a list of tuples is an RDD of unknown size to the optimizer.)
+    """
+    names = [c.strip().split()[0].strip("`") for c in schema.split(", ")]
+    fields = spark.createDataFrame([], schema).schema
+    table = pa.Table.from_pylist([dict(zip(names, row)) for row in rows], to_arrow_schema(fields))
+    return spark.createDataFrame(table)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a heavy projection over an input of few splits.
 

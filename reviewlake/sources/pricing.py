@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.session import local_table
+
 # USD per million input and output tokens.  The order matters: the first key that
 # is a prefix of a model name prices it.
 _PRICES = [
@@ -37,7 +39,7 @@ def scan_pricing(spark: SparkSession, overrides: DataFrame | None = None) -> Dat
 
     ``overrides`` has ``ordinal, model_key, input_per_m, output_per_m``.
     """
-    base = spark.createDataFrame(price_rows(), PRICE_SCHEMA)
+    base = local_table(spark, price_rows(), PRICE_SCHEMA)
     if overrides is None:
         return base
     given = overrides.select(

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.session import local_table
+
 RULE_SCHEMA = (
     "ordinal int, id string, name string, enabled boolean, `group` string, pattern string, flags string, "
     "severity string, category string, message string, suggestion string, languages array<string>"
@@ -268,7 +270,7 @@ def scan_rule_catalog(spark: SparkSession, rules: list[Rule] | None = None) -> D
          r.message, r.suggestion, list(r.languages))
         for r in rules
     ]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return local_table(spark, rows, RULE_SCHEMA)
 
 
 def scan_rule_files(spark: SparkSession, path: str) -> DataFrame:

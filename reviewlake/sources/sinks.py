@@ -82,3 +82,8 @@ def json_document(df: DataFrame) -> DataFrame:
     body = F.concat(F.lit('{"count":'), F.col("n").cast("string"), F.lit(',"data":['), F.array_join("rows", ","), F.lit("]}"))
     too_many = F.raise_error(F.lit(f"a JSON array holds at most {JSON_PAGE_ROWS} records: export as jsonl or parquet"))
     return counted.select(F.when(F.col("n") > JSON_PAGE_ROWS, too_many.cast("string")).otherwise(body).alias("value"))
+
+
+def compact(spark: SparkSession, path: str, target: str, key: str, order: list[str] | None = None) -> None:
+    """Write the current rows of a table of batches as one batch of a new table."""
+    write_batch(read_latest(spark, path, key, order), target, 0)

@@ -6,12 +6,12 @@ one partition per micro-batch (see ``write_batch``), so a replayed batch gives t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reviewlake.functions.jsnum import round_micro
 from reviewlake.operators.feedback import feedback_counts, outcome_labels
+from reviewlake.operators.metrics import Prices, token_cost
 from reviewlake.operators.validation import (
     metric_reject_reason,
     normalise_metrics,
@@ -28,7 +28,7 @@ def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_ingest_metrics(source: DataFrame, pricing: DataFrame, path: str, rejects: str, checkpoint: str,
+def stream_ingest_metrics(source: DataFrame, pricing: DataFrame | Prices, path: str, rejects: str, checkpoint: str,
                           available_now: bool = True) -> StreamingQuery:
     """Validated and completed metric rows to ``path``, rejected rows with a reason to ``rejects``.
 
@@ -83,10 +83,10 @@ def stream_webhook_feedback(source: DataFrame, records: DataFrame, path: str, ig
 
 
 def stream_metrics_windowed(source: DataFrame, path: str, checkpoint: str,
-                            prices: list[tuple[int, str, float, float]] | None = None, window: str = "1 day", lateness: str = "1 hour", available_now: bool = True) -> StreamingQuery:
+                            prices: Prices | None = None, window: str = "1 day", lateness: str = "1 hour", available_now: bool = True) -> StreamingQuery:
     """The additive summary measures per tumbling window of event time, final once the watermark has passed."""
     timed = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    priced = token_cost_stream(timed, prices or price_rows()).withWatermark("ts", lateness)
+    priced = token_cost(timed, prices or price_rows()).withWatermark("ts", lateness)
     summary = priced.groupBy(F.window("ts", window)).agg(
         F.count("*").alias("total_runs"),
         F.count_if(F.col("status") == "success").alias("success_count"),
@@ -98,25 +98,6 @@ def stream_metrics_windowed(source: DataFrame, path: str, checkpoint: str,
     return _start(summary.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, available_now)
 
 
-def token_cost_stream(source: DataFrame, prices: list[tuple[int, str, float, float]]) -> DataFrame:
-    """Cost per streaming row.
-
-    A stream cannot resolve its distinct models first, so the short price list becomes one CASE
-    expression: exact names, then prefixes in list order.
-    """
-    model = F.col("model")
-    tests = [(model == key, i, o) for _, key, i, o in prices] + [(model.startswith(key), i, o) for _, key, i, o in prices]
-
-    def price(position: int) -> Column:
-        out = F.when(model.isNull(), F.lit(0.0))
-        for test in tests:
-            out = out.when(test[0], F.lit(test[position]))
-        return out.otherwise(0.0)
-
-    usd = F.col("input_tokens") / F.lit(1e6) * price(1) + F.col("output_tokens") / F.lit(1e6) * price(2)
-    return source.withColumn("cost_usd", round_micro(usd))
-
-
 def stream_dedupe_records(source: DataFrame, path: str, checkpoint: str, lateness: str = "1 day",
                           available_now: bool = True) -> StreamingQuery:
     """First write wins per run id within the lateness bound, so the state is bounded too."""
