@@ -88,14 +88,23 @@ def assignments(
     findings are folded in one expression per file.  Larger files take the exact path of
     :func:`_large_files`, which never holds such a file in one task.
     """
-    keys = list(keys)
+    return _assign(rules, models, list(keys), fold_limit, _large_keys(rules, models, list(keys), fold_limit))
+
+
+def _large_keys(rules: DataFrame, models: DataFrame, keys: list[str], fold_limit: int) -> DataFrame | None:
+    """Files with more findings than one fold takes, or None.  Only keys are counted."""
     sizes = models.select(*keys).unionByName(rules.select(*keys)).groupBy(*keys).agg(F.count("*").alias("rows"))
     large = cut_lineage(sizes.where(F.col("rows") > fold_limit))
-    if large.isEmpty():
+    return None if large.isEmpty() else large
+
+
+def _assign(rules: DataFrame, models: DataFrame, keys: list[str], fold_limit: int, large: DataFrame | None) -> DataFrame:
+    if large is None:
         return _small_files(rules, models, keys)
     small = _small_files(rules.join(large, keys, "left_anti"), models.join(large, keys, "left_anti"), keys)
     big = _large_files(rules.join(large, keys, "left_semi"), models.join(large, keys, "left_semi"), keys, fold_limit)
-    return small.unionByName(big)
+    # The result is used twice from here on, so the fold is not run again.
+    return cut_lineage(small.unionByName(big))
 
 
 def _small_files(rules: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,33 +178,37 @@ def _large_files(rules: DataFrame, models: DataFrame, keys: list[str], block: in
     return result
 
 
-def _with_targets(rules: DataFrame, models: DataFrame, keys: list[str], fold_limit: int) -> DataFrame:
-    """All findings of both sides, each with the finding it belongs to; candidates come first."""
+def _merged(rules: DataFrame, models: DataFrame, keys: list[str], fold_limit: int) -> DataFrame:
+    """One row per merged finding and part; see :func:`_put_together`."""
+    large = _large_keys(rules, models, keys, fold_limit)
     columns = ["severity", "category", "message", "line_number", "suggestion"]
     seed = rules.select(
         *keys, F.col("ordinal").cast("long").alias("ordinal"), *columns, F.lit(None).cast("string").alias("reasoning"),
         F.lit(0).alias("target_model"), F.col("ordinal").cast("long").alias("target"), F.lit(0).alias("is_model"),
     )
     found = models.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), *columns, "reasoning").join(
-        assignments(rules, models, tuple(keys), fold_limit), [*keys, "ordinal"]
+        _assign(rules, models, keys, fold_limit, large), [*keys, "ordinal"]
     ).withColumn("is_model", F.lit(1))
-    return seed.unionByName(found)
+    return _put_together(seed.unionByName(found), keys, "\n\nAI Analysis: ", fold_limit if large is not None else None)
 
 
-def _put_together(rows: DataFrame, keys: list[str], note: str, chunk: int) -> DataFrame:
+def _put_together(rows: DataFrame, keys: list[str], note: str, chunk: int | None) -> DataFrame:
     """One row per merged finding; the notes of attached findings follow its suggestion in order.
 
-    More than ``chunk`` notes on one finding continue in further rows (``part`` 1, 2, ...), cut by
+    Without large files (``chunk`` None) no finding can have many notes.  Else more than ``chunk`` notes on one finding continue in further rows (``part`` 1, 2, ...), cut by
     ordinal range, because no single text can hold an unbounded group.
     """
     target = [*keys, "target_model", "target"]
     is_base = (F.col("is_model") == F.col("target_model")) & (F.col("ordinal") == F.col("target"))
     said = ~is_base & (F.coalesce("reasoning", F.lit("")) != "")
     marked = rows.withColumn("is_base", is_base).withColumn("said", said)
-    crowded = marked.where("said").groupBy(*target).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    parted = marked.join(crowded, target, "left").withColumn(
-        "part", F.when(F.col("n").isNull() | F.col("is_base"), 0).otherwise(F.floor(F.col("ordinal") / chunk) + 1)
-    )
+    if chunk is None:
+        parted = marked.withColumn("part", F.lit(0).cast("long"))
+    else:
+        crowded = marked.where("said").groupBy(*target).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+        parted = marked.join(crowded, target, "left").withColumn(
+            "part", F.when(F.col("n").isNull() | F.col("is_base"), 0).otherwise(F.floor(F.col("ordinal") / chunk) + 1)
+        )
     base = F.struct("severity", "category", "message", "line_number", "suggestion", "reasoning", "is_model")
     notes = F.array_sort(F.collect_list(F.when(F.col("said"), F.struct("ordinal", "reasoning"))))
     return parted.groupBy(*target, "part").agg(
@@ -214,7 +227,7 @@ def merge_findings(
     Order within a file: ``target_model``, ``target`` (rule findings first), then ``part``.
     """
     keys = list(keys)
-    merged = _put_together(_with_targets(rules, models, keys, fold_limit), keys, "\n\nAI Analysis: ", fold_limit)
+    merged = _merged(rules, models, keys, fold_limit)
     return merged.select(
         *keys, "target_model", F.col("target").alias("ordinal"), "part",
         "base.severity", "base.category", "base.message", "base.line_number",
@@ -229,7 +242,7 @@ def merge_findings_tagged(
 ) -> DataFrame:
     """The interactive variant: tags each finding internal, external or both and keeps no reasoning field."""
     keys = list(keys)
-    merged = _put_together(_with_targets(rules, models, keys, fold_limit), keys, "\n\nAI Analysis: ", fold_limit)
+    merged = _merged(rules, models, keys, fold_limit)
     own = F.col("base.reasoning")
     added = F.when(F.coalesce(own, F.lit("")) != "", F.concat(F.lit("\n\nReasoning: "), own)).otherwise("")
     return merged.select(

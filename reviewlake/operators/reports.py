@@ -138,6 +138,9 @@ def sarif_results(findings: DataFrame, cli: bool = False) -> DataFrame:
     region = F.when(F.coalesce("line_number", F.lit(0)) != 0, F.struct(F.col("line_number").alias("startLine")))
     location = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region"))
                         .alias("physicalLocation"))
+    # The id hashes every character, so it is computed once, below everything that uses it.
+    findings = findings.withColumn("rule_id", rule)
+    rule = F.col("rule_id")
     return findings.select(
         "run_id", "file_no", "path", "ordinal", rule.alias("rule_id"), "category", "message", "reasoning",
         sarif_level(F.col("severity"), cli).alias("level"),

@@ -31,14 +31,15 @@ UNREADABLE_REVIEW = "AI analysis returned non-standard format. Please try again.
 UNREADABLE_BATCH = "AI analysis returned non-standard format"
 DEFAULT_SCORE = 70
 
-_FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
+_FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
 _TRAILING_COMMA = r",\s*([\]}])"
-_REFACTORED = r',?\s*"refactoredCode"\s*:\s*"[\s\S]*?"(?=\s*[,}])'
+_REFACTORED = r'(?s),?\s*"refactoredCode"\s*:\s*".*?"(?=\s*[,}])'
 
 
 def json_text(text: Column) -> Column:
     """The first fenced block if there is one, cut to the outermost braces."""
-    body = F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCE, 1)).otherwise(text)
+    fenced = text.contains("```") & text.rlike(_FENCE)
+    body = F.when(fenced, F.regexp_extract(text, _FENCE, 1)).otherwise(text)
     braces = F.regexp_extract(body, r"(?s)\{.*\}", 0)
     return F.when(braces != "", braces).otherwise(F.trim(body))
 

@@ -42,6 +42,18 @@ class Tables:
     def files(self) -> DataFrame:
         return spread(corpus.table(self.spark, self.sf_dir, "source_files"))
 
+    @property
+    def model_findings(self) -> DataFrame:
+        return spread(corpus.table(self.spark, self.sf_dir, "model_findings"))
+
+    @property
+    def model_responses(self) -> DataFrame:
+        return spread(corpus.table(self.spark, self.sf_dir, "model_responses"))
+
+    @property
+    def batch_responses(self) -> DataFrame:
+        return spread(corpus.table(self.spark, self.sf_dir, "batch_responses"))
+
     @property
     def prices(self) -> metrics.Prices:
         return pricing.price_rows()

@@ -9,6 +9,7 @@ from reviewlake.functions.severity import precision_band, rate_band, sarif_level
 from reviewlake.operators import delta, feedback, filters, fixes, merge, metrics, prompts, reports, scoring, validation, webhook
 from reviewlake.plans import oracles, review
 from reviewlake.plans.registry import Tables, query
+from reviewlake.session import cut_lineage
 from reviewlake.sources import sinks
 from reviewlake.streaming import jobs
 
@@ -459,8 +460,8 @@ def _(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------------------------- reports
 
-def _summary(t: Tables) -> DataFrame:
-    return scoring.batch_summary(_scores(t)).withColumns({"ts": F.lit("2025-06-01T00:00:00Z"), "duration_ms": F.lit(1200)})
+def _summary(scores: DataFrame) -> DataFrame:
+    return scoring.batch_summary(scores).withColumns({"ts": F.lit("2025-06-01T00:00:00Z"), "duration_ms": F.lit(1200)})
 
 
 _ICON = "CASE severity WHEN 'critical' THEN '🔴' WHEN 'high' THEN '🟠' WHEN 'medium' THEN '🟡' WHEN 'low' THEN '🔵' ELSE 'ℹ️' END"
@@ -483,7 +484,9 @@ WITH pieces AS (
 SELECT run_id, section, file_no, block, item, CAST(pos - 1 AS INT) AS line_no, lines[pos] AS line
 FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM pieces) p""")
 def _(t: Tables) -> DataFrame:
-    return reports.report_markdown(_summary(t), _scores(t), t.stored_findings)
+    scores = cut_lineage(_scores(t))
+    summary = cut_lineage(_summary(scores))
+    return reports.report_markdown(summary, scores, t.stored_findings)
 
 
 @query("report_sarif", f"""
