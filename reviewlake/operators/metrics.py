@@ -45,9 +45,12 @@ def token_cost(runs: DataFrame, pricing: DataFrame | Prices, longest_prefix: boo
         return runs.select("*", _cost(*_listed_price(ranked)))
     order = -F.length("model_key") if longest_prefix else F.col("ordinal")
     preference = F.struct(F.when(F.col("model") == F.col("model_key"), 0).otherwise(1), order)
+    # Every prefix of the few model names, so that the join is by equality.
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("model")), lambda n: F.left("model", n)))
     resolved = (
-        runs.select("model").where(F.col("model").isNotNull()).distinct()
-        .join(pricing, F.col("model").startswith(F.col("model_key")))
+        runs.select("model").where(F.coalesce("model", F.lit("")) != "").distinct()
+        .select("model", prefixes.alias("model_key"))
+        .join(pricing, "model_key")
         .groupBy("model")
         .agg(F.min_by(F.struct("input_per_m", "output_per_m"), preference).alias("price"))
         .select("model", "price.input_per_m", "price.output_per_m")

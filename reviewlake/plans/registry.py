@@ -44,15 +44,15 @@ class Tables:
 
     @property
     def model_findings(self) -> DataFrame:
-        return spread(corpus.table(self.spark, self.sf_dir, "model_findings"))
+        return corpus.table(self.spark, self.sf_dir, "model_findings", ("events",))
 
     @property
     def model_responses(self) -> DataFrame:
-        return spread(corpus.table(self.spark, self.sf_dir, "model_responses"))
+        return corpus.table(self.spark, self.sf_dir, "model_responses", ("events",))
 
     @property
     def batch_responses(self) -> DataFrame:
-        return spread(corpus.table(self.spark, self.sf_dir, "batch_responses"))
+        return corpus.table(self.spark, self.sf_dir, "batch_responses", ("events",))
 
     @property
     def prices(self) -> metrics.Prices:

@@ -84,7 +84,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a heavy projection over an input of few splits.
 
     A large table has more splits than the cluster has cores and is returned as it is, without a
-    shuffle; only an input that would leave cores idle is redistributed.
+    shuffle; only an input that would leave cores idle is redistributed.  Meant for plain scans: their
+    number of splits is known without running anything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

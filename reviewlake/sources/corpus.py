@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlake.session import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -251,12 +253,17 @@ def _references(sql: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(sql)))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or a derived view as a DataFrame."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread_over_cores: tuple[str, ...] = ()) -> DataFrame:
+    """A given table or a derived view as a DataFrame.
+
+    ``spread_over_cores`` names given tables whose scan is redistributed when it has fewer splits
+    than there are cores (see :func:`reviewlake.session.spread`).
+    """
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(scan) if name in spread_over_cores else scan
     sql = VIEWS[name]
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in _references(sql)})
+    return spark.sql(sql, **{n: table(spark, sf_dir, n, spread_over_cores) for n in _references(sql)})
 
 
 def oracle(body: str, extra: dict[str, str] | None = None) -> str:
