@@ -19,6 +19,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when the operator above would have reused the partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Keyed stream state grows with the keys: keep it on disk instead of in executor memory.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

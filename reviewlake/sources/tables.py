@@ -60,8 +60,9 @@ def scan_source_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
-    # A file named twice is read twice; one row per path is kept.
-    return text.dropDuplicates(["path"])
+    # One path names every file once.  Several paths may overlap: then one row per file is kept,
+    # which is the only case that moves the texts.
+    return text if len(paths) == 1 else text.dropDuplicates(["path"])
 
 
 def scan_review_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
