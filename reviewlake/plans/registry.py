@@ -44,15 +44,15 @@ class Tables:
 
     @property
     def model_findings(self) -> DataFrame:
-        return corpus.table(self.spark, self.sf_dir, "model_findings", ("events",))
+        return corpus.table(self.spark, self.sf_dir, "model_findings", ("events", "documents"))
 
     @property
     def model_responses(self) -> DataFrame:
-        return corpus.table(self.spark, self.sf_dir, "model_responses", ("events",))
+        return corpus.table(self.spark, self.sf_dir, "model_responses", ("events", "documents"))
 
     @property
     def batch_responses(self) -> DataFrame:
-        return corpus.table(self.spark, self.sf_dir, "batch_responses", ("events",))
+        return corpus.table(self.spark, self.sf_dir, "batch_responses", ("events", "documents"))
 
     @property
     def prices(self) -> metrics.Prices:
