@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from reviewlake.session import scratch_path
 
@@ -61,3 +62,18 @@ def power_table(base: int, n: int) -> np.ndarray:
     out[0] = 1
     with np.errstate(over="ignore"):
         return np.multiply.accumulate(out)
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add ``name`` = 1-based rank in the whole table by ``order``, without a task that holds all rows.
+
+    Rows are sorted by ranges and written; the rank is the row's place in its range plus the sizes of the ranges before.
+    """
+    place = F.monotonically_increasing_id()  # range in the upper bits, place in the lower 33
+    laid = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place), "ranked")
+    laid = laid.withColumn("_range", F.shiftright("_place", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy("_range").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1
+    return laid.join(sizes, "_range").withColumn(name, rank).drop("_range", "_place", "_before")

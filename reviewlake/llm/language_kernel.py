@@ -32,6 +32,7 @@ VOCABULARY = 8192
 TRAIN_PER_LANGUAGE = 256
 LANDMARKS_PER_LANGUAGE = 64
 MAX_LANGUAGES = 64
+PARTS = 64
 RIDGE = 1e-2
 PIECE_CHARS = 1 << 18
 BATCH_TEXTS = 64
@@ -119,7 +120,9 @@ def learn(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", l
     top = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES)
     languages = [r.label for r in top.collect()]
     rows = rows.where(F.col("label").isin(languages)).withColumn("at", F.xxhash64(F.col("id").cast("string")))
-    chosen = first_rows(rows, ["label"], [F.col("at"), F.col("id")], TRAIN_PER_LANGUAGE)
+    rows = rows.withColumn("part", F.pmod("at", F.lit(PARTS)))  # a language may hold most rows: limit its parts first
+    order = [F.col("at"), F.col("id")]
+    chosen = first_rows(first_rows(rows, ["label", "part"], order, TRAIN_PER_LANGUAGE), ["label"], order, TRAIN_PER_LANGUAGE)
     chosen = [r.id for r in chosen.select("id").distinct().collect()]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,11 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import bpe_lexicon, language_kernel
+from reviewlake.llm import (bpe_lexicon, entropy_mix, language_kernel, minmax_dedup, pseudonyms, secret_ledger,
+                            simhash)
+from reviewlake.llm.common import stored
+from reviewlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+NEAR_BITS = 3
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -45,3 +49,70 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op1_mix_sources")
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sizes = stored(docs.select("doc_id", "source", entropy_mix.words_in(F.col("text")).alias("size")), "sizes")
+    rows = entropy_mix.mixed(sizes, F.col("source"), F.col("size"), F.col("doc_id"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op4_pseudonyms")
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pseudonyms.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "text", F.size("private").cast("long").alias("n_private"),
+                       F.array_join("private", ",").alias("kinds"))
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited, links = simhash.edited_texts(docs)
+    both = edited.select("id", "hash", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(
+        F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"))
+    both = both.select("id", "hash", "edited_sha256", "v.which", "v.text")
+    prints = simhash.fingerprints(both, ["id", "hash", "edited_sha256", "which"], "text")
+    of = lambda which, c: F.max(F.when(F.col("which") == which, F.col(c)))
+    prints = stored(prints.groupBy("id", "hash", "edited_sha256").agg(
+        of(0, "high").alias("high"), of(0, "low").alias("low"), of(1, "high").alias("high_e"), of(1, "low").alias("low_e")),
+        "fingerprints")
+    near = simhash.near_pairs(prints.select("high", "low"), radius=NEAR_BITS)
+    ends = near.select(F.explode(F.array(F.struct(F.col("high_a").alias("h"), F.col("low_a").alias("l")),
+                                         F.struct(F.col("high_b").alias("h"), F.col("low_b").alias("l")))).alias("p"))
+    counts = ends.groupBy(F.col("p.h").alias("near_h"), F.col("p.l").alias("near_l")).agg(F.count("*").alias("n_near"))
+    after = prints.select(F.col("id").alias("to_id"), F.col("hash").alias("to_hash"), F.col("high").alias("high_n"),
+                          F.col("low").alias("low_n"))
+    like = lambda h, l: simhash.likeness(F.col("high"), F.col("low"), F.col(h), F.col(l))
+    found = (
+        prints.join(links.withColumnsRenamed({"id": "k_id", "hash": "k_hash"}),
+                    F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")))
+        .join(after, F.col("next_id").eqNullSafe(F.col("to_id")) & (F.col("next_hash") == F.col("to_hash")))
+        .join(counts, (F.col("high") == F.col("near_h")) & (F.col("low") == F.col("near_l")), "left")
+        .select(F.col("id").alias("f_id"), F.col("hash").alias("f_hash"), F.col("n_chars").cast("long").alias("n_chars"),
+                "edited_sha256", simhash.hexed(F.col("high"), F.col("low")).alias("fingerprint"),
+                simhash.hexed(F.col("high_e"), F.col("low_e")).alias("edited_fingerprint"),
+                like("high_e", "low_e").alias("near_edited"), like("high_n", "low_n").alias("near_next"),
+                F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("hash") == F.col("f_hash"))).drop(
+        "f_id", "f_hash", "hash")
+
+
+@query("op7_secrets")
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = scratch_path(spark, "secret-ledger")
+    secret_ledger.create_ledger(spark, ledger)
+    secret_ledger.scan(docs, ledger)
+    rows = secret_ledger.report(docs, ledger)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *map(count, secret_ledger.BASE),
+                       F.sha2(secret_ledger.joined("spans", secret_ledger.BASE), 256).alias("base_sha256"),
+                       secret_ledger.joined("spans").alias("spans"))
