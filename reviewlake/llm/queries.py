@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.llm import (bpe_lexicon, entropy_mix, language_kernel, minmax_dedup, pseudonyms, secret_ledger,
-                            simhash)
+                            simhash, warc_archive)
 from reviewlake.llm.common import stored
 from reviewlake.session import scratch_path
 
@@ -116,3 +116,25 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *map(count, secret_ledger.BASE),
                        F.sha2(secret_ledger.joined("spans", secret_ledger.BASE), 256).alias("base_sha256"),
                        secret_ledger.joined("spans").alias("spans"))
+
+
+@query("op8_warc", """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                      sha256(coalesce(html, '')) AS payload_digest FROM pages),
+         g AS (SELECT *, CASE WHEN payload_bytes >= 100
+                              THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+           CAST(NULL AS VARCHAR) AS problem
+    FROM g""")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc_archive.write_archives(table(spark, sf_dir, "pages"), path)
+    rows = warc_archive.read_archives(spark, path)
+    whole = F.col("record_type") == "response"
+    return rows.select(
+        warc_archive.page_of(F.col("record_id")).alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", warc_archive.page_of(F.col("refers_to")).alias("refers_to"), "problem")
