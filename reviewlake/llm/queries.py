@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import (bpe_lexicon, entropy_mix, language_kernel, minmax_dedup, pseudonyms, secret_ledger,
-                            simhash, warc_archive)
+from reviewlake.llm import (bpe_lexicon, entropy_mix, language_kernel, minmax_dedup, prefix_forest, pseudonyms,
+                            secret_ledger, simhash, warc_archive)
 from reviewlake.llm.common import stored
 from reviewlake.session import scratch_path
 
@@ -138,3 +138,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type", warc_archive.page_of(F.col("refers_to")).alias("refers_to"), "problem")
+
+
+@query("op5_nearest")
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
