@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import (bpe_lexicon, entropy_mix, language_kernel, minmax_dedup, prefix_forest, pseudonyms,
+from reviewlake.llm import (bpe_lexicon, cover_dedup, entropy_mix, language_kernel, minmax_dedup, prefix_forest, pseudonyms,
                             secret_ledger, simhash, warc_archive)
 from reviewlake.llm.common import stored
 from reviewlake.session import scratch_path
@@ -143,3 +143,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_nearest")
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op9_repeats")
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cover_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
