@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reviewlake.session import scratch_path
 
 BATCH_ROWS = 512
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -19,10 +20,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, safe when executors are lost."""
+    """Write ``df`` to the shared folder and read it back: computed once, safe when executors are lost.
+
+    The shuffle files of the write are of no use after it, so Spark is asked to delete them at once.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,6 +59,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order (numpy's own function takes many times as long for large arrays)."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]])]
+
+
 def drawn(seed: int, n: int) -> np.ndarray:
     """``n`` fixed pseudo-random odd 64-bit constants."""
     with np.errstate(over="ignore"):

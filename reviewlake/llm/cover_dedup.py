@@ -5,13 +5,15 @@ all documents in order, up to LENGTH bytes.  Memory stays bounded by three steps
 
 1. Cover sample.  COVER is a difference cover modulo PERIOD: any two offsets have a shift below PERIOD that takes both onto
    sampled ones.  So two equal strings of LENGTH bytes hold the same LENGTH - PERIOD + 1 bytes at a sampled offset.  Only
-   the samples (6 of 31 suffixes) are named, dealt into buckets and sorted, which tells for each sample whether its
+   the samples (5 of 21 suffixes) are named, dealt into buckets and sorted, which tells for each sample whether its
    name also occurs in another document.
 2. Suffix buckets.  A suffix whose string holds no such sample is unique; most are, and go no further.  The others are
    dealt into buckets by their name (64 bits of LENGTH bytes); one task sorts one bucket at a time.  A tie means equal
    strings, and the smallest document of a tie keeps its copy.
 3. Each block of documents learns in one bit per sorted suffix whether an earlier block holds it, and cuts its texts.
 
+Exact copies of a smaller document are left out of all this: they go as a whole.
+
 Names are hashes: a bucket's order is that of the names, not of the alphabet, as only ties matter here.  Documents
 travel in blocks of about BLOCK_BYTES in the order of their ids; names travel sorted, as differences.
 """
@@ -26,11 +28,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import mix64, power_table, small_batches, stored, text_bytes
+from reviewlake.llm.common import distinct, mix64, power_table, small_batches, stored, text_bytes
 
 LENGTH = 50
-PERIOD = 31
-COVER = (1, 5, 11, 24, 25, 27)
+PERIOD = 21
+COVER = (3, 6, 7, 12, 14)
 BLOCK_BYTES = 2 << 20
 SAMPLE_BUCKET_BYTES = 16 << 20
 SUFFIX_BUCKET_BYTES = 8 << 20
@@ -42,15 +44,24 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 BLOCK = "block long, first long, ids array<long>, ends array<long>, data binary"
 
 
-def blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Documents in id order (null last), cut into blocks.
+def with_copies(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
+    """(id, text, copy): ``copy`` marks texts of at least ``length`` bytes that a document with a smaller id has too."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.sha2("text", 256))
+    order = F.coalesce("id", F.lit(NULL_ID))
+    firsts = rows.groupBy("digest").agg(F.min(order).alias("first"))
+    return rows.join(firsts, "digest").select(
+        "id", "text", ((order > F.col("first")) & (F.octet_length("text") >= length)).alias("copy"))
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """(id, text) rows in id order (null last), cut into blocks.
 
     A block holds whole runs of equal ids, or part of one run: so of two blocks with different first ids, all ids of one
     are smaller than those of the other.
     """
-    small_batches(docs.sparkSession)
+    small_batches(rows.sparkSession)
     order = F.col("id").asc_nulls_last()
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.repartitionByRange(order).sortWithinPartitions(order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,14 +76,14 @@ def blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 "data": pa.array([squeeze.compress(b"".join(texts))], pa.binary())})
 
         whole: list[tuple[int, list[bytes]]] = []  # runs that are complete, and the one that is coming
-        size = 0
+        size, part = 0, False  # part: the block that is coming goes on with a run that was cut
         for batch in batches:
             data, ends = text_bytes(batch.column(1))
             for k, i in enumerate(batch.column(0).to_pylist()):
                 t = data[ends[k]:ends[k + 1]].tobytes()
-                if whole and whole[-1][0] != i and size >= BLOCK_BYTES:
+                if whole and whole[-1][0] != i and (part or size >= BLOCK_BYTES):
                     yield block(whole)
-                    whole, size = [], 0
+                    whole, size, part = [], 0, False
                 elif whole and whole[-1][0] == i and size + len(t) > BLOCK_BYTES:
                     if len(whole) > 1:
                         yield block(whole[:-1])
@@ -80,7 +91,7 @@ def blocks_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                         size = sum(map(len, whole[0][1]))
                     if size + len(t) > BLOCK_BYTES:
                         yield block(whole)
-                        whole, size = [], 0
+                        whole, size, part = [], 0, True
                 if not whole or whole[-1][0] != i:
                     whole.append((i, []))
                 whole[-1][1].append(t)
@@ -139,7 +150,7 @@ class Block:
 
     def sorted_names(self, starts: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct names in order, each start's place among them, and the lowest and highest document rank of each."""
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         ordered = names[order]
         first = np.flatnonzero(np.concatenate([np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]]))
         place = np.empty(len(names), np.int64)
@@ -199,7 +210,7 @@ def _sorted_bucket(smaller: bool):
         lists = [unpack(p) for p in t["names"].to_pylist()]
         sizes = [len(x) for x in lists]
         names, first = np.concatenate(lists), np.repeat(t["first"].to_numpy(), sizes)
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         names = names[order]
         starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         runs = np.diff(np.append(starts, len(names)))
@@ -227,7 +238,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if length < PERIOD:
         raise ValueError(f"length must be at least {PERIOD}")
-    blocks = blocks_of(docs, doc_id, text)
+    rows = with_copies(docs, doc_id, text, length)
+    copies = stored(rows.where("copy").select("id", F.octet_length("text").cast("long").alias("n_bytes")), "copies")
+    blocks = blocks_of(rows.where("NOT copy").select("id", "text"))
     total = blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
     sample_lead, suffix_lead = _buckets(total, SAMPLE_BUCKET_BYTES), _buckets(total, SUFFIX_BUCKET_BYTES)
     small_batches(blocks.sparkSession, 8)
@@ -242,13 +255,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, first, b, _ in opened(batch):
-                yield _dealt(block, first, np.unique(b.sample()[1]), SAMPLE_BITS, sample_lead)
+                yield _dealt(block, first, distinct(b.sample()[1]), SAMPLE_BITS, sample_lead)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, first, b, row in opened(batch):
                 starts = b.candidates(_joined_bits(row["sampled"]))
-                yield _dealt(block, first, np.unique(b.names(starts, length)), 64, suffix_lead)
+                yield _dealt(block, first, distinct(b.names(starts, length)), 64, suffix_lead)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,5 +291,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     with_samples = blocks.join(sampled.withColumnRenamed("parts", "sampled"), "block", "left")
     names = with_samples.mapInArrow(suffixes, dealt)
     found = stored(_bits(names.groupBy("bucket").applyInArrow(_sorted_bucket(True), answer)), "suffix-bits")
-    return with_samples.join(found.withColumnRenamed("parts", "sorted"), "block", "left").mapInArrow(
-        cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    result = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+    cuts = with_samples.join(found.withColumnRenamed("parts", "sorted"), "block", "left").mapInArrow(cut, result)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    return cuts.union(copies.select(F.col("id").alias("doc_id"), "n_bytes", whole.alias("spans"), F.lit(b"").alias("kept")))

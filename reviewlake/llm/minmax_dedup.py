@@ -3,17 +3,22 @@
 A document is the set of its distinct five-word shingles.  Each of PERMUTATIONS hash functions gives two signature
 values, the minimum and the maximum over the set, so the hashes are evaluated half as often as for minima alone; both
 agree between two sets with probability equal to their Jaccard similarity, and a minimum and a maximum are slightly
-negatively correlated, which lowers the variance.  BANDS bands of ROWS values find the candidates: two sets with
-similarity 0.85 share no band with probability (1 - 0.85 ** 6) ** 30, below 1e-6.
+negatively correlated, which lowers the variance.  The values are cut into bands, and sets that agree on a whole band meet
+in a bucket.  The rows per band are the most with which two sets at the threshold share fewer than two buckets with
+probability below MISS; a set that meets others in one bucket only is taken for chance.
 
 Candidates are confirmed on the full sets.  No bucket is expanded into all its pairs:
 
 1. Documents with equal sets form one class; only classes go on.
-2. In each bucket every class is tested against the bucket's smallest class.  Confirmed links give components.
-3. Pairs of one bucket that are still in different components are tested as well; all others are already connected.
-
-So a link can only be missed if no band holds it.  The components of the links are found by rounds of large-star and
-small-star steps, each written to the checkpoint folder.
+2. A shingle that no other candidate has bounds a set's similarity to all of them.  Pairs that cannot reach the threshold
+   for their numbers of own shingles are dropped.
+3. In each bucket every class is tested against the class with the fewest own shingles, which is the likely original.
+   Confirmed links give components.
+4. Pairs that are still in different components are tested as well; all others are already connected.  A link shares a
+   shingle that at most RARE candidates have, which gives few pairs per shingle, or it shares none, and then all rare
+   shingles bound its similarity, which leaves few pairs per bucket.
+
+The components of the links are found by rounds of large-star and small-star steps, each written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -26,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.llm.common import drawn, mix64, power_table, small_batches, stored, text_bytes
+from reviewlake.llm.common import distinct, drawn, mix64, power_table, small_batches, stored, text_bytes
 from reviewlake.session import cut_lineage
 
 WORDS = 5
-PERMUTATIONS = 90
-BANDS = 30
-ROWS = 2 * PERMUTATIONS // BANDS
+PERMUTATIONS = 108
+MISS = 1e-6
+RARE = 8
 PIECE_BYTES = 1 << 20
 SETS_AT_ONCE = 2048
 #: A pair goes to the exact test if its estimated similarity is at most this far below the threshold: the estimate's
@@ -41,7 +46,7 @@ SLACK = 0.2
 
 _MULTIPLIERS = drawn(3, PERMUTATIONS)
 _SHINGLE = drawn(5, WORDS)
-_BAND = drawn(7, ROWS)
+_BAND = drawn(7, 2 * PERMUTATIONS)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -94,7 +99,7 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     at = 0
     for count in counts.tolist():
         if count >= WORDS:
-            yield np.unique(rolled[at:at + count - WORDS + 1])
+            yield distinct(rolled[at:at + count - WORDS + 1])
         elif count:
             whole = (hashes[at:at + count] * _SHINGLE[:count]).sum(dtype=np.uint64) + np.uint64(count)
             yield mix64(np.array([whole], np.uint64))
@@ -114,9 +119,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.stack([low, high], 1).reshape(-1)
 
 
-def sketches(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+def rows_per_band(percent: int) -> int:
+    """Most rows per band with which a pair at the threshold shares fewer than two bands with probability below MISS."""
+    for rows in range(2 * PERMUTATIONS, 0, -1):
+        bands, p = 2 * PERMUTATIONS // rows, (percent / 100) ** rows
+        if bands > 1 and (1 - p) ** bands + bands * p * (1 - p) ** (bands - 1) < MISS:
+            return rows
+    raise ValueError("the threshold is too low for this number of permutations")
+
+
+def sketches(docs: DataFrame, doc_id: Column, text: Column, percent: int) -> DataFrame:
     """Per row: id, hash of the text, set size, digest of the set, band keys and one byte of each signature value."""
     small_batches(docs.sparkSession)
+    height = rows_per_band(percent)
+    n_bands = 2 * PERMUTATIONS // height
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +146,8 @@ def sketches(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
                     continue
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 values = signature(s)
-                keys = (values.reshape(BANDS, ROWS) * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+                keys = values[:n_bands * height].reshape(n_bands, height) * _BAND[:height]
+                keys = keys.sum(1, dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64)
                 bands.append(mix64(keys).view(np.int64))
                 brief.append((mix64(values) >> np.uint64(56)).astype(np.uint8).tobytes())
             lists = pa.ListArray.from_arrays(
@@ -144,18 +161,43 @@ def sketches(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
         sketched, "id long, text_hash long, size long, node binary, bands array<long>, brief binary")
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: Column, text: Column,
-             percent: int) -> DataFrame:
+def _sets(classes: DataFrame, docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
+    """(node, shingles) of the classes, each from one of its texts."""
+    rows = docs.select(doc_id.alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    texts = (
+        classes.select("node", "id", "text_hash").alias("w")
+        .join(rows.alias("r"), F.col("w.id").eqNullSafe(F.col("r.id")) & (F.col("w.text_hash") == F.col("r.text_hash")))
+        .select("w.node", "r.text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(shingle_sets(batch.column(1)))
+            same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == n
+                    for s, n in zip(found, batch.column(0).to_pylist())]
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *map(len, found)]), pa.int32()),
+                pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["node", "shingles"]).filter(
+                pa.array(same, pa.bool_()))
+
+    return texts.mapInArrow(sets, "node binary, shingles array<long>").dropDuplicates(["node"])
+
+
+def _possible(a: str, b: str, percent: int, most: str = "common") -> Column:
+    """Whether two classes can reach the threshold: they share at most ``most`` of either."""
+    most = F.least(f"{a}.{most}", f"{b}.{most}")
+    return most * 100 >= (F.col(f"{a}.size") + F.col(f"{b}.size") - most) * percent
+
+
+def _similar(pairs: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class digests whose sets have 100 * intersection >= percent * union.
 
-    A first look at set sizes and signature bytes drops clear misses.  Only the sets of the other classes are built, once
-    each, from one text of the class.
+    A look at the signature bytes drops clear misses before the sets are compared.
     """
-    about = classes.select("node", "size", "brief")
+    brief = about.select("node", "brief")
     looked = (
-        pairs.join(about.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("brief").alias("brief_a")), "a")
-        .join(about.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("brief").alias("brief_b")), "b")
-        .where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
+        pairs.join(brief.select(F.col("node").alias("a"), F.col("brief").alias("brief_a")), "a")
+        .join(brief.select(F.col("node").alias("b"), F.col("brief").alias("brief_b")), "b")
         .select("a", "b", "brief_a", "brief_b"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,35 +207,17 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: Colu
                 keep = (x == y).mean(1) >= percent / 100 - SLACK
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    near = stored(looked.mapInArrow(close, "a binary, b binary"), "near-pairs")
-    nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.select("node", "id", "text_hash").join(nodes, "node", "left_semi")
-    rows = docs.select(doc_id.alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    texts = (
-        wanted.alias("w").join(rows.alias("r"), F.col("w.id").eqNullSafe(F.col("r.id"))
-                               & (F.col("w.text_hash") == F.col("r.text_hash")))
-        .select("w.node", "r.text"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column(0).to_pylist()
-            found = [s.tobytes() for s in shingle_sets(batch.column(1))]
-            same = [hashlib.blake2b(s, digest_size=16).digest() == n for s, n in zip(found, nodes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "set"]).filter(
-                pa.array(same, pa.bool_()))
-
-    full = stored(texts.mapInArrow(sets, "node binary, set binary"), "near-sets").dropDuplicates(["node"])
+    near = looked.mapInArrow(close, "a binary, b binary")
     both = (
-        near.join(full.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        .join(full.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
         .select("a", "b", "set_a", "set_b"))
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                merged = np.concatenate([x, y])
+            for x, y in zip(batch.column(2), batch.column(3)):
+                merged = np.concatenate([x.values.to_numpy(), y.values.to_numpy()])
                 merged.sort(kind="stable")
                 shared = int(np.count_nonzero(merged[1:] == merged[:-1]))
                 keep.append(100 * shared >= percent * (len(merged) - shared))
@@ -237,27 +261,48 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     * Other columns are not read, so their names cannot clash.
     """
     ids, texts = F.col(doc_id).cast("long"), F.col(text)
-    rows = stored(sketches(docs, ids, texts), "sketches")
+    rows = stored(sketches(docs, ids, texts, percent), "sketches")
     classes = stored(
         rows.where("size > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("first"),
                                                    F.first("size").alias("size"), F.first("bands").alias("bands"),
                                                    F.first("brief").alias("brief"))
         .select("node", "first.id", "first.text_hash", "size", "bands", "brief"), "classes")
-    members = classes.select("node", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    members = stored(members.join(buckets.select("key", "least"), "key"), "buckets")
-    stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_similar(stars, classes, docs, ids, texts, percent), "links")
+    keyed = classes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = stored(keyed.join(shared, "key", "left_semi"), "buckets")
+    busy = stored(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "busy")
+    sets = stored(_sets(classes.join(busy, "node", "left_semi"), docs, ids, texts), "shingle-sets")
+    postings = sets.select(F.xxhash64("node").alias("owner"), F.explode("shingles").alias("shingle"))
+    rare = stored(postings.groupBy("shingle").agg(F.count("*").cast("int").alias("n")).where(F.col("n") <= RARE), "rare-shingles")
+    held = postings.join(rare, "shingle").groupBy("owner").agg(F.count_if(F.col("n") == 1).alias("own"), F.count("*").alias("rare"))
+    about = classes.join(busy, "node", "left_semi").select("node", "size", "brief", F.xxhash64("node").alias("owner"))
+    about = stored(about.join(held, "owner", "left").select(
+        "node", "owner", "brief", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"),
+        (F.col("size") - F.coalesce("rare", F.lit(0))).alias("usual")), "class-sizes")
+    members = stored(members.join(about.drop("brief", "owner"), "node"), "members")
+    heads = members.groupBy("key").agg(F.min(F.struct((F.col("size") - F.col("common")).alias("own"), "node", "size", "common"))
+                                       .alias("h"), F.count("*").alias("n")).where("n > 1")
+    heads = heads.select("key", "h.node", "h.size", "h.common")
+    stars = members.alias("m").join(heads.alias("h"), "key").where(
+        (F.col("m.node") != F.col("h.node")) & _possible("m", "h", percent)).select(
+        F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")).distinct()
+    stars = stored(stars, "stars")
+    links = stored(_similar(stars, about, sets, percent), "links")
     roots = components(links)
-    placed = members.select("key", "node").join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, "node", "left").select(
+        "key", "node", "size", "common", "usual", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    placed = stored(placed.join(mixed.select("key"), "key"), "mixed-buckets")
-    other = placed.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    open_pairs = placed.select("key", F.col("node").alias("a"), F.col("root").alias("root_a")).join(other, "key").where(
-        "a < b and root_a <> root_b").select("a", "b").distinct()
-    open_pairs = open_pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = _similar(open_pairs, classes, docs, ids, texts, percent)
+    placed = stored(placed.join(mixed.select("key"), "key", "left_semi"), "mixed-buckets")
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    nodes = (F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    by_bucket = placed.alias("x").join(
+        placed.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & _possible("x", "y", percent, "usual")).select(*nodes)
+    shown = placed.select("node", "size", "common", "root").distinct().withColumn("owner", F.xxhash64("node"))
+    shown = stored(postings.join(rare.where("n > 1").select("shingle"), "shingle").join(shown, "owner").drop("owner"), "rare-postings")
+    by_shingle = shown.alias("x").join(
+        shown.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & apart & _possible("x", "y", percent)).select(*nodes)
+    open_pairs = by_bucket.union(by_shingle).distinct()
+    more = _similar(open_pairs.join(stars, ["a", "b"], "left_anti"), about, sets, percent)
     roots = components(links.union(stored(more, "links")))
     placed = classes.select("node", "id").join(roots, "node", "left").select(
         "node", "id", F.coalesce("root", "node").alias("root"))
