@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.similarity import features, is_similar
-from reviewlake.operators.skew import CHUNK, SALTS, first_rows
+from reviewlake.operators.skew import CHUNK, first_rows
 from reviewlake.session import cut_lineage
 
 KEYS = ("run_id", "path")
@@ -115,12 +115,14 @@ def _small_files(rules: DataFrame, models: DataFrame, keys: list[str]) -> DataFr
 def _attach(rest: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Give every open finding after ``last`` the first similar one of the ``known`` array, if any.
 
-    ``known`` has one bounded array per file.  The rows of a large file are spread over salted
-    copies of that array, so the file is not pulled into one task.
+    ``known`` has one bounded array per file.  The rows of a large file are spread over copies of that array, one for
+    each CHUNK rows, so the file is not pulled into one task.
     """
-    salted = rest.withColumn("salt", F.pmod(F.xxhash64("ordinal"), F.lit(SALTS)))
-    copies = known.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    found = salted.join(copies, [*keys, "salt"], "left").drop("salt")
+    copies = rest.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).alias("copies")).join(known, keys)
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    spread = rest.join(copies.select(*keys, "copies").distinct(), keys, "left")
+    salted = spread.withColumn("salt", F.pmod(F.xxhash64("ordinal"), F.coalesce("copies", F.lit(1)))).drop("copies")
+    found = salted.join(copies.drop("copies"), [*keys, "salt"], "left").drop("salt")
     found = found.where(F.col("last").isNull() | (F.col("ordinal") > F.col("last"))).drop("last")
     return found.withColumn("hit", F.when(
         F.col("known").isNotNull(), _first_similar(F.col("known"), F.struct("f"))
@@ -179,39 +181,27 @@ def _large_files(rules: DataFrame, models: DataFrame, keys: list[str], block: in
 
 
 def _merged(rules: DataFrame, models: DataFrame, keys: list[str], fold_limit: int) -> DataFrame:
-    """One row per merged finding and part; see :func:`_put_together`."""
-    large = _large_keys(rules, models, keys, fold_limit)
+    """One row per merged finding; see :func:`_put_together`."""
     columns = ["severity", "category", "message", "line_number", "suggestion"]
     seed = rules.select(
         *keys, F.col("ordinal").cast("long").alias("ordinal"), *columns, F.lit(None).cast("string").alias("reasoning"),
         F.lit(0).alias("target_model"), F.col("ordinal").cast("long").alias("target"), F.lit(0).alias("is_model"),
     )
     found = models.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), *columns, "reasoning").join(
-        _assign(rules, models, keys, fold_limit, large), [*keys, "ordinal"]
+        assignments(rules, models, tuple(keys), fold_limit), [*keys, "ordinal"]
     ).withColumn("is_model", F.lit(1))
-    return _put_together(seed.unionByName(found), keys, "\n\nAI Analysis: ", fold_limit if large is not None else None)
+    return _put_together(seed.unionByName(found), keys, "\n\nAI Analysis: ")
 
 
-def _put_together(rows: DataFrame, keys: list[str], note: str, chunk: int | None) -> DataFrame:
-    """One row per merged finding; the notes of attached findings follow its suggestion in order.
-
-    Without large files (``chunk`` None) no finding can have many notes.  Else more than ``chunk`` notes on one finding continue in further rows (``part`` 1, 2, ...), cut by
-    ordinal range, because no single text can hold an unbounded group.
-    """
+def _put_together(rows: DataFrame, keys: list[str], note: str) -> DataFrame:
+    """One row per merged finding, whatever their number: the notes of attached findings follow its suggestion in order."""
     target = [*keys, "target_model", "target"]
     is_base = (F.col("is_model") == F.col("target_model")) & (F.col("ordinal") == F.col("target"))
     said = ~is_base & (F.coalesce("reasoning", F.lit("")) != "")
     marked = rows.withColumn("is_base", is_base).withColumn("said", said)
-    if chunk is None:
-        parted = marked.withColumn("part", F.lit(0).cast("long"))
-    else:
-        crowded = marked.where("said").groupBy(*target).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-        parted = marked.join(crowded, target, "left").withColumn(
-            "part", F.when(F.col("n").isNull() | F.col("is_base"), 0).otherwise(F.floor(F.col("ordinal") / chunk) + 1)
-        )
     base = F.struct("severity", "category", "message", "line_number", "suggestion", "reasoning", "is_model")
     notes = F.array_sort(F.collect_list(F.when(F.col("said"), F.struct("ordinal", "reasoning"))))
-    return parted.groupBy(*target, "part").agg(
+    return marked.groupBy(*target).agg(
         F.max(F.when(F.col("is_base"), base)).alias("base"),
         F.max_by("reasoning", F.when(F.col("said"), F.col("ordinal"))).alias("last_reasoning"),
         F.count_if(~F.col("is_base")).alias("attached"),
@@ -224,12 +214,12 @@ def merge_findings(
 ) -> DataFrame:
     """Merged findings: a similar model finding adds its reasoning to the finding it attaches to.
 
-    Order within a file: ``target_model``, ``target`` (rule findings first), then ``part``.
+    Order within a file: ``target_model``, ``ordinal`` (rule findings first).
     """
     keys = list(keys)
     merged = _merged(rules, models, keys, fold_limit)
     return merged.select(
-        *keys, "target_model", F.col("target").alias("ordinal"), "part",
+        *keys, "target_model", F.col("target").alias("ordinal"),
         "base.severity", "base.category", "base.message", "base.line_number",
         F.concat(F.coalesce("base.suggestion", F.lit("")), "notes").alias("suggestion"),
         F.coalesce("last_reasoning", "base.reasoning").alias("reasoning"),
@@ -246,7 +236,7 @@ def merge_findings_tagged(
     own = F.col("base.reasoning")
     added = F.when(F.coalesce(own, F.lit("")) != "", F.concat(F.lit("\n\nReasoning: "), own)).otherwise("")
     return merged.select(
-        *keys, "target_model", F.col("target").alias("ordinal"), "part",
+        *keys, "target_model", F.col("target").alias("ordinal"),
         "base.severity", "base.category", "base.message", "base.line_number",
         F.concat(F.coalesce("base.suggestion", F.lit("")), added, "notes").alias("suggestion"),
         F.when(F.col("attached") > 0, "both").when(F.col("base.is_model") == 0, "internal")
@@ -268,7 +258,7 @@ def merge_batch_findings(rules: DataFrame, models: DataFrame, files: DataFrame,
     known = models.join(files.select(*keys).distinct(), keys, "left_semi")
     both = seed.unionByName(
         known.select(*keys, F.lit(1).alias("is_model"), F.col("ordinal").cast("long").alias("ordinal"), *columns, "reasoning")
-    ).withColumns({"match_line": F.coalesce("line_number", F.lit(-1)), "match_category": F.lower("category")})
+    ).withColumns({"match_line": F.col("line_number"), "match_category": F.lower("category")})
     place = F.struct("is_model", "ordinal")
     groups = both.groupBy(*match).agg(
         F.min(place).alias("first"),
@@ -283,9 +273,12 @@ def merge_batch_findings(rules: DataFrame, models: DataFrame, files: DataFrame,
         F.when(attached > 0, "both").when(F.col("base.is_model") == 0, "pattern").otherwise("ai").alias("source"),
     )
     # Further rule findings with the same key stay as they are.
-    more = seed.withColumns({"match_line": F.coalesce("line_number", F.lit(-1)), "match_category": F.lower("category")}).join(
-        groups.select(*match, F.col("first.ordinal").alias("head")).where("first.is_model = 0"), match
-    ).where(F.col("ordinal") != F.col("head"))
+    first = groups.where("first.is_model = 0").select(
+        *[F.col(c).alias(f"_{c}") for c in match], F.col("first.ordinal").alias("head"))
+    same = F.col("line_number").eqNullSafe(F.col("_match_line")) & F.lower("category").eqNullSafe(F.col("_match_category"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    more = seed.join(first, same).where(F.col("ordinal") != F.col("head"))
     return heads.unionByName(more.select(*keys, "is_model", "ordinal", *columns, "reasoning", F.lit("pattern").alias("source")))
 
 

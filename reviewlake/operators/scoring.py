@@ -47,10 +47,10 @@ def per_file_counts(files: DataFrame, rules: DataFrame, models: DataFrame, keys:
 def per_file_results(files: DataFrame, rules: DataFrame, models: DataFrame, merged: DataFrame,
                      keys: tuple[str, ...] = ("run_id", "path"), chunk: int = CHUNK) -> DataFrame:
     """Per file: counts and the merged issues in order; a file with a huge list comes in parts."""
-    lists = nested(merged.withColumnRenamed("part", "note_part"), list(keys),
-                   F.struct("target_model", "ordinal", "note_part", "severity", "category", "message", "suggestion",
+    lists = nested(merged, list(keys),
+                   F.struct("target_model", "ordinal", "severity", "category", "message", "suggestion",
                             "reasoning", "line_number"),
-                   "issues", ["target_model", "ordinal", "note_part"], chunk)
+                   "issues", ["target_model", "ordinal"], chunk)
     counts = per_file_counts(files, rules, models, keys)
     empty = F.array().cast(lists.schema["issues"].dataType)
     return counts.join(lists, list(keys), "left").withColumns({
@@ -59,12 +59,16 @@ def per_file_results(files: DataFrame, rules: DataFrame, models: DataFrame, merg
 
 
 def pr_gate(files: DataFrame, rules: DataFrame, models: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """Run gate: any rule finding or a critical model finding fails.
+    """Run gate: any rule finding or a critical model finding fails; findings of files with ``errors`` do not count.
 
     Files, findings and errors become one stream of small rows with one aggregation per run; the
     map-side step reduces a run with a third of all rows to one row per task.
     """
 
+    if errors is not None and "path" in errors.columns:
+        failed_files = errors.select("run_id", "path").distinct()
+        rules, models = (df.join(failed_files, ["run_id", "path"], "left_anti") for df in (rules, models))
+
     def rows(df: DataFrame, kind: str, severity: Column) -> DataFrame:
         return df.select("run_id", F.lit(kind).alias("kind"), severity.alias("severity"))
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from reviewlake.session import cut_lineage
 
 CHUNK = 10_000
-SALTS = 64
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -40,31 +39,42 @@ def numbered(df: DataFrame, keys: list[str], ordinal: str, name: str, width: int
     )
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Add ``name`` = 1-based rank within ``keys`` by ``order``, for groups too large for one task.
+
+    Rows are sorted by ranges, so a large group spans several; a row's rank is its place in its range plus the group's
+    rows in the ranges before.  The sorted rows are written first: both sides of the join see the same places.
+    """
+    by = [F.col(c) for c in [*keys, *order]]
+    laid = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id()))
+    laid = laid.withColumn("_range", F.shiftright("_place", 33))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = laid.groupBy(*keys, "_range").agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    rank = F.col("_before") + F.col("_place") - F.col("_first") + 1
+    return laid.join(ranges, [*keys, "_range"]).withColumn(name, rank).drop("_place", "_range", "_first", "_before")
+
+
 def nested(
-    df: DataFrame, keys: list[str], item: Column, name: str, spread_by: list[str], chunk: int = CHUNK
+    df: DataFrame, keys: list[str], item: Column, name: str, order: list[str], chunk: int = CHUNK
 ) -> DataFrame:
-    """Collect ``item`` structs per group into sorted arrays of about ``chunk`` items at most.
+    """Collect ``item`` structs per group into arrays of at most ``chunk`` items, in the order of ``order``.
 
-    A group of up to ``chunk`` rows gives one row (``part`` 0 of 1).  A larger group gives several
-    rows: its items are spread by hash, so no task ever holds the whole group, and the
-    concatenation of the parts is the group.
-
-    The group sizes are counted first (keys only, combined before the shuffle).  Without a large
-    group the plan is one aggregation.  Otherwise the part counts are joined over salted copies and
-    the rows are shuffled by (group, part).
+    Rows come as (keys, ``part``, ``parts``, ``name``): part 0 holds the first ``chunk`` rows, part 1 the next, by the
+    same rule for every size, so a group's arrays, part after part, are the group in order.  Sizes are counted
+    first (keys only, combined before the shuffle): a group of one part is one aggregation; a larger one is ranked
+    over many tasks, and no task holds more than a part.
     """
-    collected = F.sort_array(F.collect_list(item)).alias(name)
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > chunk)
-    large = cut_lineage(sizes.select(*keys, F.ceil(F.col("_rows") / chunk).cast("int").alias("_parts")))
+    large = cut_lineage(sizes.select(*keys, F.ceil(F.col("_rows") / chunk).cast("int").alias("parts")))
+
+    def collected(rows: DataFrame, *by: str) -> DataFrame:
+        items = F.array_sort(F.collect_list(F.struct(place.alias("place"), item.alias("item"))))
+        return rows.groupBy(*keys, *by).agg(F.transform(items, lambda i: i["item"]).alias(name))
+
     if large.isEmpty():
-        grouped = df.groupBy(*keys).agg(collected)
-        return grouped.select(*keys, F.lit(0).alias("part"), F.lit(1).alias("parts"), name)
-    copies = large.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    spread = (
-        df.withColumn("_hash", F.xxhash64(*spread_by))
-        .withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
-        .join(copies, [*keys, "_salt"], "left")
-        .withColumn("parts", F.coalesce("_parts", F.lit(1)))
-        .withColumn("part", F.pmod(F.xxhash64("_hash"), F.col("parts")).cast("int"))
-    )
-    return spread.groupBy(*keys, "part", "parts").agg(collected)
+        return collected(df).select(*keys, F.lit(0).alias("part"), F.lit(1).alias("parts"), name)
+    small = collected(df.join(large, keys, "left_anti")).select(*keys, F.lit(0).alias("part"), F.lit(1).alias("parts"), name)
+    cut = ranked(df.join(large, keys), keys, order, "_rank").withColumn("part", F.floor((F.col("_rank") - 1) / chunk).cast("int"))
+    return small.unionByName(collected(cut, "part", "parts"))

@@ -51,7 +51,10 @@ def read_events(events: DataFrame) -> DataFrame:
 def classify_events(events: DataFrame, records: DataFrame) -> DataFrame:
     """Every post with ``record_id`` or ``ignored_reason``."""
     known = records.select("run_id", F.col("id").alias("record_id"))
-    joined = read_events(events).join(known, "run_id", "left")
+    read = read_events(events)
+    # Posts that are ignored for what they say need no record; without them no null run id is left as a hot key.
+    ignored = read.where(F.col("early_reason").isNotNull()).withColumn("record_id", F.lit(None).cast(known.schema["record_id"].dataType))
+    joined = read.where(F.col("early_reason").isNull()).join(known, "run_id", "left").unionByName(ignored)
     reason = (
         F.when(F.col("early_reason").isNotNull(), F.col("early_reason"))
         .when(F.col("record_id").isNull(), F.concat(F.lit("no training record for run "), "run_id"))
@@ -62,7 +65,11 @@ def classify_events(events: DataFrame, records: DataFrame) -> DataFrame:
 
 def webhook_feedback(events: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(gate-level feedback rows, ignored posts with their reason)."""
-    seen = classify_events(events, records)
+    return split_events(classify_events(events, records))
+
+
+def split_events(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two halves of classified posts."""
     feedback = seen.where("ignored_reason IS NULL").select(
         "event_id", "record_id", "run_id", F.lit("gate").alias("finding_type"), "action", "reason",
         F.lit("[]").alias("corrected_findings"), "reviewer_id", "feedback_channel",

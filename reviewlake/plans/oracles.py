@@ -222,17 +222,30 @@ FROM {model_findings} WHERE ordinal % 11 <> 0
 UNION ALL
 SELECT run_id, path, ordinal, 1, 'info', 'Logic', concat('also see ', suggestion), NULL, 'none', NULL
 FROM {model_findings} WHERE ordinal % 11 <> 0""",
-    # Scores over the rule findings.
+    # The batch flow: a model finding joins the first finding of its line (or of none) and category; 50 issues a file are kept.
+    "batch_issues": """
+SELECT k.run_id, k.file_no, k.path, k.is_model, k.ordinal, k.severity, k.category, k.message, k.suggestion, k.line_number,
+  CASE WHEN k.rn = 1 THEN coalesce(l.reasoning, k.reasoning) END AS reasoning, k.place
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id, path ORDER BY is_model, ordinal) AS place FROM (
+    SELECT c.* EXCLUDE (place), f.file_no, row_number() OVER (PARTITION BY c.run_id, c.path, c.line_number, lower(c.category) ORDER BY c.is_model, c.ordinal) AS rn
+    FROM {candidates} c JOIN (SELECT run_id, path, file_no FROM {source_files}) f ON f.run_id = c.run_id AND f.path = c.path) x
+  WHERE rn = 1 OR is_model = 0) k
+LEFT JOIN (
+  SELECT run_id, path, line_number, lower(category) AS cat, arg_max(reasoning, ordinal) AS reasoning FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id, path, line_number, lower(category) ORDER BY is_model, ordinal) AS rn FROM {candidates}) y
+  WHERE is_model = 1 AND rn > 1 AND reasoning <> '' GROUP BY run_id, path, line_number, lower(category)) l
+  ON l.run_id = k.run_id AND l.path = k.path AND l.line_number IS NOT DISTINCT FROM k.line_number AND l.cat = lower(k.category)
+WHERE k.place <= 50""",
+    # Scores over the kept issues.
     "scored_files": """
-SELECT f.run_id, f.file_no, f.path, f.language, count(r.rule_id) AS issues,
+SELECT f.run_id, f.file_no, f.path, f.language, count(r.path) AS issues,
   count(*) FILTER (severity = 'critical') AS critical_count, count(*) FILTER (severity = 'high') AS high_count,
   count(*) FILTER (severity = 'medium') AS medium_count, count(*) FILTER (severity = 'low') AS low_count,
   count(*) FILTER (severity = 'info') AS info_count,
   CAST(greatest(0, 100 - coalesce(sum(CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 10
        WHEN 'low' THEN 5 WHEN 'info' THEN 2 ELSE 0 END), 0)) AS BIGINT) AS score
-FROM {source_files} f LEFT JOIN
-  (SELECT *, row_number() OVER (PARTITION BY run_id, path ORDER BY is_model, ordinal) AS rn FROM {both_findings}) r
-  ON f.run_id = r.run_id AND f.path = r.path AND rn <= 50
+FROM {source_files} f LEFT JOIN {batch_issues} r ON f.run_id = r.run_id AND f.path = r.path
 GROUP BY f.run_id, f.file_no, f.path, f.language""",
     "both_findings": """
 SELECT run_id, path, 0 AS is_model, rule_id, ordinal, severity, category, message, suggestion, line_number FROM {rule_findings}

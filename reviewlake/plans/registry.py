@@ -205,14 +205,15 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("append_metrics", """
-SELECT source, count(*) AS stored, count(DISTINCT id) AS ids, sum(total_tokens)::BIGINT AS tokens FROM {run_metrics} GROUP BY source""")
+SELECT repository, workflow_run_id, ts, source, status, total_tokens, 1 AS equal_ids FROM {run_metrics}""")
 def _(t: Tables) -> DataFrame:
     path = t.scratch("metrics")
     failed = F.col("status") == "failure"
-    sinks.append_metrics(t.run_metrics.where(failed), path)
-    sinks.append_metrics(t.run_metrics.where(~failed).drop("id"), path)
-    return t.spark.read.parquet(path).groupBy("source").agg(
-        F.count("*").alias("stored"), F.count_distinct("id").alias("ids"), F.sum("total_tokens").alias("tokens"))
+    sinks.append_metrics(t.run_metrics.where(failed), path, "a")
+    sinks.append_metrics(t.run_metrics.where(~failed).drop("id"), path, "b")
+    stored = t.spark.read.parquet(path)
+    uses = stored.groupBy("id").agg(F.count("*").cast("int").alias("equal_ids"))
+    return stored.join(uses, "id").select("repository", "workflow_run_id", "ts", "source", "status", "total_tokens", "equal_ids")
 
 
 @query("upsert_run_details", """
@@ -453,12 +454,13 @@ def _(t: Tables) -> DataFrame:
 @query("severity_filter", """
 SELECT m.path, ordinal, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'information' END AS level,
   least(greatest(0, coalesce(line_number, 1) - 1), n - 1)::INT AS editor_line, concat('[', upper(severity), '] ', message) AS title
-FROM {model_findings} m JOIN (SELECT path, len(string_split(content, chr(10))) AS n FROM {source_files}) f ON f.path = m.path
+FROM {model_findings} m JOIN (SELECT run_id, path, len(string_split(content, chr(10))) AS n FROM {source_files}) f
+  ON f.run_id = m.run_id AND f.path = m.path
 WHERE severity <> 'info'""")
 def _(t: Tables) -> DataFrame:
     # Only the line count of each text is joined, not the text.
-    sizes = t.source_files.select("path", (F.regexp_count("content", F.lit("\n")) + 1).alias("line_count"))
-    return filters.severity_filter(t.model_findings.join(sizes, "path"), line_count=F.col("line_count")).select(
+    sizes = t.source_files.select("run_id", "path", (F.regexp_count("content", F.lit("\n")) + 1).alias("line_count"))
+    return filters.severity_filter(t.model_findings.join(sizes, ["run_id", "path"]), line_count=F.col("line_count")).select(
         "path", "ordinal", "level", F.col("editor_line").cast("int").alias("editor_line"), "title")
 
 

@@ -9,6 +9,7 @@ from reviewlake.functions.severity import precision_band, rate_band, sarif_level
 from reviewlake.operators import delta, feedback, filters, fixes, merge, metrics, prompts, reports, scoring, validation, webhook
 from reviewlake.plans import oracles, review
 from reviewlake.plans.registry import Tables, query
+from reviewlake.operators.skew import CHUNK
 from reviewlake.session import cut_lineage
 from reviewlake.sources import sinks
 from reviewlake.streaming import jobs
@@ -26,9 +27,14 @@ def _both(t: Tables) -> DataFrame:
         t.model_findings.select(*columns, F.lit(1).alias("is_model"), F.lit("model").alias("rule_id")))
 
 
-def _scores(t: Tables) -> DataFrame:
+def _issues(t: Tables) -> DataFrame:
+    """Issues of the batch flow: merged by line and category, the first MAX_ISSUES_PER_FILE of each file kept, in order."""
+    return review.batch_issues(t.source_files, t.stored_findings, t.model_findings)
+
+
+def _scores(t: Tables, issues: DataFrame | None = None) -> DataFrame:
     files = t.source_files.select("run_id", "file_no", "path", "language")
-    scored = scoring.file_score(files, _both(t), order=("is_model", "ordinal"))
+    scored = scoring.file_score(files, _issues(t) if issues is None else issues, order=("place",))
     return files.select("run_id", "path", "file_no").join(scored, ["run_id", "path"])
 
 
@@ -58,16 +64,17 @@ def _(t: Tables) -> DataFrame:
 
 
 _GATE = f"""
+broken_files AS (SELECT run_id, path FROM {{source_files}} WHERE length(content) > 20000),
 own AS (SELECT run_id, path, severity FROM {{model_findings}} m
-  WHERE NOT EXISTS (SELECT 1 FROM {{rule_findings}} r WHERE r.path = m.path AND r.message = m.message)),
-marks AS (SELECT run_id, 'rule' AS kind, severity FROM {{rule_findings}} UNION ALL SELECT run_id, 'model', severity FROM own),
+  WHERE NOT EXISTS (SELECT 1 FROM {{rule_findings}} r WHERE r.run_id = m.run_id AND r.path = m.path AND r.message = m.message)),
+marks AS (SELECT run_id, path, 'rule' AS kind, severity FROM {{rule_findings}} UNION ALL SELECT run_id, path, 'model', severity FROM own),
 counted AS (SELECT run_id, count(*) FILTER (kind = 'rule') AS validation_failures, count(*) FILTER (kind = 'model') AS llm_findings,
     count(*) AS total_issues, {_SEVERITY_COUNTS}, count(*) FILTER (kind = 'model' AND severity = 'critical') AS critical_models
-  FROM marks GROUP BY run_id)"""
+  FROM marks k WHERE NOT EXISTS (SELECT 1 FROM broken_files b WHERE b.run_id = k.run_id AND b.path = k.path) GROUP BY run_id)"""
 
 
 @query("pr_gate", "WITH " + _GATE + """,
-broken AS (SELECT DISTINCT run_id FROM {source_files} WHERE length(content) > 20000)
+broken AS (SELECT DISTINCT run_id FROM broken_files)
 SELECT f.run_id, f.n AS files_reviewed, coalesce(c.total_issues, 0) AS total_issues,
   CASE WHEN c.validation_failures > 0 OR c.critical_models > 0 THEN 'fail' ELSE 'pass' END AS gate_status,
   CASE WHEN b.run_id IS NOT NULL AND coalesce(c.total_issues, 0) = 0 THEN 'partial'
@@ -76,17 +83,17 @@ FROM (SELECT run_id, count(*) AS n FROM {source_files} GROUP BY run_id) f LEFT J
 LEFT JOIN broken b ON b.run_id = f.run_id""")
 def _(t: Tables) -> DataFrame:
     own = merge.llm_findings_exact(t.stored_findings, t.model_findings)
-    errors = t.source_files.where(F.length("content") > 20000).select("run_id")
+    errors = t.source_files.where(F.length("content") > 20000).select("run_id", "path")
     return scoring.pr_gate(t.source_files, t.stored_findings, own, errors).select(
         "run_id", "files_reviewed", "total_issues", "gate_status", "status")
 
 
-@query("ide_gate", f"""
-SELECT path, count(*) AS total_issues, {_SEVERITY_COUNTS},
+@query("ide_gate", oracles.MERGED + f"""
+SELECT run_id, path, count(*) AS total_issues, {_SEVERITY_COUNTS},
   CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'fail' ELSE 'pass' END AS gate_status, 'success' AS status
-FROM {{both_findings}} GROUP BY path""")
+FROM placed WHERE place = target GROUP BY run_id, path""")
 def _(t: Tables) -> DataFrame:
-    return scoring.ide_gate(_both(t), ["path"])
+    return scoring.ide_gate(merge.merge_findings(t.stored_findings, t.model_findings), ["run_id", "path"])
 
 
 @query("file_score", """
@@ -179,12 +186,12 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("top_issues", """
-SELECT run_id, place, path, ordinal, severity FROM (
-  SELECT m.run_id, m.path, m.ordinal, m.severity, row_number() OVER (PARTITION BY m.run_id ORDER BY f.file_no, m.path, m.ordinal) AS place
-  FROM {model_findings} m JOIN {source_files} f ON f.path = m.path WHERE m.severity IN ('critical', 'high')) s WHERE place <= 5""")
+SELECT run_id, place, path, is_model, ordinal, severity FROM (
+  SELECT run_id, path, is_model, ordinal, severity, row_number() OVER (PARTITION BY run_id ORDER BY file_no, path, place) AS place
+  FROM {batch_issues} WHERE severity IN ('critical', 'high')) s WHERE place <= 5""")
 def _(t: Tables) -> DataFrame:
-    numbered = t.model_findings.join(t.source_files.select("path", "file_no"), "path")
-    return filters.top_issues(numbered).select("run_id", "place", "path", "ordinal", "severity")
+    found = _issues(t).withColumnsRenamed({"ordinal": "finding", "place": "ordinal"})
+    return filters.top_issues(found).select("run_id", "place", "path", "is_model", F.col("finding").alias("ordinal"), "severity")
 
 
 _LEVELS = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' WHEN severity IN ('low', 'info') THEN 'note' ELSE 'none' END"
@@ -193,15 +200,16 @@ _LEVELS = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity
 @query("sarif_level_counts", f"""
 SELECT run_id, count(*) AS total, CAST(0 AS BIGINT) AS critical, count(*) FILTER (level = 'error') AS high,
   count(*) FILTER (level = 'warning') AS medium, count(*) FILTER (level = 'note') AS low
-FROM (SELECT run_id, {_LEVELS} AS level FROM {{model_findings}}) s GROUP BY run_id""")
+FROM (SELECT run_id, {_LEVELS} AS level FROM {{batch_issues}}) s GROUP BY run_id""")
 def _(t: Tables) -> DataFrame:
-    documents = reports.report_sarif(_numbered_models(t))
+    documents = reports.report_sarif(_listed(t))
     counts = reports.sarif_level_counts(reports.read_sarif_results(documents))
     return counts.select("run_id", "total", "critical", "high", "medium", "low")
 
 
-def _numbered_models(t: Tables) -> DataFrame:
-    return t.model_findings.join(t.source_files.select("path", "file_no"), "path")
+def _listed(t: Tables) -> DataFrame:
+    """The issues as reports list them: numbered within their file."""
+    return cut_lineage(_issues(t).drop("ordinal").withColumnRenamed("place", "ordinal"))
 
 
 @query("score_band", """
@@ -477,31 +485,33 @@ WITH pieces AS (
     concat('| Status | ', CASE WHEN pass_threshold THEN '✅ PASS' ELSE '❌ FAIL' END, ' |'), '', '## File Results', ''] AS lines FROM {{batch_totals}}
   UNION ALL SELECT run_id, 1, file_no, 0, 0, [concat('### ', path), '', concat('**Language:** ', language, ' | **Score:** ', score::STRING, '/100 | **Issues:** ', issues::STRING), ''] FROM {{scored_files}}
   UNION ALL SELECT run_id, 1, file_no, 1, 0, ['#### Issues', ''] FROM {{scored_files}} WHERE issues > 0
-  UNION ALL SELECT run_id, 1, file_no, 2, ordinal, list_filter([concat('- ', {_ICON}, ' **', upper(severity), '** (', category, '): ', message),
-      CASE WHEN line_number <> 0 THEN concat('  - Line: ', line_number::STRING) END, concat('  - Fix: ', suggestion)], lambda l: l IS NOT NULL) FROM {{rule_findings}}
+  UNION ALL SELECT run_id, 1, file_no, 2, place, list_filter([concat('- ', {_ICON}, ' **', upper(severity), '** (', category, '): ', message),
+      CASE WHEN line_number <> 0 THEN concat('  - Line: ', line_number::STRING) END, concat('  - Fix: ', suggestion)], lambda l: l IS NOT NULL) FROM {{batch_issues}}
   UNION ALL SELECT run_id, 1, file_no, 3, 0, [''] FROM {{scored_files}} WHERE issues > 0
   UNION ALL SELECT run_id, 2, -1, 0, 0, ['---', '*Generated by {reports.TOOL}*'] FROM {{batch_totals}})
 SELECT run_id, section, file_no, block, item, CAST(pos - 1 AS INT) AS line_no, lines[pos] AS line
 FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM pieces) p""")
 def _(t: Tables) -> DataFrame:
-    scores = cut_lineage(_scores(t))
-    summary = cut_lineage(_summary(scores))
-    return reports.report_markdown(summary, scores, t.stored_findings)
+    issues = cut_lineage(_issues(t))
+    scores = cut_lineage(_scores(t, issues))
+    listed = issues.drop("ordinal").withColumnRenamed("place", "ordinal")
+    return reports.report_markdown(_summary(scores), scores, listed)
 
 
 @query("report_sarif", f"""
-SELECT m.run_id, row_number() OVER (PARTITION BY m.run_id ORDER BY f.file_no, m.path, m.ordinal) - 1 AS pos, {_LEVELS} AS level, m.path AS file,
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY file_no, path, place) - 1 AS pos, {_LEVELS} AS level, path AS file,
   CASE WHEN line_number <> 0 THEN line_number END AS line, concat(message, chr(10), chr(10), 'Suggestion: ', suggestion) AS text
-FROM {{model_findings}} m JOIN {{source_files}} f ON f.path = m.path""")
+FROM {{batch_issues}}""")
 def _(t: Tables) -> DataFrame:
-    documents = reports.report_sarif(_numbered_models(t))
-    return reports.read_sarif_results(documents).select("run_id", F.col("pos").cast("long").alias("pos"), "level", "file", "line", "text")
+    documents = reports.report_sarif(_listed(t))
+    place = F.col("part").cast("long") * CHUNK + F.col("pos")
+    return reports.read_sarif_results(documents).select("run_id", place.alias("pos"), "level", "file", "line", "text")
 
 
 @query("report_pr_comment", f"""
-WITH r AS (SELECT m.run_id, row_number() OVER (PARTITION BY m.run_id ORDER BY f.file_no, m.path, m.ordinal) AS pos, {_LEVELS} AS level, m.path AS file,
+WITH r AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY file_no, path, place) AS pos, {_LEVELS} AS level, path AS file,
     line_number, concat(message, chr(10), chr(10), 'Suggestion: ', suggestion) AS text
-  FROM {{model_findings}} m JOIN {{source_files}} f ON f.path = m.path),
+  FROM {{batch_issues}}),
 c AS (SELECT run_id, count(*) AS total, count(*) FILTER (level = 'error') AS high, count(*) FILTER (level = 'warning') AS medium,
     count(*) FILTER (level = 'note') AS low,
     string_agg(concat(chr(10), '| ', CASE level WHEN 'error' THEN '🔴' WHEN 'warning' THEN '🟠' ELSE '🟡' END, ' | ', chr(96), file, ':',
@@ -515,18 +525,29 @@ SELECT s.run_id, concat('## AI Code Review Results', chr(10), chr(10), '**Overal
     CASE WHEN NOT pass_threshold THEN concat(chr(10), chr(10), '> **Build blocked:** Code quality below required threshold. Fix the issues above before merging.') ELSE '' END) AS comment
 FROM {{batch_totals}} s LEFT JOIN c ON c.run_id = s.run_id""")
 def _(t: Tables) -> DataFrame:
-    results = reports.read_sarif_results(reports.report_sarif(_numbered_models(t)))
-    scores = scoring.batch_summary(_scores(t)).select("run_id", F.col("average_score").alias("overall_score"), "pass_threshold")
+    issues = cut_lineage(_issues(t))
+    listed = issues.drop("ordinal").withColumnRenamed("place", "ordinal")
+    results = reports.read_sarif_results(reports.report_sarif(listed))
+    scores = scoring.batch_summary(_scores(t, issues)).select("run_id", F.col("average_score").alias("overall_score"), "pass_threshold")
     return reports.report_pr_comment(results, scores)
 
 
 # ---------------------------------------------------------------------------------- streams
 
-def _as_stream(t: Tables, df: DataFrame, name: str, files_per_batch: int = 1) -> DataFrame:
-    """Store a table in a few files and read it back as a stream of several micro-batches."""
+BATCHES = 3
+
+
+def _as_stream(t: Tables, df: DataFrame, name: str, slices: list[DataFrame] | None = None) -> DataFrame:
+    """Store rows as files and read them back as a stream of several micro-batches, the slices one after another.
+
+    Without ``slices`` the rows are cut by hash.  Each slice is written with the parallelism of its scan.
+    """
     path = t.scratch(name)
-    df.repartition(3).write.parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    cut = F.pmod(F.xxhash64(*df.columns), F.lit(BATCHES))
+    for part in slices or [df.where(cut == i) for i in range(BATCHES)]:
+        part.write.mode("append").parquet(path)
+    files = len(t.spark.read.schema(df.schema).parquet(path).inputFiles())
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // BATCHES)).parquet(path)
 
 
 def _finish(stream) -> None:
@@ -534,29 +555,30 @@ def _finish(stream) -> None:
 
 
 @query("stream_ingest_metrics", """
-SELECT CASE WHEN status NOT IN ('success', 'failure', 'partial') OR coalesce(repository, '') = '' OR coalesce(project_id, '') = '' THEN 'rejected'
-  ELSE coalesce(status, 'success') END AS outcome, count(*) AS n, count(DISTINCT id) AS ids FROM {raw_metrics} GROUP BY 1""")
+SELECT id, CASE WHEN status NOT IN ('success', 'failure', 'partial') OR coalesce(repository, '') = '' OR coalesce(project_id, '') = '' THEN 'rejected'
+  ELSE coalesce(status, 'success') END AS outcome FROM {raw_metrics}""")
 def _(t: Tables) -> DataFrame:
     stored, rejects = t.scratch("stored"), t.scratch("rejects")
     _finish(jobs.stream_ingest_metrics(_as_stream(t, t.raw_metrics, "posts"), t.prices, stored, rejects, t.scratch("offsets")))
-    rows = t.spark.read.parquet(stored).select("id", F.col("status").alias("outcome")).unionByName(
+    return t.spark.read.parquet(stored).select("id", F.col("status").alias("outcome")).unionByName(
         t.spark.read.parquet(rejects).select("id", F.lit("rejected").alias("outcome")))
-    return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
 @query("stream_upsert_runs", """
-SELECT status, gate_status, count(*) AS runs, sum(runtime_ms)::BIGINT AS runtime_ms FROM (
-  SELECT coalesce(status, 'success') AS status, coalesce(gate_status, 'pass') AS gate_status, coalesce(runtime_ms, latency_ms, 0) AS runtime_ms
-  FROM {raw_runs} WHERE run_id IS NOT NULL AND workflow_run_id <> '' AND coalesce(status, 'success') <> 'done' AND coalesce(gate_status, 'pass') <> 'maybe') r
-GROUP BY status, gate_status""")
+SELECT run_id, coalesce(status, 'success') AS status, coalesce(gate_status, 'pass') AS gate_status,
+  coalesce(runtime_ms, latency_ms, 0)::BIGINT AS runtime_ms, coalesce(total_issues, 0)::BIGINT AS total_issues, CAST(ts AS DATE) AS written
+FROM {raw_runs} WHERE run_id IS NOT NULL AND workflow_run_id <> '' AND coalesce(status, 'success') <> 'done' AND coalesce(gate_status, 'pass') <> 'maybe'""")
 def _(t: Tables) -> DataFrame:
     path = t.scratch("runs")
     posts = t.raw_runs.withColumn("ingest_seq", F.col("ts"))
-    # Every run is sent twice; the later write must win without adding a row.
-    again = posts.unionByName(posts.withColumn("ingest_seq", F.expr("ts - interval 1 day")).withColumn("total_issues", F.lit(-1).cast("long")))
-    _finish(jobs.stream_upsert_runs(_as_stream(t, again, "posts"), path, t.scratch("offsets")))
+    older = posts.withColumn("ingest_seq", F.expr("ts - interval 1 day")).withColumn("total_issues", F.lit(-1).cast("long"))
+    older = older.select([F.col(f.name).cast(f.dataType) for f in posts.schema.fields])
+    # Every run is sent again by an older write that comes later: the newer one must stay.
+    feed = _as_stream(t, posts, "posts", [posts, older])
+    _finish(jobs.stream_upsert_runs(feed, path, t.scratch("offsets")))
     current = sinks.read_latest(t.spark, path, "run_id", ["ingest_seq"])
-    return current.groupBy("status", "gate_status").agg(F.count("*").alias("runs"), F.sum("runtime_ms").alias("runtime_ms"))
+    return current.select("run_id", "status", "gate_status", F.col("runtime_ms").cast("long").alias("runtime_ms"),
+                          F.col("total_issues").cast("long").alias("total_issues"), F.col("ingest_seq").cast("date").alias("written"))
 
 
 @query("stream_feedback_labels", "SELECT * FROM {labels_all}")
@@ -567,32 +589,41 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("stream_webhook_feedback", f"""
-SELECT coalesce(CASE WHEN ignored_reason LIKE 'no training record%' THEN 'no training record' ELSE ignored_reason END, concat('used ', action, ' ', feedback_channel)) AS outcome,
-  count(*) AS n FROM ({_WEBHOOK}) w GROUP BY 1""")
+SELECT event_id, coalesce(CASE WHEN ignored_reason LIKE 'no training record%' THEN 'no training record' ELSE ignored_reason END,
+  concat('used ', action, ' ', feedback_channel)) AS outcome FROM ({_WEBHOOK}) w""")
 def _(t: Tables) -> DataFrame:
     used, ignored = t.scratch("used"), t.scratch("ignored")
     _finish(jobs.stream_webhook_feedback(_as_stream(t, t.webhook_events, "posts"), t.training_records, used, ignored, t.scratch("offsets")))
     reason = F.when(F.col("ignored_reason").startswith("no training record"), "no training record").otherwise(F.col("ignored_reason"))
-    rows = t.spark.read.parquet(used).select(F.concat(F.lit("used "), "action", F.lit(" "), "feedback_channel").alias("outcome")).unionByName(
-        t.spark.read.parquet(ignored).select(reason.alias("outcome")))
-    return rows.groupBy("outcome").agg(F.count("*").alias("n"))
+    return t.spark.read.parquet(used).select(
+        "event_id", F.concat(F.lit("used "), "action", F.lit(" "), "feedback_channel").alias("outcome")).unionByName(
+        t.spark.read.parquet(ignored).select("event_id", reason.alias("outcome")))
 
 
 @query("stream_metrics_windowed", """
 SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS total_runs, count(*) FILTER (status = 'success') AS success_count,
   count(*) FILTER (status = 'failure') AS failure_count, sum(total_tokens)::BIGINT AS total_tokens_consumed,
   sum(CAST(cost_usd AS DECIMAL(18,6)))::DOUBLE AS total_cost_usd
-FROM {priced_metrics} WHERE date_trunc('day', ts) < date_trunc('day', (SELECT max(ts) FROM {run_metrics}) - INTERVAL 1 HOUR) GROUP BY 1""")
+FROM {priced_metrics} GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
     path = t.scratch("days")
-    # One micro-batch of all files: the rows of a batch are never late for each other.
-    _finish(jobs.stream_metrics_windowed(_as_stream(t, t.run_metrics, "posts", files_per_batch=1000), path, t.scratch("offsets")))
-    return t.spark.read.parquet(path).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    _finish(jobs.stream_metrics_windowed(_as_stream(t, t.run_metrics, "posts"), path, t.scratch("offsets")))
+    return jobs.read_windows(t.spark, path).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("stream_dedupe_records", "SELECT count(*) AS records, count(DISTINCT run_id) AS runs FROM {training_records}")
+@query("stream_dedupe_records", "SELECT run_id, id, model_version FROM {training_records}")
 def _(t: Tables) -> DataFrame:
     path = t.scratch("records")
-    twice = t.training_records.unionByName(t.training_records)
-    _finish(jobs.stream_dedupe_records(_as_stream(t, twice, "posts", files_per_batch=1000), path, t.scratch("offsets")))
-    return t.spark.read.parquet(path).agg(F.count("*").alias("records"), F.count_distinct("run_id").alias("runs"))
+    write = lambda seq, version: F.struct(F.lit(seq).alias("seq"), version.alias("version"))
+    own, later = F.col("model_version"), F.lit("later")
+
+    def writes(*sent) -> DataFrame:
+        """Each record as often as there are writes, next to each other, so that one micro-batch has them all."""
+        rows = t.training_records.withColumn("sent", F.explode(F.array(*sent)))
+        return rows.withColumns({"ingest_seq": F.col("sent.seq"), "model_version": F.col("sent.version")}).drop("sent")
+
+    # The same runs come again within a batch and in a later batch; the first write must stay.
+    slices = [writes(write(2, later), write(1, own), write(3, later)), writes(write(0, later))]
+    feed = _as_stream(t, slices[0], "posts", slices)
+    _finish(jobs.stream_dedupe_records(feed, path, t.scratch("offsets")))
+    return t.spark.read.parquet(path).select("run_id", "id", "model_version")

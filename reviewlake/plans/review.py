@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.operators import merge, responses, rules, scoring
@@ -11,14 +11,13 @@ from reviewlake.operators.validation import valid_files
 from reviewlake.session import cut_lineage
 
 KEYS = ("run_id", "path")
-# Positions within one answer stay far below this, so answer id and position make one ordinal.
-ANSWER_SPAN = 1_000_000
 
 
 def model_issues(answers: DataFrame) -> DataFrame:
-    """Issues of all answers of a file in order, with one whole-number ordinal per file."""
+    """Issues of all answers of a file, numbered in the order of (answer, position)."""
     parsed = responses.parse_findings(answers, keys=("run_id", "path", "response_id"))
-    return parsed.withColumn("ordinal", F.col("response_id") * ANSWER_SPAN + F.col("pos")).drop("response_id", "pos")
+    place = Window.partitionBy(*KEYS).orderBy("response_id", "pos")
+    return parsed.withColumn("ordinal", F.row_number().over(place).cast("long")).drop("response_id", "pos")
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -67,6 +66,15 @@ def review_run(files: DataFrame, answers: DataFrame, usage: DataFrame, pricing:
     }
 
 
+def batch_issues(files: DataFrame, rule_findings: DataFrame, found: DataFrame,
+                 max_issues: int = scoring.MAX_ISSUES_PER_FILE) -> DataFrame:
+    """Issues of the batch flow per file: merged by line and category, the first ``max_issues`` kept and numbered (``place``)."""
+    merged = merge.merge_batch_findings(rule_findings, found, files)
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("is_model", "ordinal"))
+    kept = merged.withColumn("place", place).where(F.col("place") <= max_issues)
+    return kept.join(files.select(*KEYS, "file_no"), list(KEYS))
+
+
 def training_records(runs: DataFrame, prompts: DataFrame | None = None, template_version: str = "1.0") -> DataFrame:
     """Record columns of a finished run, for ``insert_first``."""
     out = runs.withColumns({

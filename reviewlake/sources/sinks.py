@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlake.operators.skew import first_rows
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """Append metric rows; a row without an id gets a hash of its identifying columns."""
-    key = F.xxhash64("repository", "project_id", "workflow_run_id", "ts")
+def append_metrics(df: DataFrame, path: str, batch: str = "") -> None:
+    """Append metric rows; a row without an id gets a hash of its identifying columns and its place among equal rows.
+
+    ``batch`` names the ingest batch: a retry of a batch gives the same ids, equal posts of other batches others.
+    """
+    same = ["repository", "project_id", "workflow_run_id", "ts"]
+    place = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64(*[c for c in df.columns if c not in same])))
+    key = F.xxhash64(*same, F.lit(batch), place)
     rows = df.withColumn("id", F.coalesce("id", key)) if "id" in df.columns else df.withColumn("id", key)
     rows.write.mode("append").parquet(path)
 
@@ -21,9 +26,16 @@ def append_feedback(df: DataFrame, path: str) -> None:
 
 
 def upsert_last(existing: DataFrame, new: DataFrame, key: str = "run_id", order: str = "ingest_seq") -> DataFrame:
-    """One row per key: the last write wins."""
-    rows = existing.unionByName(new, allowMissingColumns=True)
-    return first_rows(rows, [key], [F.desc(order)], 1)
+    """One row per key: the last write wins.
+
+    Only the new rows are ranked.  A stored row stays unless a new row of its key is as late or later; a new row that is
+    older than the stored one is dropped.
+    """
+    latest = first_rows(new, [key], [F.desc(order)], 1)
+    held = existing.select(F.col(key).alias("_key"), F.col(order).alias("_order"))
+    wins = latest.join(held, (F.col(key) == F.col("_key")) & (F.col("_order") > F.col(order)), "left_anti")
+    kept = existing.join(wins.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+    return kept.unionByName(wins, allowMissingColumns=True)
 
 
 def insert_first(existing: DataFrame, new: DataFrame, key: str = "run_id", order: str = "ingest_seq") -> DataFrame:
@@ -47,16 +59,15 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_latest(spark: SparkSession, path: str, key: str, order: list[str] | None = None) -> DataFrame:
-    """Current rows of a table of batches: per key the row of the last batch."""
-    ranked = [F.desc("batch_id"), *[F.desc(c) for c in order or []]]
+    """Current rows of a table of batches: per key the last row by ``order``, then by batch."""
+    ranked = [*[F.desc(c) for c in order or []], F.desc("batch_id")]
     return first_rows(spark.read.parquet(path), [key], ranked, 1).drop("batch_id")
 
 
 def export_dataset(df: DataFrame, path: str, fmt: str = "jsonl") -> None:
-    """Write an export as JSON lines, Parquet, or a JSON array.
+    """Write an export as JSON lines, Parquet, or one JSON document in text parts.
 
-    The array form is for small exports: it keeps one file, so it is only taken for pages that a
-    limit bounds; the other forms keep one file per partition.
+    No form has a bound: the parts of the document are written side by side, and its text is the parts one after another.
     """
     if fmt == "jsonl":
         df.write.mode("overwrite").json(path)
@@ -68,20 +79,19 @@ def export_dataset(df: DataFrame, path: str, fmt: str = "jsonl") -> None:
         raise ValueError(f"unknown format {fmt!r}: use jsonl, json or parquet")
 
 
-JSON_PAGE_ROWS = 100_000
-
-
 def json_document(df: DataFrame) -> DataFrame:
-    """``{"count": n, "data": [...]}`` in one row.  Refuses more than ``JSON_PAGE_ROWS`` rows."""
+    """Lines of ``{"count": n, "data": [...]}`` in order, the latest record first; the first record has no comma in front."""
     keys = [c for c in ("created_at", "id", "part") if c in df.columns]
-    record = F.struct(*keys, F.to_json(F.struct(*df.columns)).alias("json"))
-    counted = df.limit(JSON_PAGE_ROWS + 1).agg(
-        F.count("*").alias("n"),
-        F.transform(F.sort_array(F.collect_list(record), asc=False), lambda r: r["json"]).alias("rows"),
-    )
-    body = F.concat(F.lit('{"count":'), F.col("n").cast("string"), F.lit(',"data":['), F.array_join("rows", ","), F.lit("]}"))
-    too_many = F.raise_error(F.lit(f"a JSON array holds at most {JSON_PAGE_ROWS} records: export as jsonl or parquet"))
-    return counted.select(F.when(F.col("n") > JSON_PAGE_ROWS, too_many.cast("string")).otherwise(body).alias("value"))
+    text = F.to_json(F.struct(*df.columns))
+    place = F.struct(*[F.col(k) for k in keys], F.xxhash64(text).alias("hash"))
+    records = df.select(place.alias("place"), text.alias("json"))
+    totals = records.agg(F.count("*").alias("n"), F.to_json(F.max("place")).alias("first")).first()
+    comma = F.when(F.to_json("place") == F.lit(totals["first"]), "").otherwise(",")
+    body = records.select(F.lit(1).alias("section"), "place", F.concat(comma, "json").alias("value"))
+    frame = df.sparkSession.createDataFrame(
+        [(0, f'{{"count":{totals["n"]},"data":['), (2, "]}")], "section int, value string")
+    frame = frame.select("section", F.lit(None).cast(body.schema["place"].dataType).alias("place"), "value")
+    return frame.unionByName(body).orderBy("section", F.desc("place")).select("value")
 
 
 def compact(spark: SparkSession, path: str, target: str, key: str, order: list[str] | None = None) -> None:

@@ -6,21 +6,22 @@ one partition per micro-batch (see ``write_batch``), so a replayed batch gives t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reviewlake.operators.feedback import feedback_counts, outcome_labels
 from reviewlake.operators.metrics import Prices, token_cost
+from reviewlake.operators.skew import first_rows
 from reviewlake.operators.validation import (
     metric_reject_reason,
     normalise_metrics,
     normalise_runs,
     run_reject_reason,
 )
-from reviewlake.operators.webhook import webhook_feedback
+from reviewlake.operators.webhook import classify_events, split_events
 from reviewlake.sources.pricing import price_rows
-from reviewlake.sources.sinks import write_batch
+from reviewlake.sources.sinks import insert_first, write_batch
 
 
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -73,34 +74,60 @@ def stream_webhook_feedback(source: DataFrame, records: DataFrame, path: str, ig
     """Webhook posts to feedback rows; posts that are not used go to ``ignored`` with a reason."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        held = batch.persist()
-        feedback, unused = webhook_feedback(held, records)
+        seen = classify_events(batch, records).persist()
+        feedback, unused = split_events(seen)
         write_batch(feedback, path, batch_id)
         write_batch(unused, ignored, batch_id)
-        held.unpersist()
+        seen.unpersist()
 
     return _start(source.writeStream.foreachBatch(write), checkpoint, available_now)
 
 
-def stream_metrics_windowed(source: DataFrame, path: str, checkpoint: str,
-                            prices: Prices | None = None, window: str = "1 day", lateness: str = "1 hour", available_now: bool = True) -> StreamingQuery:
-    """The additive summary measures per tumbling window of event time, final once the watermark has passed."""
-    timed = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    priced = token_cost(timed, prices or price_rows()).withWatermark("ts", lateness)
-    summary = priced.groupBy(F.window("ts", window)).agg(
-        F.count("*").alias("total_runs"),
-        F.count_if(F.col("status") == "success").alias("success_count"),
-        F.count_if(F.col("status") == "failure").alias("failure_count"),
-        F.sum("total_tokens").alias("total_tokens_consumed"),
-        F.sum(F.col("cost_usd").cast("decimal(18,6)")).alias("total_cost_usd"),
-    ).select(F.col("window.start").alias("window_start"), "total_runs", "success_count", "failure_count",
-             "total_tokens_consumed", F.col("total_cost_usd").cast("double").alias("total_cost_usd"))
-    return _start(summary.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, available_now)
+MEASURES = ("total_runs", "success_count", "failure_count", "total_tokens_consumed", "total_cost_usd")
 
 
-def stream_dedupe_records(source: DataFrame, path: str, checkpoint: str, lateness: str = "1 day",
+def stream_metrics_windowed(source: DataFrame, path: str, checkpoint: str, prices: Prices | None = None,
+                            window: str = "1 day", available_now: bool = True) -> StreamingQuery:
+    """The additive summary measures per tumbling window of event time; read with ``read_windows(path)``.
+
+    Each micro-batch stores its own sums per window, so a row counts however late it comes, no window waits for a
+    watermark, and there is no state to keep.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        priced = token_cost(batch.withColumn("ts", F.col("ts").cast("timestamp")), prices or price_rows())
+        sums = priced.groupBy(F.window("ts", window).alias("window")).agg(
+            F.count("*").alias("total_runs"),
+            F.count_if(F.col("status") == "success").alias("success_count"),
+            F.count_if(F.col("status") == "failure").alias("failure_count"),
+            F.sum("total_tokens").alias("total_tokens_consumed"),
+            F.sum(F.col("cost_usd").cast("decimal(18,6)")).alias("total_cost_usd"),
+        )
+        write_batch(sums.select(F.col("window.start").alias("window_start"), *MEASURES), path, batch_id)
+
+    return _start(source.writeStream.foreachBatch(write), checkpoint, available_now)
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """One row per window: the sums of all micro-batches."""
+    sums = spark.read.parquet(path).groupBy("window_start").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    return sums.withColumn("total_cost_usd", F.col("total_cost_usd").cast("double"))
+
+
+def stream_dedupe_records(source: DataFrame, path: str, checkpoint: str, key: str = "run_id", order: str = "ingest_seq",
                           available_now: bool = True) -> StreamingQuery:
-    """First write wins per run id within the lateness bound, so the state is bounded too."""
-    timed = source.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", lateness)
-    unique = timed.dropDuplicatesWithinWatermark(["run_id"])
-    return _start(unique.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, available_now)
+    """The first write per key wins, however far apart the writes are.
+
+    A micro-batch keeps its first row per key by ``order`` and leaves out keys that an earlier batch has stored; the stored
+    table is the state.  A replayed batch looks at the batches before it only, and writes the same rows again.
+    """
+    spark = source.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 0:
+            write_batch(first_rows(batch, [key], [F.col(order)], 1), path, batch_id)
+            return
+        stored = spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+        write_batch(insert_first(stored, batch, key, order), path, batch_id)
+
+    return _start(source.writeStream.foreachBatch(write), checkpoint, available_now)

@@ -75,7 +75,7 @@ def test_merge_equals_greedy(spark, limit):
     r, m = frames(spark, rules, models)
     want = expected(rules, models)
     parts = {}
-    for row in merge_findings(r, m, fold_limit=limit).orderBy("path", "target_model", "ordinal", "part").collect():
+    for row in merge_findings(r, m, fold_limit=limit).orderBy("path", "target_model", "ordinal").collect():
         place = parts.setdefault(row.path, {}).setdefault((row.target_model, row.ordinal), [])
         place.append(row)
     for path, rows in want.items():

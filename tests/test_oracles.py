@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-import __spark_entry__ as entry
+from reviewlake.plans import registry, registry_runs  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -11,6 +11,6 @@ def con(sf_dir):
     return oracle.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, sf_dir, name):
     assert oracle.compare(spark, con, name, sf_dir) is None
