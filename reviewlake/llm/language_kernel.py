@@ -147,15 +147,14 @@ def learn(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", l
     return fit([bytes(b) for _, _, b in got], [label for _, label, _ in got], landmarks)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (0 to 1: half of one plus the winner's regression value, cut to that range).
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add language and score under two ``names`` (0 to 1: half of one plus the winner's regression value, cut to that range).
 
     A text that is null or has no letter, or a model without languages, gives ``und`` with score 0.  Ties go to the first
     language in code point order.  Columns of these two names are replaced; all others are kept.
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = docs.columns.index(text)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.weights))
@@ -165,7 +164,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         width = len(m.weights)
         seen = np.zeros((BATCH_TEXTS, width + 1), bool)
         for batch in batches:
-            best, names = np.zeros(len(batch)), np.full(len(batch), UNDETERMINED, object)
+            best, told = np.zeros(len(batch)), np.full(len(batch), UNDETERMINED, object)
             texts = batch.column(at)
             for start in range(0, len(batch) if m.languages else 0, BATCH_TEXTS):
                 part = texts.slice(start, BATCH_TEXTS).to_pylist()
@@ -175,10 +174,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 values = (x @ m.weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
                 win = values.argmax(1)
                 best[start:start + len(part)] = np.where(known, np.clip((1 + values[np.arange(len(part)), win]) / 2, 0, 1), 0)
-                names[start:start + len(part)] = np.where(known, np.asarray(m.languages, object)[win], UNDETERMINED)
+                told[start:start + len(part)] = np.where(known, np.asarray(m.languages, object)[win], UNDETERMINED)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(best, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"])
+                [*batch.columns, pa.array(told, pa.string()), pa.array(best, pa.float64())],
+                names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(scored, schema)
 
@@ -189,5 +188,6 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows whose language could be told."""
-    return predict(docs, model, text).where(F.col("lang_pred") != UNDETERMINED).drop("lang_pred", "score")
+    """The rows whose language could be told, with their own columns."""
+    names = ("_told_language", "_told_score")
+    return predict(docs, model, text, names).where(F.col(names[0]) != UNDETERMINED).drop(*names)

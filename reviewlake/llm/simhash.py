@@ -33,10 +33,10 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     listed = rows.select(*keys, words.alias("_words"))
     listed = listed.select(*keys, F.explode_outer(
         F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1)))).alias("_h"))
-    halves = {"high": F.col("_h"), "low": F.xxhash64(F.col("_h"), F.lit("low"))}
+    halves = {"high": F.col("_h"), "low": F.when(F.col("_h").isNotNull(), F.xxhash64(F.col("_h"), F.lit("low")))}
     votes = [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_MASK))).alias(f"{name}{i}")
              for name, h in halves.items() for i in range(32)]
-    summed = listed.groupBy(*keys).agg(F.count("_h").alias("_n"), *votes)
+    summed = listed.groupBy(*keys).agg(F.count("_h").alias("_n"), *votes).na.fill(0, [f"{name}{i}" for name in halves for i in range(32)])
 
     def packed(name: str) -> Column:
         bits = F.lit(0).cast("long")

@@ -74,7 +74,8 @@ def record(**changes):
     (record()[:-1], "length"),
     (b"nothing", "no WARC header"),
     (record().replace(b"Content-Length: 7", b"Content-Length: 8"), "payload length differs"),
-    (record().replace(b"WARC-Date", b"WARC-Type"), "bad header line"),
+    (record().replace(b"WARC-Date", b"WARC-Type"), "missing or bad: warc-date"),
+    (record().replace(b"WARC-Target-URI:", b"no colon"), "bad header line"),
 ])
 def test_damaged_records(raw, problem):
     got = warc_archive.parsed(raw)["problem"]
