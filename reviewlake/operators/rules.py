@@ -123,23 +123,37 @@ def rule_scan(files: DataFrame, rules: list[Rule] | None = None, keys: tuple[str
     return scanned.select(*keys, F.inline_outer("hits")).join(catalog, "ordinal").select(*keys, *FINDING_COLUMNS)
 
 
+def _custom_rules(rules: DataFrame) -> tuple[list[Rule], list[Rule]]:
+    """(valid, rejected) enabled pattern rules of a catalog, renumbered in their order.
+
+    A catalog is configuration, some hundred rows, so it is read once, like the built-in one.  A pattern is valid if the
+    engine can compile it.
+    """
+    spark, valid, rejected = rules.sparkSession, [], []
+    for n, r in enumerate(rules.where(F.col("enabled") & F.col("pattern").isNotNull()).orderBy("ordinal", "id").collect(), 1):
+        flags = "".join(f for f in ("i" if r.flags is None else r.flags) if f in "ims")
+        rule = Rule(n, r.id, r.name, True, r.group, r.pattern, flags, r.severity, r.category, r.message, r.suggestion, tuple(r.languages))
+        try:
+            spark.range(1).select(F.expr(f"rlike(string(id), {quoted(render(rule.pattern, rule.flags))})")).collect()
+            valid.append(rule)
+        except Exception:  # the engine names no narrower class for all malformed patterns
+            rejected.append(rule)
+    return valid, rejected
+
+
 def rule_scan_custom(files: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Scan with a catalog that is data.  ``flags`` NULL marks a plain text pattern: case-insensitive.
 
-    The join is an equi-join on the language.  No hint: Spark broadcasts the rules while they are
-    below its size threshold and shuffles beyond it, with skew splitting.
+    The rules go through the same single projection as the built-in ones, with literal patterns; malformed
+    patterns are left out (see :func:`rejected_rules`).
     """
-    active = (
-        rules.where(F.col("enabled") & F.col("pattern").isNotNull())
-        .withColumn("flags", F.regexp_replace(F.coalesce("flags", F.lit("i")), "[^ims]", ""))
-        .withColumn("regex", F.when(F.col("flags") == "", F.col("pattern"))
-                    .otherwise(F.concat(F.lit("(?"), "flags", F.lit(")"), "pattern")))
-        .select("ordinal", F.col("id").alias("rule_id"), "severity", "category", "message", "suggestion", "regex",
-                F.explode("languages").alias("language"))
-    )
-    hit = files.join(active, "language").where(F.expr("rlike(content, regex)"))
-    line = F.expr("nullif(array_position(transform(split(content, '\\n'), l -> rlike(l, regex)), true), 0)")
-    return hit.withColumn("line_number", line.cast("int")).select(*keys, *FINDING_COLUMNS)
+    valid = _custom_rules(rules)[0]
+    return rule_scan(files, valid, keys) if valid else rule_scan(files.where(F.lit(False)), None, keys)
+
+
+def rejected_rules(rules: DataFrame) -> DataFrame:
+    """The enabled rules of a catalog whose pattern is malformed."""
+    return scan_rule_catalog(rules.sparkSession, _custom_rules(rules)[1])
 
 
 def rules_active(rules: DataFrame, disabled: list[str] | tuple[str, ...] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,14 +139,14 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("scan_source_files", """
-SELECT lang, sum(length(text) + 1)::BIGINT AS chars, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM {documents} GROUP BY lang""")
+SELECT doc_id, length(text) + 1 AS chars, len(string_split(text, chr(10))) AS lines, md5(concat(text, chr(10))) AS text_md5 FROM {documents}""")
 def _(t: Tables) -> DataFrame:
     path = t.scratch("texts")
-    t.documents.select("lang", F.col("text").alias("value")).repartition("lang").write.partitionBy("lang").text(path)
+    t.documents.select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").text(path)
     # The folder and a glob name every file twice; the scan keeps one.
-    read = tables.scan_source_files(t.spark, [path, f"{path}/lang=*"])
-    return read.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg(
-        F.sum(F.length("content")).alias("chars"), F.sum(F.regexp_count("content", F.lit("\n"))).alias("lines"))
+    read = tables.scan_source_files(t.spark, [path, f"{path}/doc_id=*"])
+    return read.select(F.regexp_extract("path", "doc_id=([^/]*)/", 1).cast("long").alias("doc_id"), F.length("content").alias("chars"),
+                       F.regexp_count("content", F.lit("\n")).alias("lines"), F.md5("content").alias("text_md5"))
 
 
 _RULE_LANGUAGES = ", ".join(
@@ -532,6 +533,20 @@ def _(t: Tables) -> DataFrame:
     return t.source_files.select("path", lang.effective_language(F.col("path"), F.col("content"), given).alias("effective"))
 
 
+@query("editor_language", """
+SELECT path, CASE id WHEN 'python' THEN CASE WHEN regexp_matches(content, '(from|import)[\\s\\x{a0}\\x{feff}]+pyspark') THEN 'pyspark' ELSE 'python' END
+  WHEN 'scala' THEN 'scala' WHEN 'sql' THEN 'sql' WHEN 'hcl' THEN 'terraform' WHEN 'terraform' THEN 'terraform' END AS language
+FROM (SELECT path, CASE file_no % 7 WHEN 0 THEN 'hcl' WHEN 1 THEN 'go' ELSE CASE language WHEN 'pyspark' THEN 'python' ELSE language END END AS id,
+        CASE file_no % 3 WHEN 0 THEN concat('import pyspark', chr(10), content) WHEN 1 THEN concat('from', chr(10), ' pyspark', content) ELSE content END AS content
+      FROM {source_files}) s""".replace("{a0}", "{{a0}}").replace("{feff}", "{{feff}}"))
+def _(t: Tables) -> DataFrame:
+    number = F.col("file_no")
+    given = F.when(number % 7 == 0, "hcl").when(number % 7 == 1, "go").when(F.col("language") == "pyspark", "python").otherwise(F.col("language"))
+    content = F.when(number % 3 == 0, F.concat(F.lit("import pyspark\n"), "content")).when(
+        number % 3 == 1, F.concat(F.lit("from\n pyspark"), "content")).otherwise(F.col("content"))
+    return t.source_files.select("path", lang.editor_language(given, content).alias("language"))
+
+
 def _signal_sql(signals) -> str:
     parts = [s if isinstance(s, tuple) else (s,) for s in signals]
     return " OR ".join("(" + " AND ".join(f"contains(c, {oracles.text_literal(p)})" for p in s) + ")" for s in parts)
@@ -586,6 +601,33 @@ def _(t: Tables) -> DataFrame:
     return rules.rule_scan_custom(t.files, catalog).select("path", "rule_id", "severity", "line_number")
 
 
+_RULE_FILE = [
+    {"id": "team-001", "name": "Tracking", "pattern": r"TRACK\(", "severity": "high", "category": "security",
+     "message": "tracking call", "suggestion": "remove", "languages": ["python", "scala"]},
+    {"id": "team-002", "name": "Article", "enabled": True, "pattern": {"source": "<article", "flags": ""}, "severity": "low",
+     "category": "logging", "message": "article tag", "suggestion": "drop", "languages": ["python"]},
+    {"id": "team-003", "name": "Off", "enabled": False, "pattern": ".", "severity": "info", "category": "logging",
+     "message": "never", "suggestion": "never", "languages": ["python"]},
+    {"id": "team-004", "name": "Broken", "pattern": "(", "severity": "info", "category": "logging",
+     "message": "never", "suggestion": "never", "languages": ["python"]},
+]
+
+
+@query("rule_files_scan", """
+SELECT path, rule_id, severity, nullif(list_position(list_transform(string_split(content, chr(10)), lambda l: regexp_matches(l, regex)), true), 0)::INT AS line_number
+FROM {source_files} JOIN (VALUES ('team-001', 'high', '(?i)TRACK\\(', ['python', 'scala']), ('team-002', 'low', '<article', ['python']))
+  c(rule_id, severity, regex, languages) ON list_contains(languages, language) WHERE regexp_matches(content, regex)
+UNION ALL SELECT 'rejected', 'team-004', 'info', NULL""")
+def _(t: Tables) -> DataFrame:
+    path = t.scratch("rule-files")
+    local_table(t.spark, [(json.dumps(_RULE_FILE),)], "value string").write.text(path)
+    catalog = rule_catalog.scan_rule_files(t.spark, path)
+    found = rules.rule_scan_custom(t.files, catalog).select("path", "rule_id", "severity", "line_number")
+    rejected = rules.rejected_rules(catalog).select(
+        F.lit("rejected").alias("path"), F.col("id").alias("rule_id"), "severity", F.lit(None).cast("int").alias("line_number"))
+    return found.unionByName(rejected)
+
+
 @query("rule_hit_counts", """
 SELECT 'rule' AS level, rule_id AS key, count(*) AS findings, count(DISTINCT path) AS files FROM {rule_findings} GROUP BY rule_id
 UNION ALL SELECT 'severity', severity, count(*), count(DISTINCT path) FROM {rule_findings} GROUP BY severity

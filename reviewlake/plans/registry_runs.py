@@ -174,7 +174,7 @@ SELECT f.run_id, f.n AS files_reviewed, coalesce(validation_failures, 0) AS vali
   coalesce(medium_count, 0) AS medium_count, coalesce(low_count, 0) AS low_count, coalesce(info_count, 0) AS info_count,
   CASE WHEN validation_failures > 0 OR critical_models > 0 THEN 'fail' ELSE 'pass' END AS gate_status,
   CASE WHEN validation_failures > 0 OR critical_models > 0 THEN 'failure' ELSE 'success' END AS status,
-  model, coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens,
+  coalesce(model, '""" + review.DEFAULT_MODEL + """') AS model, coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens,
   coalesce(input_tokens, 0) + coalesce(output_tokens, 0) AS total_tokens, coalesce(cost_usd, 0.0) AS cost_usd
 FROM (SELECT run_id, count(*) AS n FROM {source_files} GROUP BY run_id) f LEFT JOIN counted c ON c.run_id = f.run_id
 LEFT JOIN costs u ON u.run_id = f.run_id"""
@@ -185,6 +185,32 @@ def _(t: Tables) -> DataFrame:
     return review.review_runs(t.files, t.model_responses, t.run_usage, t.prices)
 
 
+_FAILED = "length(content) > 20000"
+
+
+@query("review_files", f"""WITH answers AS (SELECT * FROM {{answer_issues}}),
+own AS (SELECT a.run_id, a.path FROM answers a
+  WHERE NOT EXISTS (SELECT 1 FROM {{rule_findings}} r WHERE r.run_id = a.run_id AND r.path = a.path AND r.message = a.message)),
+rule_counts AS (SELECT run_id, path, count(*) AS n FROM {{rule_findings}} GROUP BY run_id, path),
+own_counts AS (SELECT run_id, path, count(*) AS n FROM own GROUP BY run_id, path)
+SELECT f.run_id, f.path, f.language, CASE WHEN {_FAILED} THEN 0 ELSE coalesce(r.n, 0) END AS validation_count,
+  CASE WHEN {_FAILED} THEN 0 ELSE coalesce(o.n, 0) END AS llm_count, CASE WHEN {_FAILED} THEN 'too long' END AS error
+FROM {{source_files}} f LEFT JOIN rule_counts r ON r.run_id = f.run_id AND r.path = f.path
+LEFT JOIN own_counts o ON o.run_id = f.run_id AND o.path = f.path WHERE coalesce(f.content, '') <> ''""")
+def _(t: Tables) -> DataFrame:
+    errors = t.source_files.where(F.length("content") > 20000).select("run_id", "path", F.lit("too long").alias("error"))
+    out = review.review_run(t.files, t.model_responses, t.run_usage, t.prices, errors)["files"]
+    return out.select("run_id", "path", "language", "validation_count", "llm_count", "error")
+
+
+@query("review_records", "SELECT run_id, gate_status, status, total_issues, model AS model_version, 'pipeline' AS source, '1.0' AS schema_version FROM ("
+       + REVIEW_ORACLE + ") v")
+def _(t: Tables) -> DataFrame:
+    records = review.training_records(review.review_runs(t.files, t.model_responses, t.run_usage, t.prices))
+    stored = sinks.insert_first(records.where("false").withColumn("ingest_seq", F.lit(1)), records.withColumn("ingest_seq", F.lit(1)))
+    return stored.select("run_id", "gate_status", "status", "total_issues", "model_version", "source", "schema_version")
+
+
 @query("top_issues", """
 SELECT run_id, place, path, is_model, ordinal, severity FROM (
   SELECT run_id, path, is_model, ordinal, severity, row_number() OVER (PARTITION BY run_id ORDER BY file_no, path, place) AS place
@@ -322,12 +348,11 @@ def _(t: Tables) -> DataFrame:
     return _flat_export(feedback.training_export(t.training_records, t.labels, t.training_feedback, limit=None))
 
 
-@query("training_export_labeled", _EXPORT.replace("{page}", """SELECT * FROM {{training_records}} r0 WHERE model_version = 'v1'
-  AND EXISTS (SELECT 1 FROM {{training_feedback}} f0 WHERE f0.record_id = r0.id) ORDER BY created_at DESC, id DESC LIMIT 500""")
-       .replace("{{", "{").replace("}}", "}"))
+@query("training_export_labeled", _EXPORT.replace("{page}", """SELECT * FROM {{training_records}} r0
+  WHERE EXISTS (SELECT 1 FROM {{training_feedback}} f0 WHERE f0.record_id = r0.id)""").replace("{{", "{").replace("}}", "}"))
 def _(t: Tables) -> DataFrame:
     return _flat_export(feedback.training_export(
-        t.training_records, t.labels, t.training_feedback, labeled=True, model_version="v1"))
+        t.training_records, t.labels, t.training_feedback, labeled=True, limit=None))
 
 
 @query("training_records_list", """

@@ -11,6 +11,8 @@ from reviewlake.operators.validation import valid_files
 from reviewlake.session import cut_lineage
 
 KEYS = ("run_id", "path")
+# Fixed value: the model of a run that names none.
+DEFAULT_MODEL = "claude-sonnet-4-20250514"
 
 
 def model_issues(answers: DataFrame) -> DataFrame:
@@ -32,37 +34,51 @@ def _findings(files: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFram
     return reviewed, _stored(rules.rule_scan(reviewed, keys=KEYS)), found
 
 
-def _runs(files: DataFrame, rule_findings: DataFrame, own: DataFrame, usage: DataFrame, pricing: DataFrame) -> DataFrame:
+def _runs(files: DataFrame, rule_findings: DataFrame, own: DataFrame, usage: DataFrame, pricing: DataFrame,
+          errors: DataFrame | None = None) -> DataFrame:
     # Files that are skipped still count as reviewed.
-    gates = scoring.pr_gate(files, rule_findings, own).where(F.col("files_reviewed") > 0)
+    gates = scoring.pr_gate(files, rule_findings, own, errors).where(F.col("files_reviewed") > 0)
     spent = {c: F.coalesce(c, F.lit(0)) for c in ("input_tokens", "output_tokens", "cost_usd")}
-    return gates.join(token_cost(usage, pricing), "run_id", "left").withColumns(spent).withColumn(
-        "total_tokens", F.col("input_tokens") + F.col("output_tokens")
-    )
+    return gates.join(token_cost(usage, pricing), "run_id", "left").withColumns(spent).withColumns({
+        "model": F.coalesce("model", F.lit(DEFAULT_MODEL)), "total_tokens": F.col("input_tokens") + F.col("output_tokens"),
+    })
+
+
+def _without_failed(df: DataFrame, errors: DataFrame | None) -> DataFrame:
+    """Findings of files that did not fail."""
+    return df if errors is None else df.join(errors.select(*KEYS).distinct(), list(KEYS), "left_anti")
 
 
-def review_runs(files: DataFrame, answers: DataFrame, usage: DataFrame, pricing: DataFrame) -> DataFrame:
-    """One row per run: counts, gate, status, tokens and cost."""
+def review_runs(files: DataFrame, answers: DataFrame, usage: DataFrame, pricing: DataFrame,
+                errors: DataFrame | None = None) -> DataFrame:
+    """One row per run: counts, gate, status, tokens and cost.  ``errors``: run_id, path and error of failed files."""
     _, rule_findings, found = _findings(files, answers)
-    return _runs(files, rule_findings, merge.llm_findings_exact(rule_findings, found), usage, pricing)
+    return _runs(files, rule_findings, merge.llm_findings_exact(rule_findings, found), usage, pricing, errors)
 
 
-def review_run(files: DataFrame, answers: DataFrame, usage: DataFrame, pricing: DataFrame) -> dict[str, DataFrame]:
+def review_run(files: DataFrame, answers: DataFrame, usage: DataFrame, pricing: DataFrame,
+               errors: DataFrame | None = None) -> dict[str, DataFrame]:
     """All outputs of a review as tables.
 
     ``runs``: see :func:`review_runs`.  ``validation_failures`` and ``llm_findings``: flat findings.
-    ``merged``: issues after the greedy merge.  ``files``: counts per file.  Lists stay tables, so a
-    run or file of any size stays distributed.
+    ``merged``: issues after the greedy merge.  ``files``: counts per file and the ``error`` of a failed one, which
+    has no findings.  ``records``: training records of the runs.  Lists stay tables, so a run or file of any size stays
+    distributed.
     """
     reviewed, rule_findings, found = _findings(files, answers)
-    found = _stored(found)
+    rule_findings, found = _without_failed(rule_findings, errors), _stored(_without_failed(found, errors))
     own = merge.llm_findings_exact(rule_findings, found)
+    counts = scoring.per_file_counts(reviewed, rule_findings, own)
+    if errors is not None:
+        counts = counts.join(errors.groupBy(*KEYS).agg(F.min("error").alias("error")), list(KEYS), "left")
+    runs = _runs(files, rule_findings, own, usage, pricing, errors)
     return {
-        "runs": _runs(files, rule_findings, own, usage, pricing),
+        "runs": runs,
         "validation_failures": rule_findings,
         "llm_findings": own,
         "merged": merge.merge_findings(rule_findings, found),
-        "files": scoring.per_file_counts(reviewed, rule_findings, own),
+        "files": counts,
+        "records": training_records(runs),
     }
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,7 +49,10 @@ def local_session(cpus: str = "8", partitions: str = "8") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, else a local one in local mode."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else a local one in local mode.
+
+    The local one is removed when the driver ends; what lies in a configured folder belongs to whoever set it.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -57,7 +62,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="reviewlake-"))
+        folder = tempfile.mkdtemp(prefix="reviewlake-")
+        atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

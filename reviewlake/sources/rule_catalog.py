@@ -274,7 +274,7 @@ def scan_rule_catalog(spark: SparkSession, rules: list[Rule] | None = None) -> D
 
 
 def scan_rule_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rule files: one JSON array of rules per file; ``pattern`` is text or {source, flags}."""
+    """Rule files: one JSON array of rules per file; ``pattern`` is text or {source, flags}; ``ordinal`` follows their order."""
     schema = (
         "id string, name string, enabled boolean, `group` string, pattern string, patternSource string, "
         "patternFlags string, severity string, category string, message string, suggestion string, "
@@ -283,10 +283,11 @@ def scan_rule_files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(schema).json(path, multiLine=True)
     nested = F.from_json("pattern", "source string, flags string")
     return raw.select(
-        "id", "name",
+        F.monotonically_increasing_id().alias("ordinal"), "id", "name",
         F.coalesce("enabled", F.lit(True)).alias("enabled"),
         F.coalesce("group", F.substring_index("id", "-", 1)).alias("group"),
         F.coalesce(nested["source"], "patternSource", "pattern").alias("pattern"),
-        F.coalesce(nested["flags"], "patternFlags", F.lit("")).alias("flags"),
+        # A pattern that is plain text has no flags: NULL, which is case-insensitive.
+        F.coalesce(nested["flags"], "patternFlags", F.when(F.coalesce(nested["source"], "patternSource").isNotNull(), "")).alias("flags"),
         "severity", "category", "message", "suggestion", "languages",
     )

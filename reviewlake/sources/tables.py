@@ -56,13 +56,11 @@ def scan_source_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     A folder is read recursively.  Paths keep the form the file system reports.
     """
-    text = (
-        spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    )
-    # One path names every file once.  Several paths may overlap: then one row per file is kept,
-    # which is the only case that moves the texts.
-    return text if len(paths) == 1 else text.dropDuplicates(["path"])
+    reader = spark.read.option("recursiveFileLookup", "true")
+    # Several paths may overlap: the file names that Spark has listed are made distinct before any text is read.
+    names = paths if len(paths) == 1 else sorted(set(reader.text(paths).inputFiles()))
+    text = reader.text(names, wholetext=True)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def scan_review_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
