@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlake.llm.common import small_batches
+from reviewlake.llm.common import small_batches, stored
 
 LEXICON_WORDS = 100_000
 COUNTED_WORDS = 200_000
@@ -259,7 +259,8 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, vocabulary_path: str, text: str = "text", words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words over all texts.
+    """The most frequent words over all texts, at most ``words``: those whose count reaches the lowest power of two that so
+    few reach.  No more than these go to the driver.
 
     Each task counts its words and keeps the COUNTED_WORDS largest counts, whatever the input, so that memory and the
     shuffle stay bounded; the counts of rare words are therefore lower bounds.
@@ -282,8 +283,14 @@ def frequent_words(docs: DataFrame, vocabulary_path: str, text: str = "text", wo
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()),
                                           "n": pa.array([n for _, n in top], pa.int64())})
 
-    totals = docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in totals.orderBy(F.desc("n"), "word").limit(words).collect()]
+    totals = stored(docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    scale = F.floor(F.log2("n")).cast("int")
+    sizes = {r.scale: r["count"] for r in totals.groupBy(scale.alias("scale")).count().collect()}
+    least, held = 64, 0
+    while least > 0 and held + sizes.get(least - 1, 0) <= words:
+        least -= 1
+        held += sizes.get(least, 0)
+    return [r.word for r in totals.where(scale >= least).orderBy(F.desc("n"), "word").collect()]
 
 
 def ship_lexicon(spark: SparkSession, words: list[str], vocabulary_path: str) -> str:
