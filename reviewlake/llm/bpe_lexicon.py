@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from reviewlake.llm.common import small_batches, stored
 
-LEXICON_WORDS = 100_000
+LEXICON_WORDS = 200_000
 COUNTED_WORDS = 200_000
 CACHED_WORDS = 200_000
 LONG_WORD = 64
@@ -339,9 +339,12 @@ def decode(docs: DataFrame, vocabulary_path: str, ids: str = "ids", text: str =
     small_batches(docs.sparkSession)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Vocabulary(vocabulary_path).tokens.__getitem__
+        tokens = np.array(Vocabulary(vocabulary_path).tokens, object)
         for batch in batches:
-            texts = [" ".join(map(token, row or ())) for row in batch.column(at).to_pylist()]
+            column = batch.column(at)
+            ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+            found = tokens[column.flatten().to_numpy()]
+            texts = [" ".join(found[a:b].tolist()) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, text])
 
