@@ -2,13 +2,16 @@
 
 Each of TREES trees gives every vector a string of HASH_BITS bits (signs of orthogonal projections) and keeps the strings
 as a sorted array.  A query descends to its longest prefix matches by binary search, which gives the number of candidates
-at each prefix length; then all trees ascend together, one bit at a time, until they hold MOST_CANDIDATES candidates
-between them.  So a query looks at many vectors where they are sparse and at short distances where they are dense, and its
-work doesn't grow with the table.
+at each prefix length; then all trees ascend together, one bit at a time, until they hold enough candidates between them.
+So a query looks at many vectors where they are sparse and at short distances where they are dense.
 
-The trees are cut into segments by their leading bits, about SEGMENT_ROWS rows each; a query visits one segment of each
-tree, where its candidates are compared in place, and only its best ones leave.  Queries with the same prefix share one
-matrix product.
+How many are enough is measured, not assumed: SAMPLE_QUERIES queries are compared with every row, and the budget is the
+number of candidates that finds the share RECALL of their true neighbours.  It grows with the table as far as the vectors
+need it.  A query that would meet as many candidates as there are rows is compared with every row instead, once.
+
+The trees are cut into segments by their leading bits, about SEGMENT_ROWS rows each; a query visits all segments of its
+prefix, where its candidates are compared in place, and only its best ones leave.  Queries with the same prefix share one
+matrix product; a segment with more than SEGMENT_ROWS queries is compared in parts.
 
 Inner products are searched as angles: vectors get one more component that makes all norms equal, queries get 0 there,
 and the mean of a bounded sample (SAMPLE_ROWS) is taken off before hashing.  Equal vectors form one class, so a vector that is
@@ -28,7 +31,8 @@ from reviewlake.operators.skew import first_rows
 TREES = 16
 HASH_BITS = 64
 LEVELS = 40
-MOST_CANDIDATES = 32_768
+RECALL = 0.97
+SAMPLE_QUERIES = 256
 SEGMENT_ROWS = 1 << 17
 SAMPLE_ROWS = 4096
 QUERY_BLOCK = 32
@@ -64,12 +68,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
-           trees: int = TREES, candidates: int = MOST_CANDIDATES) -> DataFrame:
+           trees: int = TREES, candidates: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows found, its own id left out.
 
     Nearness is the inner product; ties go to the smaller id.  With fewer other rows than ``k`` all come back.  Rows
     whose vector is null, zero or holds null or non-finite components take no part, nor do rows with a null id, or with
     another number of components than most rows have (the fewest, if that is a tie).  Repeated rows count once.
+    ``candidates`` is the number of candidates per query, over all trees; unless given, it is measured for RECALL.
     """
     spark = rows.sparkSession
     small_batches(spark, 4096)
@@ -143,9 +148,59 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
     index_keys = classes.select("class", "vec").mapInArrow(hashed(True, False), form)
     query_keys = asked.mapInArrow(hashed(False, False), form)
     counts = index_keys.union(query_keys).groupBy("tree", "segment").applyInArrow(descended, "class long, level int, n long")
-    per_level = counts.groupBy("class", "level").agg(F.sum("n").alias("n"))
-    levels = stored(per_level.groupBy("class").agg(F.coalesce(
-        F.max(F.when(F.col("n") >= candidates, F.col("level"))), F.lit(lead)).alias("level")), "levels")
+    if lead:
+        sizes = index_keys.groupBy("tree", "segment").agg(F.count("*").alias("n"))
+        above = F.explode(F.sequence(F.lit(0), F.lit(lead - 1))).alias("level")
+        prefix = F.expr(f"shiftright(segment, {lead} - level)").alias("prefix")
+        sizes = sizes.select("*", above).groupBy("tree", "level", prefix).agg(F.sum("n").alias("n"))
+        counts = counts.union(query_keys.select("*", above).select("tree", "level", prefix, "class").join(
+            sizes, ["tree", "level", "prefix"]).select("class", "level", "n"))
+    per_level = stored(counts.groupBy("class", "level").agg(F.sum("n").alias("n")), "level-counts")
+
+    def nearest(names: np.ndarray, vectors: np.ndarray):
+        """The best ``k`` other classes of a partition for each sampled query, with the longest prefix that a tree shares."""
+        points = np.column_stack([vectors, np.zeros(len(vectors))]) - centre
+        own_keys = np.stack([hash_strings(points, tree) for tree in range(trees)], 1)
+        levels_ = np.arange(1, LEVELS + 1, dtype=np.uint64)
+
+        def of(batches):
+            best = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64), np.zeros((len(names), k), np.int64)
+            for batch in batches:
+                ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1)).astype(np.float64)
+                scores = np.where(names[:, None] == ids, -np.inf, vectors @ v.T)
+                top = np.argpartition(-scores, k - 1, axis=1)[:, :k] if len(ids) > k else np.tile(np.arange(len(ids)), (len(names), 1))
+                kept, at = np.unique(top, return_inverse=True)
+                extra = np.sqrt(np.maximum(longest - (v[kept] * v[kept]).sum(1), 0))
+                points = np.column_stack([v[kept], extra]) - centre
+                keys = np.stack([hash_strings(points, tree) for tree in range(trees)], 1)
+                apart = (keys[at.reshape(top.shape)] ^ own_keys[:, None]).min(2)
+                depth = (apart[..., None] >> (np.uint64(HASH_BITS) - levels_) == 0).sum(2)
+                merged = [np.concatenate(x, 1) for x in zip(best, (np.take_along_axis(scores, top, 1), ids[top], depth))]
+                chosen = np.argpartition(-merged[0], k - 1, axis=1)[:, :k]
+                best = tuple(np.take_along_axis(x, chosen, 1) for x in merged)
+            found = np.isfinite(best[0])
+            yield pa.RecordBatch.from_pydict({
+                "class": pa.array(np.repeat(names, found.sum(1))), "other": pa.array(best[1][found]),
+                "score": pa.array(best[0][found]), "depth": pa.array(best[2][found].astype(np.int32))})
+        return of
+
+    def measured() -> int:
+        """The number of candidates that finds the share RECALL of the sampled queries' neighbours, and never fewer than k."""
+        few = asked.orderBy(F.xxhash64("class"), "class").limit(SAMPLE_QUERIES).collect()
+        if not few:
+            return 1
+        names, vectors = np.array([r["class"] for r in few]), np.array([r.vec for r in few], np.float64)
+        true = classes.select("class", "vec").mapInArrow(nearest(names, vectors), "class long, other long, score double, depth int")
+        true = first_rows(true, ["class"], [F.desc("score"), F.col("other")], k).select("class", (F.col("depth") + 1).alias("level"))
+        below = true.join(per_level, ["class", "level"], "left").select(F.coalesce("n", F.lit(0)).alias("n")).collect()
+        needs = sorted(r.n + 1 for r in below)
+        return max(needs[int(np.ceil(RECALL * len(needs))) - 1] if needs else 1, trees * (k + 1))
+
+    wanted = F.lit(measured() if candidates is None else candidates)
+    reached = F.min(F.when(F.col("n") >= wanted, F.col("n")))
+    deepest = F.max(F.when(F.col("n") >= wanted, F.col("level")))
+    levels = stored(per_level.groupBy("class").agg(
+        F.when(reached < total, deepest).otherwise(0).alias("level")), "levels")
 
     def compared(t: pa.Table) -> pa.Table:
         keys, mine, queries, at = split(t)
@@ -169,11 +224,20 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
         kinds = {"class": np.int64, "other": np.int64, "score": np.float64}
         return pa.table({n: pa.array(np.concatenate([*out[n], np.empty(0, kind)]).astype(kind)) for n, kind in kinds.items()})
 
-    no_level = F.lit(0).alias("level")
-    index_rows = classes.select("class", "vec").mapInArrow(hashed(True, True), form + ", vec array<float>").select("*", no_level)
-    query_rows = asked.mapInArrow(hashed(False, True), form + ", vec array<float>").join(levels, "class").select(
-        *index_rows.columns)
-    near = index_rows.union(query_rows).groupBy("tree", "segment").applyInArrow(compared, "class long, other long, score double")
+    first = F.expr(f"shiftright(segment, greatest({lead} - level, 0))")
+    width_ = F.expr(f"shiftleft(1L, greatest({lead} - level, 0))")
+    visits = query_keys.join(levels, "class").where("level > 0 OR tree = 0").select(
+        "tree", F.explode(F.sequence(first * width_, first * width_ + width_ - 1)).alias("segment"), "own", "class", "key", "level")
+    visits = stored(visits, "visits")
+    parts = visits.groupBy("tree", "segment").agg(F.ceil(F.count("*") / SEGMENT_ROWS).cast("int").alias("parts"))
+    parts = stored(parts, "segment-parts")
+    columns = ["tree", "segment", "part", "own", "class", "key", "vec", "level"]
+    index_rows = classes.select("class", "vec").mapInArrow(hashed(True, True), form + ", vec array<float>").join(
+        parts, ["tree", "segment"]).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("level"))
+    query_rows = visits.join(parts, ["tree", "segment"]).join(asked, "class").withColumn(
+        "part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
+    near = index_rows.select(columns).union(query_rows.select(columns)).groupBy("tree", "segment", "part").applyInArrow(
+        compared, "class long, other long, score double")
     near = near.groupBy("class", "other").agg(F.max("score").alias("score"))
     near = first_rows(near, ["class"], [F.desc("score"), F.col("other")], 2 * k + 10)
     exact = (

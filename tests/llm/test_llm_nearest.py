@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from reviewlake.llm import prefix_forest, queries
@@ -63,3 +65,37 @@ def test_edge_rows(spark):
     got = collected(prefix_forest.search(few, F.col("vec_id") == 0))
     assert [i for i, _ in got[0]] == [4, 5, 3]
     assert prefix_forest.search(table.where("false"), F.lit(True)).count() == 0
+
+
+def spread(tmp_path, n, width):
+    """Vectors evenly spread over the sphere, in a file."""
+    points = np.random.default_rng(7).normal(size=(n, width)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), width).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": vectors}), str(tmp_path / "spread.parquet"))
+    return points.astype(np.float64), str(tmp_path / "spread.parquet")
+
+
+def recall(points, got, k):
+    hits = 0
+    for q, found in got.items():
+        scores = points @ points[q]
+        scores[q] = -np.inf
+        hits += len({i for i, _ in found} & set(np.argpartition(-scores, k)[:k].tolist()))
+    return hits / (k * len(got))
+
+
+def test_recall_holds_in_a_large_table(spark, tmp_path):
+    """Evenly spread vectors need more candidates the more rows there are."""
+    points, path = spread(tmp_path, 150_000, 64)
+    got = collected(prefix_forest.search(spark.read.parquet(path), F.col("vec_id") % 1500 == 0))
+    assert len(got) == 100 and recall(points, got, 20) >= 0.95
+
+
+def test_ascent_above_the_segments(spark, tmp_path, monkeypatch):
+    """Queries leave their segment if it holds too few candidates, and segments with many queries are cut into parts."""
+    monkeypatch.setattr(prefix_forest, "SEGMENT_ROWS", 128)
+    points, path = spread(tmp_path, 4000, 12)
+    for candidates, least in ((None, 0.95), (10_000, 1.0), (3000, 0.9)):
+        got = collected(prefix_forest.search(spark.read.parquet(path), F.col("vec_id") % 10 == 0, candidates=candidates))
+        assert len(got) == 400 and recall(points, got, 20) >= least
