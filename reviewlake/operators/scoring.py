@@ -216,8 +216,36 @@ def category_scores(files: DataFrame, findings: DataFrame, keys: tuple[str, ...]
     )
 
 
-def review_advice(scores: DataFrame) -> DataFrame:
-    """Strengths and recommendations from the signals and scores of :func:`category_scores`."""
+def with_merged_issues(scores: DataFrame, merged: DataFrame, keys: tuple[str, ...] = ("run_id", "path")) -> DataFrame:
+    """Scores of :func:`category_scores` with the counts of the merged issues; the scores stay those of the rules."""
+    counts = merged.groupBy(*keys).agg(
+        F.count("*").alias("issues"),
+        F.count_if(F.col("severity") == "critical").alias("critical_count"),
+        F.count_if(F.col("severity") == "high").alias("high_count"),
+    )
+    names = ("issues", "critical_count", "high_count")
+    return scores.drop(*names).join(counts, list(keys), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
+
+
+def model_notes(reviews: DataFrame, keys: tuple[str, ...] = ("run_id", "path")) -> DataFrame:
+    """Strengths and recommendations of all answers of a file (``model_strengths``, ``model_recommendations``).
+
+    ``reviews``: parsed answers with ``response_id``.  A note counts once, where it comes first in the order of the answers.
+    """
+    def listed(name: str) -> DataFrame:
+        rows = reviews.select(*keys, "response_id", F.posexplode(name).alias("pos", "note"))
+        first = rows.groupBy(*keys, "note").agg(F.min(F.struct("response_id", "pos")).alias("at"))
+        notes = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "note"))).alias("notes"))
+        return notes.select(*keys, F.col("notes.note").alias(f"model_{name}"))
+
+    return listed("strengths").join(listed("recommendations"), list(keys), "full")
+
+
+def review_advice(scores: DataFrame, notes: DataFrame | None = None, keys: tuple[str, ...] = ("run_id", "path")) -> DataFrame:
+    """Strengths and recommendations from the signals and scores of :func:`category_scores`.
+
+    The model's own (``notes``, see :func:`model_notes`) come first.
+    """
     # The advice texts, in order.
     strengths = F.array_compact(F.array(
         F.when(F.col("has_caching"), "Proper DataFrame caching implemented"),
@@ -235,6 +263,11 @@ def review_advice(scores: DataFrame) -> DataFrame:
         F.lit("Add comprehensive unit tests for transformation logic"),
         F.lit("Implement logging for pipeline monitoring and debugging"),
     ))
+    if notes is not None:
+        none = F.array().cast("array<string>")
+        scores = scores.join(notes, list(keys), "left")
+        strengths = F.concat(F.coalesce("model_strengths", none), strengths)
+        recommendations = F.concat(F.coalesce("model_recommendations", none), recommendations)
     return scores.withColumn("strengths", strengths).withColumns({
         "strengths": F.when(F.size("strengths") > 0, F.col("strengths")).otherwise(F.array(F.lit("Code structure is clean"))),
         "recommendations": recommendations,

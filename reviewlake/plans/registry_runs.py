@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.functions.severity import precision_band, rate_band, sarif_level, score_band
-from reviewlake.operators import delta, feedback, filters, fixes, merge, metrics, prompts, reports, scoring, validation, webhook
+from reviewlake.operators import delta, feedback, filters, fixes, merge, metrics, prompts, reports, responses, scoring, validation, webhook
 from reviewlake.plans import oracles, review
 from reviewlake.plans.registry import Tables, query
 from reviewlake.operators.skew import CHUNK
@@ -161,6 +161,60 @@ def _(t: Tables) -> DataFrame:
     return scoring.effort_estimate(scoring.category_scores(t.files, t.rule_findings)).select("path", "effort", "estimate", "summary")
 
 
+def _merged_scores(t: Tables) -> DataFrame:
+    """Category scores of the rules with the counts of the issues of rules and model."""
+    scores = scoring.category_scores(t.files, t.stored_findings, ("run_id", "path"))
+    return scoring.with_merged_issues(scores, merge.merge_findings_tagged(t.stored_findings, t.model_findings))
+
+
+_MERGED_COUNTS = oracles.MERGED + """,
+merged AS (SELECT path, count(*) AS issues, count(*) FILTER (severity = 'critical') AS critical_count, count(*) FILTER (severity = 'high') AS high_count
+  FROM placed WHERE place = target GROUP BY path),
+scored AS (SELECT c.* EXCLUDE (issues, critical_count, high_count), coalesce(m.issues, 0) AS issues,
+    coalesce(m.critical_count, 0) AS critical_count, coalesce(m.high_count, 0) AS high_count
+  FROM {category_raw} c LEFT JOIN merged m ON m.path = c.path)"""
+
+
+@query("review_advice_merged", _MERGED_COUNTS + """,
+said AS (
+  SELECT path, 's' AS kind, ordinal * 2 AS spot, concat('clear ', category) AS note FROM {model_findings} WHERE ordinal % 11 <> 0
+  UNION ALL SELECT path, 's', ordinal * 2 + 1, 'tested' FROM {model_findings} WHERE ordinal % 11 <> 0
+  UNION ALL SELECT path, 'r', ordinal * 2, CASE WHEN ordinal % 11 = 0 THEN '""" + responses.UNREADABLE_REVIEW + """' ELSE suggestion END
+  FROM {model_findings}),
+told AS (SELECT path, string_agg(note, '|' ORDER BY spot) FILTER (kind = 's') AS strengths,
+    string_agg(note, '|' ORDER BY spot) FILTER (kind = 'r') AS recommendations
+  FROM (SELECT path, kind, note, min(spot) AS spot FROM said GROUP BY path, kind, note) x GROUP BY path)
+SELECT c.path, CASE WHEN t.strengths IS NOT NULL OR s1 OR s2 OR s3 OR s4 OR s5 THEN concat_ws('|', t.strengths,
+    CASE WHEN s1 THEN 'Proper DataFrame caching implemented' END, CASE WHEN s2 THEN 'Using broadcast hints for join optimization' END,
+    CASE WHEN s3 THEN 'Error handling implemented' END, CASE WHEN s4 THEN 'Partition management for output optimization' END,
+    CASE WHEN s5 THEN 'Explicit schema definition used' END)
+  ELSE 'Code structure is clean' END AS strengths,
+  concat_ws('|', t.recommendations, CASE WHEN p < 85 THEN 'Review and optimize query performance patterns' END,
+    CASE WHEN a2 THEN 'Consider caching DataFrames that are reused multiple times' END,
+    CASE WHEN a3 THEN 'Consider broadcast hints for small lookup tables in joins' END,
+    CASE WHEN a4 THEN 'Consider partitioning output data for better query performance' END,
+    CASE WHEN issues > 0 THEN 'Address high-severity issues first for maximum impact' END,
+    'Add comprehensive unit tests for transformation logic', 'Implement logging for pipeline monitoring and debugging') AS recommendations
+FROM scored c LEFT JOIN told t ON t.path = c.path""")
+def _(t: Tables) -> DataFrame:
+    notes = scoring.model_notes(responses.parse_review(t.model_responses, ("run_id", "path", "response_id")))
+    advice = scoring.review_advice(_merged_scores(t), notes)
+    return advice.select("path", F.array_join("strengths", "|").alias("strengths"),
+                         F.array_join("recommendations", "|").alias("recommendations"))
+
+
+@query("effort_estimate_merged", _MERGED_COUNTS + """
+SELECT path, CAST(critical_count * 4 + high_count * 2 + issues AS BIGINT) AS effort,
+  CASE WHEN effort <= 4 THEN '1-2 hours' WHEN effort <= 8 THEN '2-4 hours' WHEN effort <= 15 THEN '4-8 hours' ELSE '1-2 days' END AS estimate,
+  concat('Analyzed ', CASE language WHEN 'pyspark' THEN 'PySpark' WHEN 'python' THEN 'Python' WHEN 'scala' THEN 'Scala' WHEN 'sql' THEN 'SQL'
+      WHEN 'terraform' THEN 'Terraform' END, ' code. Overall score: ', CAST(overall AS STRING), '/100',
+    CASE WHEN issues > 0 THEN concat('. Found ', CAST(issues AS STRING), ' issue(s): ', CAST(critical_count AS STRING), ' critical, ',
+      CAST(high_count AS STRING), ' high') ELSE '' END) AS summary
+FROM scored""")
+def _(t: Tables) -> DataFrame:
+    return scoring.effort_estimate(_merged_scores(t)).select("path", "effort", "estimate", "summary")
+
+
 REVIEW_ORACLE = """WITH answers AS (SELECT * FROM {answer_issues}),
 own AS (SELECT a.run_id, a.path, a.severity FROM answers a
   WHERE NOT EXISTS (SELECT 1 FROM {rule_findings} r WHERE r.path = a.path AND r.message = a.message)),

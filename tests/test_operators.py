@@ -9,7 +9,7 @@ from reviewlake.functions import language as lang
 from reviewlake.functions.jsnum import half_up
 from reviewlake.functions.rule_ids import finding_rule_id
 from reviewlake.functions.similarity import features, is_similar
-from reviewlake.operators import delta, feedback, filters, fixes, metrics, reports, responses, scoring, skew, validation, webhook
+from reviewlake.operators import delta, feedback, filters, fixes, merge, metrics, reports, responses, scoring, skew, validation, webhook
 from reviewlake.sources import pricing, sinks, tables
 
 
@@ -354,3 +354,22 @@ def test_advice_and_effort(spark):
     assert row.strengths == ["Proper DataFrame caching implemented", "Error handling implemented"]
     assert row.estimate == "4-8 hours" or row.effort == 8
     assert row.summary == "Analyzed Python code. Overall score: 90/100. Found 2 issue(s): 1 critical, 1 high"
+
+
+def test_advice_and_effort_count_the_model(spark):
+    """A similar model finding adds nothing to the counts, another one does; the scores stay those of the rules."""
+    files = spark.createDataFrame([("r", "a", "sql", "x = 1"), ("r", "b", "sql", "x")], "run_id string, path string, language string, content string")
+    columns = "run_id string, path string, ordinal long, severity string, category string, message string, suggestion string, line_number int"
+    found = spark.createDataFrame([("r", "a", 1, "high", "security", "plain password", "hide it", 3)], columns)
+    told = spark.createDataFrame([("r", "a", 1, "critical", "security", "same place", "s", 3, "why"),
+                                  ("r", "a", 2, "critical", "Logic", "wrong total", "s", 9, None)], columns + ", reasoning string")
+    answers = spark.createDataFrame([("r", "a", 2, ["tested", "short"], ["split it"]), ("r", "a", 1, ["short"], ["split it", "name it"])],
+                                    "run_id string, path string, response_id long, strengths array<string>, recommendations array<string>")
+    keys = ("run_id", "path")
+    scores = scoring.with_merged_issues(scoring.category_scores(files, found, keys), merge.merge_findings_tagged(found, told))
+    rows = {r.path: r for r in scoring.effort_estimate(scoring.review_advice(scores, scoring.model_notes(answers))).collect()}
+    assert (rows["a"].issues, rows["a"].critical_count, rows["a"].high_count, rows["a"].effort, rows["a"].security) == (2, 1, 1, 8, 85)
+    assert rows["a"].summary == "Analyzed SQL code. Overall score: 96/100. Found 2 issue(s): 1 critical, 1 high"
+    assert rows["a"].strengths == ["short", "tested"]
+    assert rows["a"].recommendations[:3] == ["split it", "name it", "Address high-severity issues first for maximum impact"]
+    assert (rows["b"].issues, rows["b"].effort, rows["b"].strengths) == (0, 0, ["Code structure is clean"])
