@@ -232,13 +232,17 @@ def model_notes(reviews: DataFrame, keys: tuple[str, ...] = ("run_id", "path"))
 
     ``reviews``: parsed answers with ``response_id``.  A note counts once, where it comes first in the order of the answers.
     """
-    def listed(name: str) -> DataFrame:
-        rows = reviews.select(*keys, "response_id", F.posexplode(name).alias("pos", "note"))
-        first = rows.groupBy(*keys, "note").agg(F.min(F.struct("response_id", "pos")).alias("at"))
-        notes = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "note"))).alias("notes"))
-        return notes.select(*keys, F.col("notes.note").alias(f"model_{name}"))
+    kinds = ("strengths", "recommendations")
 
-    return listed("strengths").join(listed("recommendations"), list(keys), "full")
+    def tagged(kind: str) -> Column:
+        return F.transform(kind, lambda note, pos: F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), note.alias("note")))
+
+    told = F.concat(*map(tagged, kinds))
+    rows = reviews.select(*keys, "response_id", F.explode(told).alias("told")).select(*keys, "response_id", "told.*")
+    first = rows.groupBy(*keys, "kind", "note").agg(F.min(F.struct("response_id", "pos")).alias("at"))
+    return first.groupBy(*keys).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", "note"))))["note"].alias(f"model_{kind}")
+        for kind in kinds])
 
 
 def review_advice(scores: DataFrame, notes: DataFrame | None = None, keys: tuple[str, ...] = ("run_id", "path")) -> DataFrame:
