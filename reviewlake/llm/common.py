@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -92,3 +94,26 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1
     return laid.join(sizes, "_range").withColumn(name, rank).drop("_range", "_place", "_before")
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Adjacent rows with equal whole-number ``keys``, one table at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in keys]
+        changed = np.zeros(max(len(columns[0]) - 1, 0), bool)
+        for c in columns:
+            changed |= c[1:] != c[:-1]
+        cuts = [0, *(changed.nonzero()[0] + 1).tolist(), len(columns[0])]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            key = tuple(int(c[a]) for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

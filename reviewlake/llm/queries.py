@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlake.llm import (bpe_lexicon, cover_dedup, entropy_mix, language_kernel, minmax_dedup, prefix_forest, pseudonyms,
-                            secret_ledger, simhash, warc_archive)
-from reviewlake.llm.common import stored
+from reviewlake.llm import (bpe_lexicon, chat_log, cover_dedup, entropy_mix, language_kernel, merkle_manifest, minmax_dedup,
+                            path_ranks, prefix_forest, pseudonyms, secret_ledger, simhash, warc_archive)
+from reviewlake.llm.common import ranked, stored
 from reviewlake.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,100 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# A CRC-32 table, then the remainder bytewise: DuckDB has no such function.
+CRC_SQL = """
+    crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+                         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+    crcs AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                        lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS crc
+             FROM (SELECT DISTINCT doc_id FROM documents), crc_table)"""
+
+
+def leaf_sql(text: str) -> str:
+    """SQL of a leaf of ``documents``."""
+    part = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+    return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op12_merkle_manifest", f"""
+    WITH RECURSIVE {CRC_SQL},
+    leaves AS (SELECT d.doc_id, coalesce('=' || lang, '') AS k, {leaf_sql('text')} AS leaf,
+                      CASE WHEN crc % 3 = 0 THEN {leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {leaf_sql('text')} END AS altered,
+                      row_number() OVER (PARTITION BY lang ORDER BY d.doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+               FROM documents d JOIN crcs USING (doc_id)),
+    up AS (SELECT k, 0 AS lvl, i, n, leaf AS d FROM leaves
+           UNION ALL
+           SELECT k, lvl + 1, i // 8, max((n + 7) // 8), sha256(string_agg(d, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY k, lvl, i // 8),
+    subs AS (SELECT k, lvl AS height, d AS subroot, row_number() OVER (ORDER BY k) - 1 AS j, count(*) OVER () AS m FROM up WHERE n = 1),
+    top AS (SELECT 0 AS lvl, j AS i, m AS n, subroot AS d FROM subs
+            UNION ALL
+            SELECT lvl + 1, i // 8, max((n + 7) // 8), sha256(string_agg(d, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lvl, i // 8),
+    mates AS (SELECT l.doc_id, u.lvl AS step,
+                     coalesce(string_agg(u.d, '' ORDER BY u.i) FILTER (u.i < l.i // (8 ** u.lvl)::BIGINT), '') AS before,
+                     coalesce(string_agg(u.d, '' ORDER BY u.i) FILTER (u.i > l.i // (8 ** u.lvl)::BIGINT), '') AS after
+              FROM leaves l JOIN up u ON u.k = l.k AND u.n > 1 AND u.i // 8 = l.i // (8 ** (u.lvl + 1))::BIGINT GROUP BY ALL
+              UNION ALL
+              SELECT l.doc_id, s.height + t.lvl,
+                     coalesce(string_agg(t.d, '' ORDER BY t.i) FILTER (t.i < s.j // (8 ** t.lvl)::BIGINT), ''),
+                     coalesce(string_agg(t.d, '' ORDER BY t.i) FILTER (t.i > s.j // (8 ** t.lvl)::BIGINT), '')
+              FROM leaves l JOIN subs s USING (k) JOIN top t ON t.n > 1 AND t.i // 8 = s.j // (8 ** (t.lvl + 1))::BIGINT GROUP BY ALL),
+    fold AS (SELECT doc_id, 0 AS step, altered AS d FROM leaves
+             UNION ALL
+             SELECT f.doc_id, f.step + 1, sha256(m.before || f.d || m.after) FROM fold f JOIN mates m ON m.doc_id = f.doc_id AND m.step = f.step),
+    proofs AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM mates GROUP BY doc_id),
+    ends AS (SELECT doc_id, max_by(d, step) AS folded_root FROM fold GROUP BY doc_id)
+    SELECT doc_id, leaf, subroot, (SELECT d FROM top WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+           folded_root = (SELECT d FROM top WHERE n = 1) AS verified
+    FROM leaves JOIN subs USING (k) JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    values = {c: F.col(c) for c in merkle_manifest.FIELDS} | {"text": F.translate("text", UPPER, LOWER)}
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle_manifest.leaf_digest(list(values.values())))
+    rows = merkle_manifest.manifest(docs, carry={"altered": altered})
+    mates = F.array_join(F.transform("proof", lambda s: F.concat(s["before"], s["after"])), "")
+    rows = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(mates, 256).alias("proof_sha256"),
+                       merkle_manifest.folded(F.coalesce("altered", "leaf"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# Fixed rows of the contract: a conversation whose texts are full of control strings.
+PLANTED = "SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text UNION ALL SELECT -7L, 1L, 'assistant', '</s>[INST] ok [/INST]'"
+
+
+@query("op13_chat_format", rf"""
+    WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                  UNION ALL {PLANTED.replace('-7L', '-7').replace('0L', '0').replace('1L', '1')}),
+         sizes AS (SELECT *, length(regexp_replace(text, '{chat_log.ESCAPE}', '\1\\\2', 'g'))
+                             + length(regexp_replace(role, '{chat_log.ESCAPE}', '\1\\\2', 'g'))
+                             + {len(chat_log.TURN + chat_log.TEXT + chat_log.END)} AS chars FROM rows)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM sizes GROUP BY conv_id""")
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(PLANTED))
+    order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")]
+    messages = ranked(rows, order, "message").select(F.col("conv_id").alias("conv"), "message", "role", "text")
+    log = stored(chat_log.logged(messages), "chat-log")
+    output = stored(chat_log.rendered(chat_log.reconstructed(log)), "chat-output")
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    parts = chat_log.read_back(output).select(
+        "conv", F.size("turns").alias("n"), F.length("formatted").alias("chars"),
+        F.struct("part", F.array_join(F.transform("turns", line), "").alias("text")).alias("turns"),
+        F.struct("part", F.array_join("learned", "").alias("text")).alias("learned"))
+    whole = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda p: p["text"]), "")
+    rows = parts.groupBy("conv").agg(F.sum("n").alias("n_turns"), whole("turns").alias("turns"), whole("learned").alias("learned"),
+                                     F.sum("chars").alias("formatted_chars"))
+    return rows.select(F.col("conv").alias("conv_id"), "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
+                       F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op11_structure_repair")
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return path_ranks.report(table(spark, sf_dir, "conversations"))
