@@ -17,7 +17,9 @@ import mmap
 import os
 import re
 import shutil
+import sys
 import tempfile
+import types
 import unicodedata
 import uuid
 from collections import Counter
@@ -26,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +39,15 @@ from reviewlake.llm.common import small_batches, stored
 
 LEXICON_WORDS = 200_000
 COUNTED_WORDS = 200_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 LONG_WORD = 64
 PIECE_CHARS = 1 << 20
+CHUNKS_AT_ONCE = 1 << 19
+ENCODED_ROWS = 1024
+SHORT_WORD = 40
+LATIN_END = "\u0250"  # letters below are the same in all versions of Unicode
+NO_RANK = (1 << 31) - 1
+MERGED_AT_ONCE = 4096
 
 
 def byte_symbols() -> list[str]:
@@ -69,14 +78,87 @@ class Vocabulary:
             "(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")",
         ) if self.specials else None
         self.symbols = byte_symbols()
+        self._number_pairs(pairs)
+        # Words that need no pattern: Latin letters, with one mark behind them, where the pattern cuts just there.
+        marks = [m for m in ".,;:!?" if self.words(f"ab{m}") == ["ab", m] and self.words("Ab") == ["Ab"]]
+        self.marks = frozenset(marks)
 
     def merge(self, word: str) -> tuple[int, ...]:
-        """Ids of one word: the adjacent pair of lowest rank is merged first, the leftmost among equals.
+        """Ids of one word: the adjacent pair of lowest rank is merged first, the leftmost among equals."""
+        return self.merge_many([word])[0]
+
+    def merge_many(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each word.  Words of similar length are merged side by side, very long ones by themselves."""
+        raw = [w.encode("utf-8") for w in words]
+        out: list[tuple[int, ...]] = [()] * len(raw)
+        order = sorted((k for k in range(len(raw)) if len(raw[k]) <= SHORT_WORD), key=lambda k: len(raw[k]))
+        for at in range(0, len(order), MERGED_AT_ONCE):
+            group = order[at:at + MERGED_AT_ONCE]
+            for k, ids in zip(group, self._merge_side_by_side([raw[k] for k in group])):
+                out[k] = ids
+        for k, word in enumerate(raw):
+            if len(word) > SHORT_WORD:
+                parts = [self.symbols[b] for b in word]
+                parts[-1] += self.end
+                out[k] = self._merge_long(parts)
+        return out
 
-        Pairs wait in a heap and symbols form a linked list, so a very long word takes n log n steps.
-        """
-        parts: list[str | None] = [self.symbols[b] for b in word.encode("utf-8")]
-        parts[-1] += self.end
+    def _number_pairs(self, pairs: list[tuple[str, str]]) -> None:
+        """Numbers instead of symbols: those of the vocabulary keep their ids, others get larger numbers."""
+        numbers = dict(self.ids)
+        self.n_ids = max(numbers.values(), default=-1) + 1
+        number = lambda s: numbers.setdefault(s, self.n_ids + len(numbers))
+        self.first = np.array([number(s) for s in self.symbols], np.int64)
+        self.last = np.array([number(s + self.end) for s in self.symbols], np.int64)
+        keys = np.array([number(a) << 32 | number(b) for a, b in pairs], np.int64)
+        self.made = np.array([number(a + b) for a, b in pairs] or [0], np.int64)
+        self.pair_rank = np.argsort(keys, kind="stable").astype(np.int32)
+        self.pair_keys = keys[self.pair_rank]
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; NO_RANK where there is no such merge (a missing symbol is -1)."""
+        if not len(self.pair_keys):
+            return np.full(a.shape, NO_RANK, np.int32)
+        wanted = np.where((a >= 0) & (b >= 0), a << 32 | b, -1)
+        at = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == wanted, self.pair_rank[at], NO_RANK).astype(np.int32)
+
+    def _merge_side_by_side(self, raw: list[bytes]) -> list[tuple[int, ...]]:
+        """One merge of every word per round; a word without a pair to merge leaves."""
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        width = int(sizes.max(initial=1))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        parts = np.full((len(raw), width + 1), -1, np.int64)
+        parts[np.arange(width + 1) < sizes[:, None]] = self.first[data]
+        some = sizes > 0
+        parts[some.nonzero()[0], sizes[some] - 1] = self.last[data[(np.cumsum(sizes) - 1)[some]]]
+        rank = self._ranks_of(parts[:, :-1], parts[:, 1:])
+        rows, open_parts = np.arange(len(raw)), parts
+        columns = np.arange(width + 1)
+        while len(rows):
+            i = rank.argmin(axis=1)
+            here = np.arange(len(rows))
+            least = rank[here, i]
+            done = least == NO_RANK
+            if done.any():
+                parts[rows[done]] = open_parts[done]
+                rows, open_parts, rank, i, least = (x[~done] for x in (rows, open_parts, rank, i, least))
+                here = here[:len(rows)]
+            if not len(rows):
+                break
+            open_parts[here, i] = self.made[least]
+            moved = np.minimum(columns + (columns > i[:, None]), width)
+            open_parts = np.take_along_axis(open_parts, moved, 1)
+            rank = np.take_along_axis(rank, np.minimum(columns[:-1] + (columns[:-1] >= i[:, None]), width - 1), 1)
+            rank[here, i] = self._ranks_of(open_parts[here, i], open_parts[here, i + 1])
+            left = (i > 0).nonzero()[0]
+            rank[left, i[left] - 1] = self._ranks_of(open_parts[left, i[left] - 1], open_parts[left, i[left]])
+        held = (parts >= 0) & (parts < self.n_ids)
+        flat, ends = parts[held].tolist(), np.cumsum(held.sum(axis=1)).tolist()
+        return [tuple(flat[x:y]) for x, y in zip([0, *ends], ends)]
+
+    def _merge_long(self, parts: list[str | None]) -> tuple[int, ...]:
+        """Pairs wait in a heap and symbols form a linked list, so a very long word takes n log n steps."""
         n, ranks = len(parts), self.ranks
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         waiting = [(ranks[p], i, p) for i in range(n - 1) if (p := (parts[i], parts[i + 1])) in ranks]
@@ -95,6 +177,15 @@ class Vocabulary:
                     heapq.heappush(waiting, (ranks[p], left, p))
         return tuple(self.ids[p] for p in parts if p is not None and p in self.ids)
 
+    def words_of(self, chunk: str) -> list[str]:
+        """The words of a run without white space."""
+        if self.marks and chunk and max(chunk) < LATIN_END:
+            if chunk.isalpha():
+                return [chunk]
+            if chunk[-1] in self.marks and chunk[:-1].isalpha():
+                return [chunk[:-1], chunk[-1]]
+        return self.words(chunk)
+
     def normal(self, text: str) -> str:
         """NFC and lower case, each character by itself (a final sigma is not special)."""
         if not text.isascii():
@@ -117,26 +208,41 @@ class Lexicon:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.file = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        view = memoryview(self.file)
-        *sizes, self.root = view[:64].cast("q").tolist()
+        *sizes, self.root = np.frombuffer(self.file, np.int64, 8).tolist()
         at = 64
         for (name, kind), n in zip(self.FIELDS, sizes):
-            width = n * (4 if kind == "i" else 1)
-            setattr(self, name, view[at:at + width].cast(kind))
-            at += -(-width // 8) * 8
+            setattr(self, name, np.frombuffer(self.file, np.int32 if kind == "i" else np.uint8, n, at))
+            at += -(-n * (4 if kind == "i" else 1) // 8) * 8
+        # Arcs are sorted by state and label, so one number finds an arc.
+        self.arc = np.repeat(np.arange(len(self.final), dtype=np.int64), np.diff(self.first)) * 256 + self.label
+
+    def ordinals(self, words: list[str]) -> np.ndarray:
+        """Ordinal of each word, -1 for a word that isn't held; all words walk through the automaton side by side."""
+        raw = [w.encode("utf-8") for w in words]
+        data, length = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        start, out = np.cumsum(length) - length, np.full(len(raw), -1, np.int64)
+        walking, state, ordinal = np.arange(len(raw)), np.full(len(raw), self.root, np.int64), np.zeros(len(raw), np.int64)
+        for step in range(int(length.max(initial=0)) + 1):
+            done = length[walking] == step
+            accepted = done & (self.final[state] == 1)
+            out[walking[accepted]] = ordinal[accepted]
+            walking, state, ordinal = walking[~done], state[~done], ordinal[~done]
+            if not len(walking) or not len(self.arc):
+                break
+            wanted = state * 256 + data[start[walking] + step]
+            arc = np.minimum(np.searchsorted(self.arc, wanted), len(self.arc) - 1)
+            held = self.arc[arc] == wanted
+            walking, arc = walking[held], arc[held]
+            state, ordinal = self.target[arc].astype(np.int64), ordinal[held] + self.skipped[arc]
+        return out
+
+    def get_many(self, words: list[str]) -> list[tuple[int, ...] | None]:
+        """The words' ids, None for a word that isn't held."""
+        starts, ids = self.starts, self.ids
+        return [None if k < 0 else tuple(ids[starts[k]:starts[k + 1]].tolist()) for k in self.ordinals(words).tolist()]
 
     def get(self, word: str) -> tuple[int, ...] | None:
-        """The word's ids, or None for a word that isn't held."""
-        state, ordinal, first, find = self.root, 0, self.first, self.file.find
-        for b in word.encode("utf-8"):
-            k = find(b.to_bytes(1, "big"), 64 + first[state], 64 + first[state + 1]) - 64
-            if k < 0:
-                return None
-            ordinal += self.skipped[k]
-            state = self.target[k]
-        if not self.final[state]:
-            return None
-        return tuple(self.ids[self.starts[ordinal]:self.starts[ordinal + 1]])
+        return self.get_many([word])[0]
 
     @classmethod
     def write(cls, path: str, entries: dict[str, tuple[int, ...]]) -> None:
@@ -211,51 +317,111 @@ def _chunks(text: str) -> list[str]:
     return SPACE.split(text) if SEPARATORS.search(text) else text.split()
 
 
-class Remembered(dict):
+class Remembered:
     """Results by key, in two generations of a bounded size: the older one goes when the newer one is full."""
 
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.older = make, size, {}
+    def __init__(self, size: int):
+        self.size, self.newer, self.older = size, {}, {}
+
+    def known(self, keys: list[str]) -> dict[str, tuple[int, ...]]:
+        """Those of the keys that are remembered."""
+        newer, older = self.newer, self.older
+        return {k: v for k in keys if (v := newer.get(k) or older.get(k)) is not None}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONG_WORD:
-            if len(self) >= self.size:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+    def keep(self, found: dict[str, tuple[int, ...]]) -> None:
+        for key, value in found.items():
+            if len(key) <= LONG_WORD:
+                if len(self.newer) >= self.size:
+                    self.newer, self.older = {}, self.newer
+                self.newer[key] = value
 
 
 class Encoder:
-    """Exact encoder of one worker: remembered words, then lexicon, then merges."""
+    """Exact encoder of one worker: remembered words, then lexicon, then merges.
+
+    The chunks of many texts are taken together: each distinct one is resolved once, and the ids are gathered by index.
+    """
 
     def __init__(self, vocabulary_path: str, lexicon_path: str | None):
         self.vocabulary = Vocabulary(vocabulary_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
-        self.by_word = Remembered(self._word, CACHED_WORDS).__getitem__
-        self.by_chunk = Remembered(self._chunk, CACHED_WORDS).__getitem__
+        self.words, self.chunks = Remembered(CACHED_WORDS), Remembered(CACHED_WORDS)
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self.lexicon.get(word) if self.lexicon else None
-        return self.vocabulary.merge(word) if ids is None else ids
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        words = self.vocabulary.words(chunk)
-        return self.by_word(words[0]) if len(words) == 1 else tuple(chain.from_iterable(map(self.by_word, words)))
+    @classmethod
+    def of_worker(cls, vocabulary_path: str, lexicon: str | None) -> Encoder:
+        """The encoder of this worker process, which later tasks find with its words remembered."""
+        held = sys.modules.setdefault("_bpe_encoders", types.ModuleType("_bpe_encoders")).__dict__
+        key = f"{vocabulary_path}|{lexicon}"
+        if key not in held:
+            for old in [k for k in held if "|" in k]:
+                del held[old]
+            held[key] = cls(vocabulary_path, SparkFiles.get(lexicon) if lexicon else None)
+        return held[key]
+
+    def _ids_of_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        found = self.words.known(words)
+        new = [w for w in words if w not in found]
+        held = self.lexicon.get_many(new) if self.lexicon and new else [None] * len(new)
+        made = {w: ids for w, ids in zip(new, held) if ids is not None}
+        rest = [w for w, ids in zip(new, held) if ids is None]
+        made.update(zip(rest, self.vocabulary.merge_many(rest)))
+        self.words.keep(made)
+        return found | made
+
+    def _ids_of_chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """Ids of distinct chunks."""
+        found = self.chunks.known(chunks)
+        split = {c: self.vocabulary.words_of(c) for c in chunks if c not in found}
+        ids = self._ids_of_words(list(dict.fromkeys(chain.from_iterable(split.values()))))
+        made = {c: ids[w[0]] if len(w) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, w))) for c, w in split.items()}
+        self.chunks.keep(made)
+        return [found[c] if c in found else made[c] for c in chunks]
+
+    def _resolved(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks in order, and the number of ids of each chunk."""
+        coded = pa.array(chunks, pa.string()).dictionary_encode()
+        codes, lists = coded.indices.to_numpy(), self._ids_of_chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        places = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - counts), counts) + np.arange(int(counts.sum()))
+        return flat[places], counts
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and the number of ids of each text."""
+        v, parts, sizes = self.vocabulary, [], np.zeros(len(texts), np.int64)
+        chunks: list[str] = []
+        owners: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            if not chunks:
+                return
+            ids, counts = self._resolved(chunks)
+            parts.append(ids)
+            np.add.at(sizes, np.repeat([o for o, _ in owners], [n for _, n in owners]), counts)
+            chunks.clear()
+            owners.clear()
+
+        for k, text in enumerate(texts):
+            special = v.special and any(s in text for s in v.specials)
+            for j, part in enumerate(v.special.split(text) if special else [text]):
+                if j % 2:
+                    flush()
+                    parts.append(np.array([v.specials[part]], np.int32))
+                    sizes[k] += 1
+                    continue
+                for piece in _pieces(part):
+                    new = _chunks(v.normal(piece))
+                    chunks += new
+                    owners.append((k, len(new)))
+                    if len(chunks) >= CHUNKS_AT_ONCE:
+                        flush()
+        flush()
+        return np.concatenate([*parts, np.empty(0, np.int32)]), sizes
 
     def encode(self, text: str) -> list[int]:
-        v, out = self.vocabulary, []
-        for k, part in enumerate(v.special.split(text) if v.special else [text]):
-            if k % 2:
-                out.append(v.specials[part])
-            else:
-                for piece in _pieces(part):
-                    out.extend(chain.from_iterable(map(self.by_chunk, _chunks(v.normal(piece)))))
-        return out
+        return self.encode_many([text])[0].tolist()
 
 
 def frequent_words(docs: DataFrame, vocabulary_path: str, text: str = "text", words: int = LEXICON_WORDS) -> list[str]:
@@ -269,15 +435,28 @@ def frequent_words(docs: DataFrame, vocabulary_path: str, text: str = "text", wo
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, chunks, seen = Vocabulary(vocabulary_path), Counter(), Counter()
+        waiting: list[str] = []
+
+        def count() -> None:
+            found = pa.array(waiting, pa.string()).value_counts()
+            for chunk, n in zip(found.field("values").to_numpy(zero_copy_only=False).tolist(), found.field("counts").to_numpy().tolist()):
+                chunks[chunk] += n
+            waiting.clear()
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 for piece in _pieces(t or ""):
-                    chunks.update(_chunks(v.normal(piece)))
+                    waiting += _chunks(v.normal(piece))
+                    if len(waiting) >= CHUNKS_AT_ONCE:
+                        count()
             if len(chunks) > 2 * COUNTED_WORDS:
-                chunks = Counter(dict(chunks.most_common(COUNTED_WORDS)))
+                kept = dict(chunks.most_common(COUNTED_WORDS))
+                chunks.clear()
+                chunks.update(kept)
+        count()
         for chunk, n in chunks.items():
             if n > 1:
-                for w in v.words(chunk):
+                for w in v.words_of(chunk):
                     seen[w] += n
         top = [(w, n) for w, n in seen.most_common(words) if n > 1 and len(w) <= LONG_WORD]
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()),
@@ -302,31 +481,44 @@ def ship_lexicon(spark: SparkSession, words: list[str], vocabulary_path: str) ->
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     folder = os.path.realpath(tempfile.mkdtemp(prefix="lexicon-"))
     atexit.register(shutil.rmtree, folder, True)
-    Lexicon.write(f"{folder}/{name}", {w: vocabulary.merge(w) for w in words})
+    Lexicon.write(f"{folder}/{name}", dict(zip(words, vocabulary.merge_many(words))))
     spark.sparkContext.addFile(f"{folder}/{name}")
     return name
 
 
+def joined_tokens(tokens: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The tokens of each text joined by one space."""
+    if not len(ids):
+        return pa.array([""] * (len(ends) - 1), pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens.take(pa.array(ids)))
+    return pc.binary_join(lists, " ")
+
+
 def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", lexicon: str | None = None,
-           ids: str = "ids") -> DataFrame:
+           ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add the column ``ids`` (array<int>) with the whole text's tokens; a null text counts as empty.
 
     Equal to the public tokenizer without added special tokens, cutting and padding.  Strings of special tokens in a
-    text become those tokens, as there.  All other columns are kept; a column named like ``ids`` is replaced.
+    text become those tokens, as there.  All other columns are kept; a column named like ``ids`` is replaced.  With
+    ``decoded``, that column gets the text decoded from the ids in the same pass (see :func:`decode`).
     """
-    docs = docs.drop(ids)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    docs = docs.drop(*[c for c in (ids, decoded) if c])
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([*docs.schema.fields, *added])
+    names = schema.names
     at = docs.columns.index(text)
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ENCODED_ROWS)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary_path, SparkFiles.get(lexicon) if lexicon else None)
+        encoder = Encoder.of_worker(vocabulary_path, lexicon)
+        tokens = pa.array(encoder.vocabulary.tokens, pa.string())
         for batch in batches:
-            lists = [np.asarray(encoder.encode(t or ""), np.int32) for t in batch.column(at).to_pylist()]
-            starts = np.cumsum([0, *map(len, lists)])
-            column = pa.ListArray.from_arrays(pa.array(starts, pa.int32()),
-                                              pa.array(np.concatenate([*lists, np.empty(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, ids])
+            flat, sizes = encoder.encode_many([t or "" for t in batch.column(at).to_pylist()])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+            if decoded:
+                columns.append(joined_tokens(tokens, flat, ends))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
 
     return docs.mapInArrow(encoded, schema)
 
@@ -339,19 +531,17 @@ def decode(docs: DataFrame, vocabulary_path: str, ids: str = "ids", text: str =
     small_batches(docs.sparkSession)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.array(Vocabulary(vocabulary_path).tokens, object)
+        tokens = pa.array(Vocabulary(vocabulary_path).tokens, pa.string())
         for batch in batches:
             column = batch.column(at)
             ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
-            found = tokens[column.flatten().to_numpy()]
-            texts = [" ".join(found[a:b].tolist()) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             names=[*batch.schema.names, text])
+            texts = joined_tokens(tokens, column.flatten().to_numpy(), ends)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, text])
 
     return docs.mapInArrow(decoded, schema)
 
 
-def tokenized(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
-    """Frequent words, lexicon and ids in one call."""
+def tokenized(docs: DataFrame, vocabulary_path: str, text: str = "text", decoded: str | None = None) -> DataFrame:
+    """Frequent words, lexicon and ids (and decoded text) in one call."""
     words = frequent_words(docs, vocabulary_path, text)
-    return encode(docs, vocabulary_path, text, ship_lexicon(docs.sparkSession, words, vocabulary_path))
+    return encode(docs, vocabulary_path, text, ship_lexicon(docs.sparkSession, words, vocabulary_path), decoded=decoded)

@@ -45,7 +45,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = bpe_lexicon.decode(bpe_lexicon.tokenized(docs, TOKENIZER).drop("text"), TOKENIZER)
+    rows = bpe_lexicon.tokenized(docs, TOKENIZER, decoded="decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

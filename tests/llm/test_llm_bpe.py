@@ -82,15 +82,37 @@ def test_long_words_and_pieces(library, monkeypatch):
 
 
 def test_remembered_is_bounded():
-    made = []
-    seen = bpe_lexicon.Remembered(lambda k: made.append(k) or (k,), 3)
+    seen = bpe_lexicon.Remembered(3)
     for k in "abcabcdeabc":
-        assert seen[k] == (k,)
-    assert len(seen) <= 3 and len(seen.older) <= 3
+        if k not in seen.known([k]):
+            seen.keep({k: (k,)})
+        assert seen.known([k, "z"]) == {k: (k,)}
+    assert len(seen.newer) <= 3 and len(seen.older) <= 3
+
+
+def test_many_texts_as_one_by_one(monkeypatch, library):
+    """Small groups of chunks, special tokens and empty texts between others."""
+    monkeypatch.setattr(bpe_lexicon, "CHUNKS_AT_ONCE", 3)
+    texts = ["", "a b c d e", "x<|endoftext|>y z", "  ", "the the the the", "<|startoftext|><|endoftext|>", "don't é stop"] * 3
+    ids, sizes = bpe_lexicon.Encoder(PATH, None).encode_many(texts)
+    want = [ids_of(library, t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_both_merges_agree():
+    rng, v = random.Random(5), bpe_lexicon.Vocabulary(PATH)
+    words = ["".join(rng.choice("etaoinshré中") for _ in range(rng.randint(1, 14))) for _ in range(2000)]
+    for word, ids in zip(words, v.merge_many(words)):
+        parts = [v.symbols[b] for b in word.encode()]
+        parts[-1] += v.end
+        assert ids == v._merge_long(parts), word
 
 
 def test_edge_rows(edge, nothing, library):
-    rows = bpe_lexicon.decode(bpe_lexicon.tokenized(edge, PATH), PATH).collect()
+    twice = bpe_lexicon.decode(bpe_lexicon.tokenized(edge, PATH), PATH)
+    once = bpe_lexicon.tokenized(edge, PATH, decoded="decoded")
+    rows = once.collect()
+    assert sorted(map(repr, twice.collect())) == sorted(map(repr, rows))
     assert len(rows) == len(TEXTS)
     for r in rows:
         want = ids_of(library, r.text or "")
