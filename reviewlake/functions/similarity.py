@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A shared keyword makes two messages similar.
@@ -34,3 +35,28 @@ def is_similar(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a["words"], b["words"]))
     overlap = common / F.greatest(F.size(a["words"]), F.size(b["words"])) > MIN_OVERLAP
     return same_line | shared_keyword | (a["category"].eqNullSafe(b["category"]) & overlap)
+
+
+BUCKETS = 4096
+
+
+def word_rarity(findings: DataFrame) -> bytes:
+    """One byte per word bucket that grows with the bucket's number of words in ``f.words``.
+
+    BUCKETS numbers, whatever the input: any order of words gives the same results, a better one compares less.
+    """
+    words = findings.select(F.explode("f.words").alias("word"))
+    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).count().collect()
+    out = bytearray(BUCKETS)
+    for bucket, n in counts:
+        out[bucket] = min(255, int(8 * math.log2(n + 1)))
+    return bytes(out)
+
+
+def rarest_first(words: Column, rarity: bytes) -> Column:
+    """The words in the common order of :func:`word_rarity`."""
+    def place(w: Column) -> Column:
+        at = F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int") + 1
+        return F.struct(F.substring(F.lit(rarity), at, F.lit(1)).alias("rarity"), w.alias("word"))
+
+    return F.transform(F.array_sort(F.transform(words, place)), lambda p: p["word"])

@@ -39,11 +39,42 @@ def page(df: DataFrame, ts: str, tie: str, limit: int, offset: int) -> DataFrame
     return df.orderBy(F.desc(ts), F.desc(tie)).offset(offset).limit(limit)
 
 
+def days_between(df: DataFrame, ts_from=None, ts_to=None, day: str = "day") -> DataFrame:
+    """Partition filter for a time range over a table with a folder per day; other tables stay as they are."""
+    if day not in df.columns:
+        return df
+    for bound, keep in ((ts_from, lambda d: F.col(day) >= d), (ts_to, lambda d: F.col(day) <= d)):
+        if bound:
+            df = df.where(keep(F.to_date(F.lit(bound).cast("timestamp_ntz"))))
+    return df
+
+
+def newest_days(found: DataFrame, table: DataFrame, rows: int, day: str = "day") -> DataFrame:
+    """Those of the ``found`` rows on the newest days of ``table`` that hold at least ``rows`` of them.
+
+    Days are tried in doubling numbers, so a page in front reads a day or two, and no try reads more than twice what it needs.
+    """
+    if day not in table.columns:
+        return found
+    # Folder names, without any data column.
+    days = [r[0] for r in table.select(day).where(F.col(day).isNotNull()).distinct().orderBy(F.desc(day)).collect()]
+    tried = 1
+    while tried < len(days):
+        newest = found.where(F.col(day) >= F.lit(days[tried - 1]))
+        if newest.limit(rows).count() == rows:
+            return newest
+        tried *= 2
+    return found
+
+
 def filter_metrics(df: DataFrame, *, repository=None, project_id=None, status=None, source=None,
                    ts_from=None, ts_to=None, limit: int = METRIC_PAGE, offset: int = 0) -> DataFrame:
     """One page of metric rows; a limit of 0 means the default."""
     equal = {"repository": repository, "project_id": project_id, "status": status, "source": source}
-    return page(matching(df, equal, "ts", ts_from, ts_to), "ts", "id", limit or METRIC_PAGE, offset)
+    days = days_between(df, ts_from, ts_to)
+    found = matching(days, equal, "ts", ts_from, ts_to)
+    limit = limit or METRIC_PAGE
+    return page(newest_days(found, days, offset + limit), "ts", "id", limit, offset)
 
 
 def filter_runs(df: DataFrame, *, repository=None, project_id=None, status=None, source=None, workflow_run_id=None,
@@ -51,7 +82,10 @@ def filter_runs(df: DataFrame, *, repository=None, project_id=None, status=None,
     """One page of run rows; a limit of 0 means the default."""
     equal = {"repository": repository, "project_id": project_id, "status": status,
              "workflow_run_id": workflow_run_id, "gate_status": gate_status, "source": source}
-    return page(matching(df, equal, "ts", ts_from, ts_to), "ts", "run_id", limit or RUN_PAGE, offset)
+    days = days_between(df, ts_from, ts_to)
+    found = matching(days, equal, "ts", ts_from, ts_to)
+    limit = limit or RUN_PAGE
+    return page(newest_days(found, days, offset + limit), "ts", "run_id", limit, offset)
 
 
 def run_lookup(df: DataFrame, run_id: str) -> DataFrame:

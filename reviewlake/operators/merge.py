@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from reviewlake.functions.similarity import features, is_similar
-from reviewlake.operators.skew import CHUNK, first_rows
+from reviewlake.functions.similarity import MIN_OVERLAP, features, is_similar, rarest_first, word_rarity
+from reviewlake.operators.holders import greedy
 from reviewlake.session import cut_lineage
 
 KEYS = ("run_id", "path")
@@ -39,148 +41,39 @@ def _first_similar(candidates: Column, finding: Column) -> Column:
     return F.get(F.filter(candidates, lambda c: is_similar(c["f"], finding["f"])), F.lit(0))
 
 
-def _fold(seeds: Column, models: Column) -> Column:
-    """Greedy pass over the ordered ``models``: array of (ordinal, target_model, target)."""
-    entry = "struct<model:int,ordinal:bigint,f:struct<line:int,keywords:int,category:string,words:array<string>>>"
-    start = F.struct(
-        seeds.alias("known"),
-        F.array().cast("array<struct<ordinal:bigint,target_model:int,target:bigint>>").alias("out"),
-        F.lit(None).cast(entry).alias("hit"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        # The hit is found first and kept in the state, so the search runs once per finding.
-        found = F.struct(acc["known"].alias("known"), acc["out"].alias("out"),
-                         _first_similar(acc["known"], x).alias("hit"))
-        return F.transform(F.array(found), lambda s: F.struct(
-            F.when(s["hit"].isNull(), F.array_append(s["known"], x)).otherwise(s["known"]).alias("known"),
-            F.array_append(s["out"], F.struct(
-                x["ordinal"].alias("ordinal"),
-                F.coalesce(s["hit"]["model"], F.lit(1)).alias("target_model"),
-                F.coalesce(s["hit"]["ordinal"], x["ordinal"]).alias("target"),
-            )).alias("out"),
-            F.lit(None).cast(entry).alias("hit"),
-        ))[0]
-
-    return F.aggregate(models, start, step, lambda acc: acc["out"])
-
-
-def _arrays(rules: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per file: ordered seeds and ordered model findings, in one shuffle."""
-    both = _candidates(rules, keys).withColumn("m", F.lit(0)).unionByName(
-        _candidates(models, keys).withColumn("m", F.lit(1))
-    )
-    item = F.struct(F.col("m").alias("model"), "ordinal", "f")
-    grouped = both.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    return grouped.select(
-        *keys,
-        F.filter("all", lambda x: x["model"] == 0).alias("seeds"),
-        F.filter("all", lambda x: x["model"] == 1).alias("models"),
-    )
-
-
-def assignments(
-    rules: DataFrame, models: DataFrame, keys: tuple[str, ...] = KEYS, fold_limit: int = CHUNK
-) -> DataFrame:
-    """Per model finding: ``target_model`` (0 rule, 1 model) and ``target`` ordinal it belongs to.
-
-    A finding that becomes a candidate has itself as target.  Files with up to ``fold_limit``
-    findings are folded in one expression per file.  Larger files take the exact path of
-    :func:`_large_files`, which never holds such a file in one task.
-    """
-    return _assign(rules, models, list(keys), fold_limit, _large_keys(rules, models, list(keys), fold_limit))
-
-
-def _large_keys(rules: DataFrame, models: DataFrame, keys: list[str], fold_limit: int) -> DataFrame | None:
-    """Files with more findings than one fold takes, or None.  Only keys are counted."""
-    sizes = models.select(*keys).unionByName(rules.select(*keys)).groupBy(*keys).agg(F.count("*").alias("rows"))
-    large = cut_lineage(sizes.where(F.col("rows") > fold_limit))
-    return None if large.isEmpty() else large
-
+def _with_class(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates with the class of findings that have the same features (``cls``)."""
+    same = F.struct("f.line", "f.keywords", "f.category", F.sort_array("f.words").alias("words"))
+    return _candidates(df, keys).withColumn("cls", F.sha2(F.to_json(same), 256))
 
-def _assign(rules: DataFrame, models: DataFrame, keys: list[str], fold_limit: int, large: DataFrame | None) -> DataFrame:
-    if large is None:
-        return _small_files(rules, models, keys)
-    small = _small_files(rules.join(large, keys, "left_anti"), models.join(large, keys, "left_anti"), keys)
-    big = _large_files(rules.join(large, keys, "left_semi"), models.join(large, keys, "left_semi"), keys, fold_limit)
-    # The result is used twice from here on, so the fold is not run again.
-    return cut_lineage(small.unionByName(big))
 
+def _classes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per file and class: its first finding and its size.  Combined before the shuffle."""
+    return df.groupBy(*keys, "cls").agg(F.min("ordinal").alias("ordinal"), F.first("f").alias("f"), F.count("*").alias("members"))
 
-def _small_files(rules: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
-    folded = _arrays(rules, models, keys).where(F.size("models") > 0)
-    return folded.select(*keys, F.inline_outer(_fold(F.col("seeds"), F.col("models")))).where("ordinal IS NOT NULL")
 
+def assignments(rules: DataFrame, models: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Per model finding: ``target_model`` (0 rule, 1 model) and ``target`` ordinal it belongs to.
 
-def _attach(rest: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """Give every open finding after ``last`` the first similar one of the ``known`` array, if any.
-
-    ``known`` has one bounded array per file.  The rows of a large file are spread over copies of that array, one for
-    each CHUNK rows, so the file is not pulled into one task.
-    """
-    copies = rest.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).alias("copies")).join(known, keys)
-    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    spread = rest.join(copies.select(*keys, "copies").distinct(), keys, "left")
-    salted = spread.withColumn("salt", F.pmod(F.xxhash64("ordinal"), F.coalesce("copies", F.lit(1)))).drop("copies")
-    found = salted.join(copies.drop("copies"), [*keys, "salt"], "left").drop("salt")
-    found = found.where(F.col("last").isNull() | (F.col("ordinal") > F.col("last"))).drop("last")
-    return found.withColumn("hit", F.when(
-        F.col("known").isNotNull(), _first_similar(F.col("known"), F.struct("f"))
-    )).drop("known")
-
-
-def _decided(df: DataFrame, keys: list[str]) -> DataFrame:
-    hit = F.col("hit")
-    return df.where(hit.isNotNull()).select(
-        *keys, "ordinal", hit["model"].alias("target_model"), hit["ordinal"].alias("target")
-    )
-
-
-def _large_files(rules: DataFrame, models: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """Exact greedy merge for files of any size, block by block in order.
-
-    Each round folds the first ``block`` open findings of every file, which settles them, and then
-    attaches all later findings that are similar to one of the block's new candidates.  Rounds go
-    up in order, so the first round that attaches a finding has found its first similar candidate.
-    Rule findings are candidates from the start and are attached to in blocks as well.
+    A finding that becomes a candidate has itself as target.  Findings with equal features go where the first of them
+    goes, so only that one is decided; a file's classes pass through one task in order, which holds a first-holder index of
+    the candidates (see :mod:`holders`) and no rows.
     """
-    rest = _candidates(models, keys)
-    seeds = cut_lineage(_candidates(rules, keys))
-    parts: list[DataFrame] = []
-
-    def settle(known: DataFrame) -> None:
-        nonlocal rest
-        step = cut_lineage(_attach(rest, known, keys))
-        parts.append(_decided(step, keys))
-        rest = step.where(F.col("hit").isNull()).drop("hit")
-
-    while not seeds.isEmpty():
-        head = cut_lineage(first_rows(seeds, keys, [F.col("ordinal")], block))
-        settle(head.groupBy(*keys).agg(
-            F.array_sort(F.collect_list(_item(0))).alias("known"), F.lit(None).cast("long").alias("last")
-        ))
-        seeds = cut_lineage(seeds.join(head.select(*keys, "ordinal"), [*keys, "ordinal"], "left_anti"))
-
-    while not rest.isEmpty():
-        head = first_rows(rest, keys, [F.col("ordinal")], block)
-        arrays = head.groupBy(*keys).agg(F.array_sort(F.collect_list(_item(1))).alias("models"))
-        nothing = F.filter("models", lambda x: F.lit(False))
-        folded = cut_lineage(arrays.select(*keys, "models", _fold(nothing, F.col("models")).alias("out")))
-        parts.append(folded.select(*keys, F.inline("out")))
-        kept = F.transform(F.filter("out", lambda o: o["target"] == o["ordinal"]), lambda o: o["ordinal"])
-        settle(folded.select(
-            *keys,
-            F.filter("models", lambda m: F.array_contains(kept, m["ordinal"])).alias("known"),
-            F.array_max(F.transform("out", lambda o: o["ordinal"])).alias("last"),
-        ))
-
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _merged(rules: DataFrame, models: DataFrame, keys: list[str], fold_limit: int) -> DataFrame:
+    keys = list(keys)
+    found = _with_class(models, keys)
+    both = _with_class(rules, keys).select(*keys, F.lit(0).alias("kind"), "ordinal", "f").unionByName(
+        _classes(found, keys).select(*keys, F.lit(1).alias("kind"), "ordinal", "f"))
+    rarity = word_rarity(both)
+    rows = both.select(*keys, "kind", "ordinal", "f.line", "f.keywords", "f.category", rarest_first(F.col("f.words"), rarity).alias("words"))
+    schema = T.StructType([*(models.schema[k] for k in keys), *T._parse_datatype_string(
+        "ordinal long, target_model int, target long").fields])
+    decided = rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "ordinal").mapInArrow(
+        greedy(to_arrow_schema(schema), len(keys)), schema)
+    heads = _classes(found, keys).select(*keys, "cls", "ordinal").join(decided, [*keys, "ordinal"]).drop("ordinal")
+    return found.select(*keys, "ordinal", "cls").join(heads, [*keys, "cls"]).drop("cls")
+
+
+def _merged(rules: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
     """One row per merged finding; see :func:`_put_together`."""
     columns = ["severity", "category", "message", "line_number", "suggestion"]
     seed = rules.select(
@@ -188,7 +81,7 @@ def _merged(rules: DataFrame, models: DataFrame, keys: list[str], fold_limit: in
         F.lit(0).alias("target_model"), F.col("ordinal").cast("long").alias("target"), F.lit(0).alias("is_model"),
     )
     found = models.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), *columns, "reasoning").join(
-        assignments(rules, models, tuple(keys), fold_limit), [*keys, "ordinal"]
+        assignments(rules, models, tuple(keys)), [*keys, "ordinal"]
     ).withColumn("is_model", F.lit(1))
     return _put_together(seed.unionByName(found), keys, "\n\nAI Analysis: ")
 
@@ -209,15 +102,13 @@ def _put_together(rows: DataFrame, keys: list[str], note: str) -> DataFrame:
     )
 
 
-def merge_findings(
-    rules: DataFrame, models: DataFrame, keys: tuple[str, ...] = KEYS, fold_limit: int = CHUNK
-) -> DataFrame:
+def merge_findings(rules: DataFrame, models: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Merged findings: a similar model finding adds its reasoning to the finding it attaches to.
 
     Order within a file: ``target_model``, ``ordinal`` (rule findings first).
     """
     keys = list(keys)
-    merged = _merged(rules, models, keys, fold_limit)
+    merged = _merged(rules, models, keys)
     return merged.select(
         *keys, "target_model", F.col("target").alias("ordinal"),
         "base.severity", "base.category", "base.message", "base.line_number",
@@ -227,12 +118,10 @@ def merge_findings(
     )
 
 
-def merge_findings_tagged(
-    rules: DataFrame, models: DataFrame, keys: tuple[str, ...] = KEYS, fold_limit: int = CHUNK
-) -> DataFrame:
+def merge_findings_tagged(rules: DataFrame, models: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The interactive variant: tags each finding internal, external or both and keeps no reasoning field."""
     keys = list(keys)
-    merged = _merged(rules, models, keys, fold_limit)
+    merged = _merged(rules, models, keys)
     own = F.col("base.reasoning")
     added = F.when(F.coalesce(own, F.lit("")) != "", F.concat(F.lit("\n\nReasoning: "), own)).otherwise("")
     return merged.select(
@@ -297,6 +186,55 @@ def first_similar_rule(rules: DataFrame, models: DataFrame, keys: tuple[str, ...
     )
 
 
+def similar_links(rules: DataFrame, models: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """All similar pairs among the findings of a file, as classes with link counts; one row per finding.
+
+    Findings with equal features are one class (``class_kind``, ``class_ordinal``: its first finding; ``members``: its size).  ``links``
+    is the number of other findings that are similar.  A shared line or keyword is counted from totals per line and
+    per keyword set, so their cliques are never paired; only classes that are similar by their words alone meet, in a
+    join on the rarest words of each (the words that an overlap above 60 % has to touch).
+    """
+    keys = list(keys)
+    both = _with_class(rules, keys).withColumn("kind", F.lit(0)).unionByName(_with_class(models, keys).withColumn("kind", F.lit(1)))
+    rarity = word_rarity(both)
+    classes = cut_lineage(both.groupBy(*keys, "cls").agg(
+        F.min(F.struct("kind", "ordinal")).alias("head"), F.first("f").alias("f"), F.count("*").alias("members")
+    ).select(*keys, "cls", "head", "members", "f.line", "f.keywords", F.coalesce(F.concat(F.lit("="), "f.category"), F.lit("-")).alias("category"),
+             rarest_first(F.col("f.words"), rarity).alias("words")))
+
+    def totals(part: DataFrame, by: list[str], meet: Column, name: str) -> DataFrame:
+        """Findings that meet each keyword set within ``by``: few sets per file or line, whatever the number of findings."""
+        sets = part.groupBy(*by, "keywords").agg(F.sum("members").alias("n"))
+        other = sets.withColumnsRenamed({"keywords": "other", "n": "other_n"})
+        return sets.join(other, by).where(meet).groupBy(*by, "keywords").agg(F.sum("other_n").alias(name))
+
+    shared = F.col("keywords").bitwiseAND(F.col("other"))
+    on_keyword = totals(classes.where("keywords <> 0"), keys, shared != 0, "on_keyword")
+    on_line = totals(classes.where("line <> 0"), [*keys, "line"], shared == 0, "on_line")
+
+    size = F.size("words")
+    prefix = F.slice("words", F.lit(1), size - F.floor(size * 3 / 5).cast("int"))
+    posted = classes.select(*keys, "category", "cls", "members", "line", "keywords", "words", prefix.alias("prefix"))
+    posted = posted.withColumn("word", F.explode("prefix"))
+    mine = ["cls", "members", "line", "keywords", "words", "prefix"]
+    other = posted.withColumnsRenamed({c: f"other_{c}" for c in mine})
+    met = posted.join(other, [*keys, "category", "word"]).where(
+        (F.col("cls") < F.col("other_cls"))
+        & ((F.col("line") == 0) | (F.col("line") != F.col("other_line"))) & (F.col("keywords").bitwiseAND(F.col("other_keywords")) == 0)
+        # A pair meets under each shared prefix word: the first one counts.
+        & (F.get(F.array_intersect("prefix", "other_prefix"), F.lit(0)) == F.col("word"))
+        & (F.size(F.array_intersect("words", "other_words")) / F.greatest(F.size("words"), F.size("other_words")) > MIN_OVERLAP))
+    ends = F.explode(F.array(F.struct(F.col("cls"), F.col("other_members").alias("n")), F.struct(F.col("other_cls").alias("cls"), F.col("members").alias("n"))))
+    on_words = met.select(*keys, ends.alias("e")).groupBy(*keys, F.col("e.cls").alias("cls")).agg(F.sum("e.n").alias("on_words"))
+
+    linked = classes.join(on_keyword, [*keys, "keywords"], "left").join(on_line, [*keys, "line", "keywords"], "left").join(on_words, [*keys, "cls"], "left")
+    own = F.when((F.col("line") == 0) & (F.col("keywords") == 0), F.col("members")).otherwise(0)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    linked = linked.select(*keys, "cls", F.col("head.kind").alias("class_kind"), F.col("head.ordinal").alias("class_ordinal"), "members",
+                           (own + zero("on_keyword") + zero("on_line") + zero("on_words") - 1).alias("links"))
+    return both.select(*keys, "kind", "ordinal", "cls").join(linked, [*keys, "cls"]).drop("cls")
+
+
 def llm_findings_exact(rules: DataFrame, models: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Model findings whose message is not exactly the message of a rule finding of the same file."""
     said = rules.select(*keys, "message").distinct()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions.jsnum import exact_sum, half_up, round_micro, total
-from reviewlake.session import local_table
+from reviewlake.session import cut_lineage, local_table
 
 # Where a run can come from.
 SOURCES = ("pipeline", "application", "ide")
@@ -111,6 +114,17 @@ def _totals(groups: DataFrame, by: list[str]) -> DataFrame:
     return groups.groupBy(*by).agg(*sums, *distinct)
 
 
+def summary_groups(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Sums per (``by``, repository, project) that add up over parts of the runs."""
+    return runs.groupBy(*by, "repository", "project_id").agg(*_measures())
+
+
+def summary_of_groups(groups: DataFrame, by: list[str]) -> DataFrame:
+    """The 18 measures per ``by`` from any number of stored :func:`summary_groups`."""
+    merged = groups.groupBy(*by, "repository", "project_id").agg(*[F.sum(c).alias(c) for c in _ADDITIVE])
+    return _totals(merged, by).select(*by, *_summary_columns())
+
+
 def metrics_summary(runs: DataFrame) -> DataFrame:
     """The 18 dashboard measures over all given runs; zeros when there are none.
 
@@ -158,6 +172,27 @@ def token_totals(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def running_token_totals(runs: DataFrame, by: tuple[str, ...] = ("source",), order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
+    """The totals after each call: one row per call with its keys, in the order of ``order`` within ``by``.
+
+    A prefix scan in two levels: rows are sorted by ranges, so a source with most of the rows spans many tasks; a row's totals are
+    those of its range so far plus the sums of the source's ranges before.
+    """
+    counts = {"total_input_tokens": F.coalesce("input_tokens", F.lit(0)), "total_output_tokens": F.coalesce("output_tokens", F.lit(0)),
+              "call_count": F.lit(1).cast("long")}
+    keys = [F.col(c) for c in (*by, *order)]
+    rows = runs.select(*keys, *[c.alias(n) for n, c in counts.items()], F.coalesce("model", F.lit("")).alias("last_model"))
+    laid = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id())
+    laid = cut_lineage(laid).withColumn("range", F.shiftright("place", 33))
+    ranges = laid.groupBy(*by, "range").agg(*[F.sum(c).alias(c) for c in counts])
+    earlier = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*[F.col(c).alias(f"of_{c}") for c in (*by, "range")], *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in counts])
+    so_far = Window.partitionBy(*by, "range").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*by, "range")])
+    summed = laid.withColumns({c: F.sum(c).over(so_far) for c in counts}).join(ranges, same)
+    return summed.select(*keys, *[(F.col(c) + F.col(f"before_{c}")).alias(c) for c in counts], "last_model")
+
+
 def summary_bands(summary: DataFrame, band) -> DataFrame:
     """Summary with the band of its success rate."""
     return summary.withColumn("success_band", band(F.col("success_rate")))

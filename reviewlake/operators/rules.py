@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlake.functions.regex import render, required_literals
+from reviewlake.session import scratch_path
 from reviewlake.sources.rule_catalog import Rule, builtin_rules, scan_rule_catalog
 
 # A cheap necessary condition for a pattern without a literal part: every match holds three digits.
@@ -123,37 +128,82 @@ def rule_scan(files: DataFrame, rules: list[Rule] | None = None, keys: tuple[str
     return scanned.select(*keys, F.inline_outer("hits")).join(catalog, "ordinal").select(*keys, *FINDING_COLUMNS)
 
 
-def _custom_rules(rules: DataFrame) -> tuple[list[Rule], list[Rule]]:
-    """(valid, rejected) enabled pattern rules of a catalog, renumbered in their order.
-
-    A catalog is configuration, some hundred rows, so it is read once, like the built-in one.  A pattern is valid if the
-    engine can compile it.
-    """
-    spark, valid, rejected = rules.sparkSession, [], []
-    for n, r in enumerate(rules.where(F.col("enabled") & F.col("pattern").isNotNull()).orderBy("ordinal", "id").collect(), 1):
-        flags = "".join(f for f in ("i" if r.flags is None else r.flags) if f in "ims")
-        rule = Rule(n, r.id, r.name, True, r.group, r.pattern, flags, r.severity, r.category, r.message, r.suggestion, tuple(r.languages))
-        try:
-            spark.range(1).select(F.expr(f"rlike(string(id), {quoted(render(rule.pattern, rule.flags))})")).collect()
-            valid.append(rule)
-        except Exception:  # the engine names no narrower class for all malformed patterns
-            rejected.append(rule)
-    return valid, rejected
+GRAM = 3
+# Frequent characters of code: a gram without them is held by fewer files.
+FREQUENT = frozenset("etaoinsrhld ._=")
+
+
+def index_gram(literal: str) -> str:
+    """The gram of a literal that stands for it in the index, or empty if it has none (short, or not ASCII)."""
+    folded = literal.lower()
+    grams = [folded[k:k + GRAM] for k in range(len(folded) - GRAM + 1) if folded[k:k + GRAM].isascii()]
+    return min(grams, key=lambda g: sum(c in FREQUENT for c in g), default="")
+
+
+def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Catalog rows with their rendered patterns and index entries; patterns that cannot be read have none."""
+    entry = pa.struct([("gram", pa.string()), ("literal", pa.string()), ("earlier", pa.list_(pa.string()))])
+    for batch in batches:
+        matcher, confined, entries = [], [], []
+        for pattern, flags in zip(batch.column("pattern").to_pylist(), batch.column("flags").to_pylist()):
+            try:
+                whole, line = render(pattern, flags), render(pattern, flags, one_line=True)
+                literals = list(dict.fromkeys(x.lower() if "i" in flags else x for x in required_literals(pattern) or []))
+            except (IndexError, ValueError):
+                whole, line, literals = None, None, []
+            grams = [index_gram(x) for x in literals]
+            indexed = bool(literals) and all(grams)
+            matcher.append(whole)
+            confined.append(line)
+            entries.append([{"gram": g, "literal": x, "earlier": literals[:k]} for k, (g, x) in enumerate(zip(grams, literals))]
+                           if indexed else [{"gram": "", "literal": "", "earlier": []}])
+        added = [pa.array(matcher, pa.string()), pa.array(confined, pa.string()), pa.array(entries, pa.list_(entry))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "matcher", "confined", "entries"])
+
+
+def _catalog(rules: DataFrame) -> DataFrame:
+    """Enabled pattern rules, renumbered in their order, with patterns rendered and ``valid`` if the engine can compile them."""
+    enabled = rules.where(F.col("enabled") & F.col("pattern").isNotNull())
+    numbered = enabled.select(
+        F.row_number().over(Window.orderBy("ordinal", "id")).alias("ordinal"), *[c for c in rules.columns if c not in ("ordinal", "flags")],
+        F.regexp_replace(F.coalesce("flags", F.lit("i")), "[^ims]", "").alias("flags"))
+    schema = T.StructType([*numbered.schema.fields, *T._parse_datatype_string(
+        "matcher string, confined string, entries array<struct<gram: string, literal: string, earlier: array<string>>>").fields])
+    prepared = numbered.mapInArrow(_prepared, schema)
+    compiles = [F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col(c)).isNotNull() for c in ("matcher", "confined")]
+    return prepared.withColumn("valid", F.coalesce(compiles[0] & compiles[1], F.lit(False)))
 
 
 def rule_scan_custom(files: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """Scan with a catalog that is data.  ``flags`` NULL marks a plain text pattern: case-insensitive.
 
-    The rules go through the same single projection as the built-in ones, with literal patterns; malformed
+    The catalog stays a table, so it can hold thousands of rules: an inverted index leads from a gram of each required
+    literal to its rules.  A file takes its own grams that the index knows and meets the rules behind them whose literal it
+    holds; only those run their pattern.  Rules without such a literal meet every file of their languages.  Malformed
     patterns are left out (see :func:`rejected_rules`).
     """
-    valid = _custom_rules(rules)[0]
-    return rule_scan(files, valid, keys) if valid else rule_scan(files.where(F.lit(False)), None, keys)
+    spark = files.sparkSession
+    path = scratch_path(spark, "rule-index")
+    entry = _catalog(rules).where("valid").select("*", F.explode("entries").alias("entry"), F.explode("languages").alias("language"))
+    columns = ["ordinal", F.col("id").alias("rule_id"), "severity", "category", "message", "suggestion", "matcher", "confined", "flags"]
+    entry.select("entry.gram", "entry.literal", "entry.earlier", "language", *columns).distinct().write.parquet(path)
+    index = spark.read.parquet(path)
+    # Three characters: however large the catalog is, there are at most 128 ** 3 grams.
+    grams = index.agg(F.array_sort(F.collect_set("gram"))).scalar()
+    texts = files.select(*keys, "content", "language", F.lower("content").alias("lowered"))
+    own = F.regexp_extract_all("lowered", F.lit(f"(?s)(?=({'.' * GRAM}))"), F.lit(1))
+    held = texts.withColumn("gram", F.explode(F.array_append(F.array_intersect(grams, own), F.lit(""))))
+    met = held.join(index, ["gram", "language"])
+    text = F.when(F.col("flags").contains("i"), F.col("lowered")).otherwise(F.col("content"))
+    # A rule with several literals is met through the first of them that the file holds, so once.
+    met = met.where(text.contains(F.col("literal")) & ~F.exists("earlier", lambda x: text.contains(x)) & F.expr("rlike(content, matcher)"))
+    line = F.expr("CASE WHEN rlike(content, confined) THEN regexp_count(split(content, confined, 2)[0], '\\n') + 1 END").cast("int")
+    return met.withColumn("line_number", line).select(*keys, *FINDING_COLUMNS)
 
 
 def rejected_rules(rules: DataFrame) -> DataFrame:
     """The enabled rules of a catalog whose pattern is malformed."""
-    return scan_rule_catalog(rules.sparkSession, _custom_rules(rules)[1])
+    return _catalog(rules).where(~F.col("valid")).select(*rules.columns)
 
 
 def rules_active(rules: DataFrame, disabled: list[str] | tuple[str, ...] = ()) -> DataFrame:

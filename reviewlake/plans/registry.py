@@ -221,9 +221,10 @@ def _(t: Tables) -> DataFrame:
 SELECT run_id, max(ingest_seq) AS ingest_seq, arg_max(status, ingest_seq) AS status,
   arg_max(total_issues, ingest_seq) AS total_issues FROM {run_writes} GROUP BY run_id""")
 def _(t: Tables) -> DataFrame:
-    first = F.col("status") == "F"
-    stored = sinks.upsert_last(t.run_writes.where("false"), t.run_writes.where(first))
-    return sinks.upsert_last(stored, t.run_writes.where(~first))
+    path, first = t.scratch("runs"), F.col("status") == "F"
+    for writes in (t.run_writes.where(first), t.run_writes.where(~first)):
+        sinks.upsert_table(writes, path, "run_id", "ingest_seq")
+    return t.spark.read.parquet(path).select("run_id", "ingest_seq", "status", "total_issues")
 
 
 @query("insert_training_records", """
@@ -252,15 +253,21 @@ def _(t: Tables) -> DataFrame:
     early = t.training_feedback.where("created_at < timestamp_ntz'1998-01-01'")
     late = t.training_feedback.where("created_at >= timestamp_ntz'1998-01-01'")
     touched = t.training_feedback.join(late.select("record_id").distinct(), "record_id", "left_semi")
-    return sinks.replace_keys(feedback.labels_of(early), feedback.labels_of(touched)).select(_LABEL_COLUMNS)
+    path = t.scratch("labels")
+    for changed in (early, touched):
+        sinks.upsert_table(feedback.labels_of(changed), path, "record_id")
+    return t.spark.read.parquet(path).select(_LABEL_COLUMNS)
 
 
 @query("add_columns_with_default", """
-SELECT id, repository, CAST(0 AS DOUBLE) AS cost_usd, CASE WHEN id % 3 = 0 THEN 'pipeline' ELSE source END AS source,
-  CAST(NULL AS VARCHAR) AS branch FROM {raw_metrics}""")
-def _(t: Tables) -> DataFrame:
-    old = t.raw_metrics.drop("cost_usd")
-    return tables.conform(old, schemas.RUN_METRICS, tables.METRIC_DEFAULTS).select(
+SELECT id, repository, CASE WHEN id % 2 = 0 THEN 0.0 ELSE coalesce(cost_usd, 0.0) END::DOUBLE AS cost_usd,
+  CASE WHEN id % 2 = 0 THEN 'pipeline' ELSE coalesce(source, 'pipeline') END AS source, CAST(NULL AS VARCHAR) AS branch FROM {priced_metrics}""")
+def _(t: Tables) -> DataFrame:
+    """Half of the rows were written before the two columns existed, into the same folder."""
+    path, old = t.scratch("metrics"), F.col("id") % 2 == 0
+    t.priced.where(old).drop("cost_usd", "source").write.parquet(path)
+    t.priced.where(~old).write.mode("append").parquet(path)
+    return tables.scan_versions(t.spark, path, schemas.RUN_METRICS, tables.METRIC_DEFAULTS).select(
         "id", "repository", "cost_usd", "source", "branch")
 
 
@@ -388,7 +395,9 @@ SELECT id, repository, status, ts FROM {run_metrics}
 WHERE source = 'ide' AND status = 'success' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'
 ORDER BY ts DESC, id DESC LIMIT 100 OFFSET 20""")
 def _(t: Tables) -> DataFrame:
-    return filters.filter_metrics(t.run_metrics, source="ide", status="success", ts_from="2024-01-05", ts_to="2024-01-20",
+    path = t.scratch("days")
+    sinks.append_by_day(t.run_metrics, path)
+    return filters.filter_metrics(t.spark.read.parquet(path), source="ide", status="success", ts_from="2024-01-05", ts_to="2024-01-20",
                                   limit=0, offset=20).select("id", "repository", "status", "ts")
 
 
@@ -396,7 +405,9 @@ def _(t: Tables) -> DataFrame:
 SELECT run_id, gate_status, status, ts FROM {stored_runs} WHERE gate_status = 'pass' AND repository = 'org/repo-3'
 ORDER BY ts DESC, run_id DESC LIMIT 50""")
 def _(t: Tables) -> DataFrame:
-    return filters.filter_runs(t.stored_runs, gate_status="pass", repository="org/repo-3").select(
+    path = t.scratch("days")
+    sinks.append_by_day(t.stored_runs, path)
+    return filters.filter_runs(t.spark.read.parquet(path), gate_status="pass", repository="org/repo-3").select(
         "run_id", "gate_status", "status", "ts")
 
 
@@ -701,6 +712,19 @@ def _(t: Tables) -> DataFrame:
     return merge.first_similar_rule(t.stored_findings, t.model_findings).select("path", "ordinal", "similar_rule", "is_similar")
 
 
+@query("similar_pairs", """
+WITH c AS (SELECT *, min(is_model * 1000000000 + ordinal) OVER w AS head, count(*) OVER w AS members FROM {candidates}
+  WINDOW w AS (PARTITION BY run_id, path, line, keywords, category, list_sort(words)))
+SELECT a.run_id, a.path, a.is_model AS kind, a.ordinal, any_value(a.head) // 1000000000 AS class_kind, any_value(a.head) % 1000000000 AS class_ordinal,
+  any_value(a.members) AS members, count(b.place) AS links
+FROM c a LEFT JOIN c b ON a.run_id = b.run_id AND a.path = b.path AND a.place <> b.place AND (
+  (a.line <> 0 AND a.line = b.line) OR (a.keywords & b.keywords) <> 0 OR (a.category IS NOT DISTINCT FROM b.category AND
+    len(list_intersect(a.words, b.words)) / greatest(len(a.words), len(b.words)) > 0.6))
+GROUP BY a.run_id, a.path, a.is_model, a.ordinal""")
+def _(t: Tables) -> DataFrame:
+    return merge.similar_links(t.stored_findings, t.model_findings)
+
+
 @query("merge_findings", oracles.MERGED + """
 SELECT b.path, b.is_model AS target_model, b.ordinal, b.severity, b.category, b.message, b.line_number,
   concat(b.suggestion, coalesce(n.added, '')) AS suggestion, coalesce(n.last, b.reasoning) AS reasoning, coalesce(n.attached, 0) AS merged_count

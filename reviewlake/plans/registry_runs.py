@@ -56,7 +56,7 @@ SELECT f.path, f.language, (SELECT count(*) FROM {rule_findings} r WHERE r.path
 FROM {source_files} f LEFT JOIN m ON m.path = f.path""")
 def _(t: Tables) -> DataFrame:
     own = merge.llm_findings_exact(t.stored_findings, t.model_findings)
-    merged = merge.merge_findings(t.stored_findings, t.model_findings)
+    merged = cut_lineage(merge.merge_findings(t.stored_findings, t.model_findings))
     out = scoring.per_file_results(t.source_files, t.stored_findings, own, merged)
     place = F.transform("issues", lambda i: F.concat(i["target_model"].cast("string"), F.lit(":"), i["ordinal"].cast("string")))
     return out.select("path", "language", "validation_count", "llm_count", F.size("issues").alias("issues"),
@@ -357,6 +357,14 @@ def _(t: Tables) -> DataFrame:
     return metrics.token_totals(t.run_metrics, ["source"])
 
 
+@query("token_totals_running", """
+SELECT source, ts, id, (sum(coalesce(input_tokens, 0)) OVER w)::BIGINT AS total_input_tokens,
+  (sum(coalesce(output_tokens, 0)) OVER w)::BIGINT AS total_output_tokens, count(*) OVER w AS call_count, coalesce(model, '') AS last_model
+FROM {run_metrics} WINDOW w AS (PARTITION BY source ORDER BY ts, id ROWS UNBOUNDED PRECEDING)""")
+def _(t: Tables) -> DataFrame:
+    return metrics.running_token_totals(t.run_metrics)
+
+
 # ---------------------------------------------------------------------------- training data
 
 @query("feedback_counts", "SELECT * FROM {feedback_counts}")
@@ -616,17 +624,18 @@ def _(t: Tables) -> DataFrame:
 BATCHES = 3
 
 
-def _as_stream(t: Tables, df: DataFrame, name: str, slices: list[DataFrame] | None = None) -> DataFrame:
+def _as_stream(t: Tables, df: DataFrame, name: str, slices: list[DataFrame] | None = None, files: int | None = None) -> DataFrame:
     """Store rows as files and read them back as a stream of several micro-batches, the slices one after another.
 
-    Without ``slices`` the rows are cut by hash.  Each slice is written with the parallelism of its scan.
+    Without ``slices`` the rows are cut by hash.  Each slice is written with the parallelism of its scan, or as ``files`` files,
+    which make one micro-batch.
     """
     path = t.scratch(name)
     cut = F.pmod(F.xxhash64(*df.columns), F.lit(BATCHES))
     for part in slices or [df.where(cut == i) for i in range(BATCHES)]:
-        part.write.mode("append").parquet(path)
-    files = len(t.spark.read.schema(df.schema).parquet(path).inputFiles())
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // BATCHES)).parquet(path)
+        (part.repartition(files) if files else part).write.mode("append").parquet(path)
+    batch = files or max(1, len(t.spark.read.schema(df.schema).parquet(path).inputFiles()) // BATCHES)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", batch).parquet(path)
 
 
 def _finish(stream) -> None:
@@ -679,15 +688,28 @@ def _(t: Tables) -> DataFrame:
         t.spark.read.parquet(ignored).select("event_id", reason.alias("outcome")))
 
 
-@query("stream_metrics_windowed", """
-SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS total_runs, count(*) FILTER (status = 'success') AS success_count,
-  count(*) FILTER (status = 'failure') AS failure_count, sum(total_tokens)::BIGINT AS total_tokens_consumed,
-  sum(CAST(cost_usd AS DECIMAL(18,6)))::DOUBLE AS total_cost_usd
-FROM {priced_metrics} GROUP BY 1""")
+_LATE = "(id % 10 = 3 AND epoch(ts) < lo + (hi - lo) / 6)"
+_SPAN = "(SELECT epoch(min(ts)) AS lo, epoch(max(ts)) AS hi FROM {run_metrics}) s"
+_ON_TIME = f"(SELECT *, date_trunc('day', ts)::TIMESTAMP AS window_start FROM {{priced_metrics}}, {_SPAN} WHERE NOT {_LATE}) p"
+
+
+@query("stream_metrics_windowed", f"""
+SELECT coalesce(w.window_start, l.day) AS window_start, w.* EXCLUDE (window_start), coalesce(l.late_rows, 0) AS late_rows
+FROM ({oracles.summary_select("window_start").replace("{priced_metrics}", _ON_TIME)}) w FULL JOIN (
+  SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS late_rows FROM {{run_metrics}}, {_SPAN} WHERE {_LATE} GROUP BY 1) l ON l.day = w.window_start""")
 def _(t: Tables) -> DataFrame:
-    path = t.scratch("days")
-    _finish(jobs.stream_metrics_windowed(_as_stream(t, t.run_metrics, "posts"), path, t.scratch("offsets")))
-    return jobs.read_windows(t.spark, path).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    """Three thirds of the time one after another, then a tenth of the first sixth, too late for its windows."""
+    path, runs = t.scratch("days"), t.run_metrics
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    span = runs.agg(F.min(seconds).alias("lo"), F.max(seconds).alias("hi")).first()
+    third = F.least(F.floor((seconds - span.lo) / ((span.hi - span.lo) / 3)), F.lit(2))
+    late = (F.col("id") % 10 == 3) & (seconds < span.lo + (span.hi - span.lo) / 6)
+    slices = [runs.where((third == k) & ~late) for k in range(BATCHES)] + [runs.where(late)]
+    _finish(jobs.stream_metrics_windowed(_as_stream(t, runs, "posts", slices, files=8), path, t.scratch("offsets")))
+    days = jobs.read_windows(t.spark, path).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    late_days = jobs.read_late(t.spark, path, runs.schema).groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("window_start")).agg(
+        F.count("*").alias("late_rows"))
+    return days.join(late_days, "window_start", "full_outer").withColumn("late_rows", F.coalesce("late_rows", F.lit(0)))
 
 
 @query("stream_dedupe_records", "SELECT run_id, id, model_version FROM {training_records}")
@@ -703,6 +725,10 @@ def _(t: Tables) -> DataFrame:
 
     # The same runs come again within a batch and in a later batch; the first write must stay.
     slices = [writes(write(2, later), write(1, own), write(3, later)), writes(write(0, later))]
-    feed = _as_stream(t, slices[0], "posts", slices)
-    _finish(jobs.stream_dedupe_records(feed, path, t.scratch("offsets")))
+    half = t.training_records.where("id % 2 = 0")
+    earlier = [df.join(half.select("run_id"), "run_id", "left_semi").select(df.columns) for df in slices]
+    # Half of the records come in a first run; a second run with a fresh checkpoint sends all of them to the same table.
+    for run in (earlier, slices):
+        feed = _as_stream(t, slices[0], "posts", run)
+        _finish(jobs.stream_dedupe_records(feed, path, t.scratch("offsets")))
     return t.spark.read.parquet(path).select("run_id", "id", "model_version")

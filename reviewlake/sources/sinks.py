@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlake.operators.skew import first_rows
+from reviewlake.session import cut_lineage
 
 
 def append_metrics(df: DataFrame, path: str, batch: str = "") -> None:
@@ -20,6 +26,14 @@ def append_metrics(df: DataFrame, path: str, batch: str = "") -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_by_day(df: DataFrame, path: str, ts: str = "ts") -> None:
+    """Append rows in one folder per day; time ranges and newest-first pages then read only the days they need.
+
+    Rows are dealt by ranges of time, so a quiet day makes one file and a busy one several, not one large task.
+    """
+    df.withColumn("day", F.to_date(ts)).repartitionByRange("day", ts).write.partitionBy("day").mode("append").parquet(path)
+
+
 def append_feedback(df: DataFrame, path: str) -> None:
     """Append feedback rows; stored rows are never changed."""
     df.write.mode("append").parquet(path)
@@ -50,18 +64,81 @@ def replace_keys(existing: DataFrame, new: DataFrame, key: str = "record_id") ->
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Store one micro-batch as its own partition: a replayed batch overwrites itself."""
+# Partitions of a keyed table, fixed when it is made: choose it so that one partition is some tasks' work.
+BUCKETS = 16
+
+
+def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
+    """The partition of a key in a bucketed table."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def read_stored(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A table written before, or no rows if there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def run_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint folder belongs to; later runs sort behind earlier ones.
+
+    It is written into the folder once, so a restart from the folder goes on under the same name, and a fresh folder
+    gets another name: its micro-batches, which count from 0 again, never replace those of an earlier run.
+    """
+    path = f"{checkpoint}/run-name"
+    held = read_stored(spark, path, "name string").first()
+    if held is None:
+        spark.range(1).select(F.lit(f"r{time.time_ns() // 1_000_000:014d}-{uuid.uuid4().hex[:8]}").alias("name")).coalesce(1).write.mode("overwrite").parquet(path)
+        held = spark.read.parquet(path).first()
+    return held.name
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int, run: str = "", by: tuple[str, ...] = ()) -> None:
+    """Store one micro-batch of a run as its own partition (below the columns ``by``): a replayed batch overwrites itself."""
     (
-        df.withColumn("batch_id", F.lit(batch_id).cast("long")).write.partitionBy("batch_id")
+        (df.repartition(*by) if by else df).withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id).cast("long")}).write.partitionBy(*by, "run", "batch_id")
         .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
     )
 
 
 def read_latest(spark: SparkSession, path: str, key: str, order: list[str] | None = None) -> DataFrame:
-    """Current rows of a table of batches: per key the last row by ``order``, then by batch."""
-    ranked = [*[F.desc(c) for c in order or []], F.desc("batch_id")]
-    return first_rows(spark.read.parquet(path), [key], ranked, 1).drop("batch_id")
+    """Current rows of a table of batches: per key the last row by ``order``, then by run and batch."""
+    ranked = [*[F.desc(c) for c in order or []], F.desc_nulls_last("run"), F.desc("batch_id")]
+    return first_rows(spark.read.parquet(path), [key], ranked, 1).drop("run", "batch_id")
+
+
+def touched(df: DataFrame, bucket: str = "bucket") -> list[int]:
+    """Buckets that rows fall into: at most as many as the table has."""
+    return [r[0] for r in df.select(bucket).distinct().collect()]
+
+
+def upsert_table(new: DataFrame, path: str, key: str, order: str | None = None, buckets: int = BUCKETS) -> None:
+    """Copy on write: the partitions of the new rows' keys are read, merged and written again; all others stay untouched.
+
+    The last write wins by ``order``; without it the new rows replace the stored rows of their keys.  The merged rows
+    are stored aside before the partitions are replaced, so a replay of the same rows gives the same table.
+    """
+    rows = cut_lineage(new.withColumn("bucket", bucket_of(key, buckets)))
+    existing = read_stored(new.sparkSession, path, rows.schema).where(F.col("bucket").isin(touched(rows)))
+    merged = upsert_last(existing, rows, key, order) if order else replace_keys(existing, rows, key)
+    cut_lineage(merged.repartition("bucket")).write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def unseen_keys(batch: DataFrame, path: str, batch_id: int, run: str, key: str, order: str, buckets: int = BUCKETS) -> DataFrame:
+    """The first row per key of a micro-batch, with its ``bucket``, without keys that any other batch has stored.
+
+    Of the stored table, only the key column of the touched buckets is read.
+    """
+    first = first_rows(batch, [key], [F.asc(order)], 1).withColumn("bucket", bucket_of(key, buckets)).persist()
+    kind = batch.schema[key].dataType.simpleString()
+    stored = read_stored(batch.sparkSession, path, f"`{key}` {kind}, bucket int, run string, batch_id long")
+    stored = stored.where(F.col("bucket").isin(touched(first)) & ~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
+    held = stored.select(F.col(key).alias("_held"))
+    return first.join(held, F.col(key).eqNullSafe(F.col("_held")), "left_anti")
 
 
 def export_dataset(df: DataFrame, path: str, fmt: str = "jsonl") -> None:

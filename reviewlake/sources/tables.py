@@ -57,10 +57,9 @@ def scan_source_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     A folder is read recursively.  Paths keep the form the file system reports.
     """
     reader = spark.read.option("recursiveFileLookup", "true")
-    # Several paths may overlap: the file names that Spark has listed are made distinct before any text is read.
-    names = paths if len(paths) == 1 else sorted(set(reader.text(paths).inputFiles()))
-    text = reader.text(names, wholetext=True)
-    return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    text = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    # Only paths that overlap can give a file twice; Spark keeps one row per path then.
+    return text if len(paths) == 1 else text.dropDuplicates(["path"])
 
 
 def scan_review_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -95,5 +94,13 @@ def conform(df: DataFrame, schema: str, defaults: dict | None = None) -> DataFra
     return df.select(*columns)
 
 
+def scan_versions(spark: SparkSession, path: str, schema: str, defaults: dict | None = None) -> DataFrame:
+    """One scan of a folder whose files were written under several versions of a table, as rows of ``schema``.
+
+    The files' schemas are merged, so a column that some files lack is null in their rows and gets its default.
+    """
+    return conform(spark.read.option("mergeSchema", "true").parquet(path), schema, defaults)
+
+
 # Defaults of columns added after the first release.
 METRIC_DEFAULTS = {"cost_usd": 0.0, "source": "pipeline"}

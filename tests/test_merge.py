@@ -1,11 +1,13 @@
-"""The greedy merge against a plain-Python restatement, with and without large files."""
+"""The greedy merge and the similarity join against plain-Python restatements."""
 
 import random
+import time
 
 import pytest
 
 from reviewlake.functions.similarity import KEYWORDS
-from reviewlake.operators.merge import merge_batch_findings, merge_findings, merge_findings_tagged
+from reviewlake.operators.holders import FirstHolders
+from reviewlake.operators.merge import merge_batch_findings, merge_findings, merge_findings_tagged, similar_links
 
 FIELDS = "run_id string, path string, ordinal long, severity string, category string, message string, " \
          "line_number int, suggestion string"
@@ -69,13 +71,22 @@ def expected(rules, models):
     return out
 
 
-@pytest.mark.parametrize("limit", [10_000, 5])
-def test_merge_equals_greedy(spark, limit):
+@pytest.fixture(params=[10_000, 5])
+def batch_rows(spark, request):
+    """Rows per Arrow batch: files end inside batches, or span many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(request.param))
+    yield
+    spark.conf.set(name, before)
+
+
+def test_merge_equals_greedy(spark, batch_rows):
     rules, models = make(1, 40, 25)
     r, m = frames(spark, rules, models)
     want = expected(rules, models)
     parts = {}
-    for row in merge_findings(r, m, fold_limit=limit).orderBy("path", "target_model", "ordinal").collect():
+    for row in merge_findings(r, m).orderBy("path", "target_model", "ordinal").collect():
         place = parts.setdefault(row.path, {}).setdefault((row.target_model, row.ordinal), [])
         place.append(row)
     for path, rows in want.items():
@@ -116,3 +127,45 @@ def test_batch_variant(spark):
                 hit["source"] = "both"
                 hit["reasoning"] = x["reasoning"] or hit["reasoning"]
         assert got.get(path, []) == [(w["message"], w["reasoning"], w["source"]) for w in merged], path
+
+
+def test_unlike_findings_of_one_file(spark):
+    """10,000 findings without a common word, then their copies: linear, and the copies attach to the first ones."""
+    rows = [dict(run_id="r", path="big", ordinal=i, severity="low", category="a", message=f"alpha{i % 10_000} beta{i % 10_000}", line_number=None,
+                 suggestion="s", reasoning="why") for i in range(20_000)]
+    r, m = frames(spark, [], rows)
+    start = time.perf_counter()
+    found = merge_findings(r, m).groupBy("merged_count").count().collect()
+    assert [tuple(x) for x in found] == [(1, 10_000)]
+    assert time.perf_counter() - start < 30
+
+
+def test_first_holders_against_a_scan():
+    rng = random.Random(7)
+    for _ in range(300):
+        known, index, order = [], FirstHolders(), {w: rng.random() for w in WORDS}
+        for i in range(rng.randrange(1, 40)):
+            words = sorted({rng.choice(WORDS) for _ in range(rng.randrange(1, 7))}, key=order.get)
+            x = (rng.choice([0, 0, 1, 2, 3]), rng.choice([0, 0, 1, 2, 5]), rng.choice(["a", "b", None]), words)
+            want = next((k for k, y in enumerate(known) if (x[0] and x[0] == y[0]) or x[1] & y[1] or (
+                x[2] == y[2] and len({*x[3]} & {*y[3]}) / max(len(x[3]), len(y[3])) > 0.6)), None)
+            assert index.first(*x) == (None if want is None else (1, want))
+            if want is None or rng.random() < 0.3:
+                index.add((1, len(known)), *x)
+                known.append(x)
+
+
+def test_similar_links(spark):
+    """Link counts and classes equal those of all pairs, also in a file where one line and one keyword link most findings."""
+    rules, models = make(4, 25, 30)
+    models += [dict(models[0], path="hot", ordinal=i, message=f"count of {i % 7}", line_number=i % 3, category="a") for i in range(200)]
+    r, m = frames(spark, rules, models)
+    rows = [(0, x) for x in rules] + [(1, x) for x in models]
+    found = {(x.path, x.kind, x.ordinal): x for x in similar_links(r, m).collect()}
+    assert len(found) == len(rows)
+    for kind, x in rows:
+        others = [y for k, y in rows if y["path"] == x["path"] and (k, y["ordinal"]) != (kind, x["ordinal"]) and similar(x, y)]
+        got = found[x["path"], kind, x["ordinal"]]
+        assert got.links == len(others), x
+        head = next(y for k, y in rows if (y["path"], k, y["ordinal"]) == (x["path"], got.class_kind, got.class_ordinal))
+        assert (head["line_number"] or 0, set(head["message"].lower().split(" "))) == (x["line_number"] or 0, set(x["message"].lower().split(" ")))
