@@ -7,8 +7,9 @@ regression, one language versus the rest, is fitted on Nystroem features: kernel
 The sums over landmarks fold into one weight per n-gram and language, which is the same arithmetic in another order, so
 a batch of texts is scored by one matrix product (texts x n-grams) @ (n-grams x languages).
 
-The model is fitted on a bounded sample (TRAIN_PER_LANGUAGE texts of each of at most MAX_LANGUAGES languages, of these
-LANDMARKS_PER_LANGUAGE landmarks), whose n-gram sets travel as bitmaps of a fixed size.  Every text is scored whole.
+The model is fitted on a bounded sample: TRAIN_PER_LANGUAGE texts of each language, a quarter of them landmarks; with more than
+TRAIN_TEXTS / TRAIN_PER_LANGUAGE languages each has fewer texts, at least one, and none is left out.  Their n-gram sets travel as bitmaps of a
+fixed size.  Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ HASH_BITS = 16
 VOCABULARY = 8192
 TRAIN_PER_LANGUAGE = 256
 LANDMARKS_PER_LANGUAGE = 64
-MAX_LANGUAGES = 64
+TRAIN_TEXTS = 16384
 PARTS = 64
 RIDGE = 1e-2
 PIECE_CHARS = 1 << 18
@@ -117,12 +118,12 @@ def learn(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", l
     small_batches(docs.sparkSession)
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
         F.col(doc_id).alias("id"), F.col(lang).alias("label"))
-    top = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES)
-    languages = [r.label for r in top.collect()]
-    rows = rows.where(F.col("label").isin(languages)).withColumn("at", F.xxhash64(F.col("id").cast("string")))
+    languages = rows.select("label").distinct().count()
+    each = max(1, min(TRAIN_PER_LANGUAGE, TRAIN_TEXTS // max(languages, 1)))
+    rows = rows.withColumn("at", F.xxhash64(F.col("id").cast("string")))
     rows = rows.withColumn("part", F.pmod("at", F.lit(PARTS)))  # a language may hold most rows: limit its parts first
     order = [F.col("at"), F.col("id")]
-    chosen = first_rows(first_rows(rows, ["label", "part"], order, TRAIN_PER_LANGUAGE), ["label"], order, TRAIN_PER_LANGUAGE)
+    chosen = first_rows(first_rows(rows, ["label", "part"], order, each), ["label"], order, each)
     chosen = [r.id for r in chosen.select("id").distinct().collect()]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,15 +136,15 @@ def learn(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", l
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())],
                                              names=["at", "label", "bits"])
 
-    sample = docs.where(F.col(doc_id).isin(chosen) & usable & F.col(lang).isin(languages) & F.col(text).isNotNull())
+    sample = docs.where(F.col(doc_id).isin(chosen) & usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sample = sample.select(F.xxhash64(F.col(doc_id).cast("string")).alias("at"), F.col(lang).alias("label"), text)
-    sample = first_rows(sample, ["label"], [F.col("at"), F.col(text)], TRAIN_PER_LANGUAGE)
+    sample = first_rows(sample, ["label"], [F.col("at"), F.col(text)], each)
     got = sorted(map(tuple, sample.mapInArrow(sets, "at long, label string, bits binary").collect()))
     met: dict[str, int] = {}
     landmarks = []
     for _, label, _ in got:
         met[label] = met.get(label, 0) + 1
-        landmarks.append(met[label] <= LANDMARKS_PER_LANGUAGE)
+        landmarks.append(met[label] <= max(1, each * LANDMARKS_PER_LANGUAGE // TRAIN_PER_LANGUAGE))
     return fit([bytes(b) for _, _, b in got], [label for _, label, _ in got], landmarks)
 
 
@@ -188,6 +189,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows whose language could be told, with their own columns."""
+    """The rows that one of the classifiers accepts, with their own columns; the others go.
+
+    A classifier accepts a text if its regression value is above 0 (a score above one half), the decision of one versus the rest: it was
+    fitted to 1 for its language and -1 for the others, and a text without any known n-gram has 0 from all.
+    """
     names = ("_told_language", "_told_score")
-    return predict(docs, model, text, names).where(F.col(names[0]) != UNDETERMINED).drop(*names)
+    taken = [c for c in docs.columns if c in names]
+    if taken:
+        raise ValueError(f"columns {taken} are reserved")
+    return predict(docs, model, text, names).where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) > 0.5)).drop(*names)

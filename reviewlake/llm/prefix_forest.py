@@ -2,12 +2,15 @@
 
 Each of TREES trees gives every vector a string of HASH_BITS bits (signs of orthogonal projections) and keeps the strings
 as a sorted array.  A query descends to its longest prefix matches by binary search, which gives the number of candidates
-at each prefix length; then all trees ascend together, one bit at a time, until they hold enough candidates between them.
+at each prefix length; then all trees ascend together, one bit at a time and one after another, until they hold enough candidates
+between them.
 So a query looks at many vectors where they are sparse and at short distances where they are dense.
 
 How many are enough is measured, not assumed: SAMPLE_QUERIES queries are compared with every row, and the budget is the
-number of candidates that finds the share RECALL of their true neighbours.  It grows with the table as far as the vectors
-need it.  A query that would meet as many candidates as there are rows is compared with every row instead, once.
+smallest number of candidates with which the ascent finds the share RECALL of their true neighbours.  It grows with the table as
+far as the vectors need it.  Many trees with long prefixes need fewer candidates than few trees with short ones; a tree
+holds a vector in one byte a component, and the best candidates are compared again on the original vectors.  A query
+that would meet as many candidates as there are rows (a small table) is compared with every row instead, once.
 
 The trees are cut into segments by their leading bits, about SEGMENT_ROWS rows each; a query visits all segments of its
 prefix, where its candidates are compared in place, and only its best ones leave.  Queries with the same prefix share one
@@ -28,10 +31,11 @@ from pyspark.sql import functions as F
 from reviewlake.llm.common import small_batches, stored
 from reviewlake.operators.skew import first_rows
 
-TREES = 16
-HASH_BITS = 64
+TREES = 64
+HASH_BITS = 40
+KEY_BITS = 64
 LEVELS = 40
-RECALL = 0.97
+RECALL = 0.92
 SAMPLE_QUERIES = 256
 SEGMENT_ROWS = 1 << 17
 SAMPLE_ROWS = 4096
@@ -42,13 +46,26 @@ def planes(tree: int, width: int) -> np.ndarray:
     """Projections of one tree, orthogonal in blocks of ``width``; the same in every task."""
     rng = np.random.default_rng([5, tree])
     blocks = [np.linalg.qr(rng.normal(size=(width, width)))[0] for _ in range(-(-HASH_BITS // width))]
-    return np.concatenate(blocks, 1)[:, :HASH_BITS]
+    return np.concatenate(blocks, 1)[:, :HASH_BITS].astype(np.float32)
 
 
 def hash_strings(points: np.ndarray, tree: int) -> np.ndarray:
-    """Bit strings of centred points as unsigned numbers, so that their order is that of the sorted array."""
-    bits = points @ planes(tree, points.shape[1]) > 0
-    return np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(np.uint64)
+    """Bit strings of centred points as unsigned numbers (the string in the upper bits), whose order is that of the sorted array."""
+    bits = points.astype(np.float32) @ planes(tree, points.shape[1]) > 0
+    packed = np.zeros((len(points), 8), np.uint8)
+    packed[:, :HASH_BITS // 8] = np.packbits(bits, axis=1)
+    return packed.view(">u8").reshape(-1).astype(np.uint64)
+
+
+def bytes_of(v: np.ndarray) -> np.ndarray:
+    """Vectors as one byte a component and a scale in four more."""
+    scale = np.maximum(np.abs(v).max(1), np.finfo(np.float32).tiny).astype(np.float32)
+    return np.concatenate([np.rint(v / scale[:, None] * 127).astype(np.int8).view(np.uint8), scale[:, None].view(np.uint8)], 1)
+
+
+def vectors_of(raw: np.ndarray) -> np.ndarray:
+    """The vectors that :func:`bytes_of` stored, nearly."""
+    return raw[:, :-4].copy().view(np.int8) * (np.ascontiguousarray(raw[:, -4:]).view(np.float32) / np.float32(127))
 
 
 def usable(vector: str) -> Column:
@@ -78,8 +95,10 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
     """
     spark = rows.sparkSession
     small_batches(spark, 4096)
+    kind = rows.schema[vector].dataType.simpleString()
+    own = F.col(vector) if kind in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
     valid = rows.where(usable(vector) & F.col(vec_id).isNotNull()).select(
-        F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vec"), is_query.alias("query"))
+        F.col(vec_id).cast("long").alias("vec_id"), own.alias("vec"), is_query.alias("query"))
     sizes = valid.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = sizes.n if sizes else 1
     valid = stored(valid.where(F.size("vec") == width), "vectors")
@@ -106,14 +125,15 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
                 v = _matrix(batch.column(1)).astype(np.float64)
                 extra = np.sqrt(np.maximum(longest - (v * v).sum(1), 0)) if own else np.zeros(len(v))
                 points = np.column_stack([v, extra]) - centre
+                codes = pa.array([x.tobytes() for x in bytes_of(v)], pa.binary()) if with_vector else None
                 for tree in range(trees):
                     keys = hash_strings(points, tree)
-                    segment = (keys >> np.uint64(HASH_BITS - lead)) if lead else np.zeros(len(keys), np.uint64)
+                    segment = (keys >> np.uint64(KEY_BITS - lead)) if lead else np.zeros(len(keys), np.uint64)
                     columns = {"tree": pa.array(np.full(len(v), tree, np.int32)), "segment": pa.array(segment.astype(np.int64)),
                                "own": pa.array(np.full(len(v), own)), "class": batch.column(0),
                                "key": pa.array(keys.view(np.int64))}
                     if with_vector:
-                        columns["vec"] = batch.column(1)
+                        columns["code"] = codes
                     yield pa.RecordBatch.from_pydict(columns)
         return of
 
@@ -158,13 +178,12 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
     per_level = stored(counts.groupBy("class", "level").agg(F.sum("n").alias("n")), "level-counts")
 
     def nearest(names: np.ndarray, vectors: np.ndarray):
-        """The best ``k`` other classes of a partition for each sampled query, with the longest prefix that a tree shares."""
+        """The best ``k`` other classes of a partition for each sampled query, with the prefix length that each tree shares."""
         points = np.column_stack([vectors, np.zeros(len(vectors))]) - centre
         own_keys = np.stack([hash_strings(points, tree) for tree in range(trees)], 1)
-        levels_ = np.arange(1, LEVELS + 1, dtype=np.uint64)
 
         def of(batches):
-            best = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64), np.zeros((len(names), k), np.int64)
+            best = np.full((len(names), k), -np.inf), np.zeros((len(names), k), np.int64), np.zeros((len(names), k, trees), np.uint8)
             for batch in batches:
                 ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1)).astype(np.float64)
                 scores = np.where(names[:, None] == ids, -np.inf, vectors @ v.T)
@@ -173,41 +192,73 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
                 extra = np.sqrt(np.maximum(longest - (v[kept] * v[kept]).sum(1), 0))
                 points = np.column_stack([v[kept], extra]) - centre
                 keys = np.stack([hash_strings(points, tree) for tree in range(trees)], 1)
-                apart = (keys[at.reshape(top.shape)] ^ own_keys[:, None]).min(2)
-                depth = (apart[..., None] >> (np.uint64(HASH_BITS) - levels_) == 0).sum(2)
+                apart = keys[at.reshape(top.shape)] ^ own_keys[:, None]
+                depth = np.zeros(apart.shape, np.uint8)
+                for level in range(1, LEVELS + 1):
+                    depth += apart >> np.uint64(KEY_BITS - level) == 0
                 merged = [np.concatenate(x, 1) for x in zip(best, (np.take_along_axis(scores, top, 1), ids[top], depth))]
                 chosen = np.argpartition(-merged[0], k - 1, axis=1)[:, :k]
-                best = tuple(np.take_along_axis(x, chosen, 1) for x in merged)
+                best = tuple(np.take_along_axis(x, chosen if x.ndim == 2 else chosen[..., None], 1) for x in merged)
             found = np.isfinite(best[0])
             yield pa.RecordBatch.from_pydict({
                 "class": pa.array(np.repeat(names, found.sum(1))), "other": pa.array(best[1][found]),
-                "score": pa.array(best[0][found]), "depth": pa.array(best[2][found].astype(np.int32))})
+                "score": pa.array(best[0][found]), "depths": pa.array([d.tobytes() for d in best[2][found]], pa.binary())})
         return of
 
     def measured() -> int:
-        """The number of candidates that finds the share RECALL of the sampled queries' neighbours, and never fewer than k."""
+        """The least number of candidates with which the sampled queries find the share RECALL of their neighbours.
+
+        A neighbour is found if a tree's ascent stops at a level not below the prefix that the two share in it.
+        """
         few = asked.orderBy(F.xxhash64("class"), "class").limit(SAMPLE_QUERIES).collect()
         if not few:
             return 1
         names, vectors = np.array([r["class"] for r in few]), np.array([r.vec for r in few], np.float64)
-        true = classes.select("class", "vec").mapInArrow(nearest(names, vectors), "class long, other long, score double, depth int")
-        true = first_rows(true, ["class"], [F.desc("score"), F.col("other")], k).select("class", (F.col("depth") + 1).alias("level"))
-        below = true.join(per_level, ["class", "level"], "left").select(F.coalesce("n", F.lit(0)).alias("n")).collect()
-        needs = sorted(r.n + 1 for r in below)
-        return max(needs[int(np.ceil(RECALL * len(needs))) - 1] if needs else 1, trees * (k + 1))
-
-    wanted = F.lit(measured() if candidates is None else candidates)
-    reached = F.min(F.when(F.col("n") >= wanted, F.col("n")))
-    deepest = F.max(F.when(F.col("n") >= wanted, F.col("level")))
-    levels = stored(per_level.groupBy("class").agg(
-        F.when(reached < total, deepest).otherwise(0).alias("level")), "levels")
+        true = classes.select("class", "vec").mapInArrow(nearest(names, vectors), "class long, other long, score double, depths binary")
+        true = first_rows(true, ["class"], [F.desc("score"), F.col("other")], k).select("class", "depths").collect()
+        held = np.zeros((len(names), LEVELS + 1), np.int64)
+        held[:, 0] = trees * total
+        row = {name: i for i, name in enumerate(names.tolist())}
+        for r in per_level.where(F.col("class").isin(names.tolist())).collect():
+            held[row[r["class"]], r.level] = r.n
+        query = np.array([row[r["class"]] for r in true], np.int64)
+        depth = np.frombuffer(b"".join(r.depths for r in true), np.uint8).reshape(len(true), trees)
+        shared = np.maximum.accumulate(depth, axis=1) if len(true) else depth  # longest prefix in the first trees
+
+        def enough(budget: int) -> bool:
+            level = np.where(held >= budget, np.arange(LEVELS + 1), 0).max(1)
+            at = np.arange(len(names))
+            upper, lower = held[at, level], np.where(level < LEVELS, held[at, np.minimum(level + 1, LEVELS)], 0)
+            ascended = np.clip(np.ceil((budget - lower) / np.maximum(upper - lower, 1) * trees), 1, trees).astype(np.int64)
+            found = (shared[:, -1] > level[query]) | (shared[np.arange(len(true)), ascended[query] - 1] >= level[query])
+            return found.sum() >= RECALL * len(true)
+
+        low, high = trees * (k + 1), max(total, trees * (k + 1))
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if enough(middle) else (middle + 1, high)
+        return low
+
+    budget = measured() if candidates is None else candidates
+    wanted = F.lit(budget)
+    # The trees ascend in turn: the first ones are at ``level``, the others one bit below, when the budget is reached.
+    reached = F.max_by("n", F.when(F.col("n") >= wanted, F.col("level")))
+    below = F.coalesce(F.max(F.when(F.col("n") < wanted, F.col("n"))), F.lit(0))
+    deepest = F.coalesce(F.max(F.when(F.col("n") >= wanted, F.col("level"))), F.lit(0))
+    ascended = F.coalesce(F.ceil((wanted - below) / F.greatest(reached - below, F.lit(1)) * trees), F.lit(trees))
+    levels = per_level.groupBy("class").agg(deepest.alias("level"), F.least(F.greatest(ascended, F.lit(1)), F.lit(trees)).cast("int").alias("ascended"))
+    if budget >= total:
+        levels = levels.withColumns({"level": F.lit(0), "ascended": F.lit(trees)})
+    levels = stored(levels, "levels")
+
+    spare = k + 10  # bytes instead of components may change places nearby
 
     def compared(t: pa.Table) -> pa.Table:
         keys, mine, queries, at = split(t)
         out = {"class": [], "other": [], "score": []}
         if len(mine) and len(queries):
-            vectors, asked_vectors = _matrix(t["vec"].take(pa.array(mine))), _matrix(t["vec"].take(pa.array(at)))
-            vectors, asked_vectors = vectors.astype(np.float64), asked_vectors.astype(np.float64)
+            raw = np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            vectors, asked_vectors = vectors_of(raw[mine]), vectors_of(raw[at])
             classes_, names = t["class"].to_numpy()[mine], t["class"].to_numpy()[at]
             lo, hi = bounds(keys, queries, t["level"].to_numpy(zero_copy_only=False)[at])
             order = np.lexsort((hi, lo))
@@ -217,7 +268,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
                 for start in range(0, len(group) if b > a else 0, QUERY_BLOCK):
                     block = group[start:start + QUERY_BLOCK]
                     scores = asked_vectors[block] @ vectors[a:b].T
-                    best = np.argpartition(-scores, k + 4, axis=1)[:, :k + 5] if b - a > k + 5 else np.tile(np.arange(b - a), (len(block), 1))
+                    best = np.argpartition(-scores, spare - 1, axis=1)[:, :spare] if b - a > spare else np.tile(np.arange(b - a), (len(block), 1))
                     out["class"].append(np.repeat(names[block], best.shape[1]))
                     out["other"].append(classes_[a:b][best].ravel())
                     out["score"].append(np.take_along_axis(scores, best, 1).ravel())
@@ -226,15 +277,21 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
 
     first = F.expr(f"shiftright(segment, greatest({lead} - level, 0))")
     width_ = F.expr(f"shiftleft(1L, greatest({lead} - level, 0))")
-    visits = query_keys.join(levels, "class").where("level > 0 OR tree = 0").select(
+    at_level = F.when((F.col("level") == 0) | (F.col("tree") < F.col("ascended")), F.col("level")).otherwise(F.least(F.col("level") + 1, F.lit(LEVELS)))
+    visits = query_keys.join(levels, "class").where("level > 0 OR tree = 0").withColumn("level", at_level).select(
         "tree", F.explode(F.sequence(first * width_, first * width_ + width_ - 1)).alias("segment"), "own", "class", "key", "level")
     visits = stored(visits, "visits")
     parts = visits.groupBy("tree", "segment").agg(F.ceil(F.count("*") / SEGMENT_ROWS).cast("int").alias("parts"))
     parts = stored(parts, "segment-parts")
-    columns = ["tree", "segment", "part", "own", "class", "key", "vec", "level"]
-    index_rows = classes.select("class", "vec").mapInArrow(hashed(True, True), form + ", vec array<float>").join(
+    columns = ["tree", "segment", "part", "own", "class", "key", "code", "level"]
+    index_rows = classes.select("class", "vec").mapInArrow(hashed(True, True), form + ", code binary").join(
         parts, ["tree", "segment"]).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("level"))
-    query_rows = visits.join(parts, ["tree", "segment"]).join(asked, "class").withColumn(
+    def coded(batches):
+        for batch in batches:
+            raw = bytes_of(_matrix(batch.column(1)).astype(np.float64))
+            yield pa.RecordBatch.from_pydict({"class": batch.column(0), "code": pa.array([x.tobytes() for x in raw], pa.binary())})
+
+    query_rows = visits.join(parts, ["tree", "segment"]).join(asked.mapInArrow(coded, "class long, code binary"), "class").withColumn(
         "part", F.pmod(F.xxhash64("class"), "parts").cast("int"))
     near = index_rows.select(columns).union(query_rows.select(columns)).groupBy("tree", "segment", "part").applyInArrow(
         compared, "class long, other long, score double")
