@@ -152,6 +152,15 @@ def sarif_results(findings: DataFrame, cli: bool = False) -> DataFrame:
     )
 
 
+def comment_results(findings: DataFrame) -> DataFrame:
+    """What a comment needs of the SARIF results of ``findings``, as :func:`read_sarif_results` gives it, without writing JSON."""
+    spot = F.get("result.locations", F.lit(0))["physicalLocation"]
+    return sarif_results(findings).select(
+        "run_id", F.struct("file_no", "path", "ordinal").alias("pos"), "level", F.lit(None).cast("string").alias("severity"),
+        F.coalesce(spot["artifactLocation"]["uri"], F.lit("unknown")).alias("file"), spot["region"]["startLine"].alias("line"),
+        F.col("result.message.text").alias("text"))
+
+
 def sarif_rules(results: DataFrame, cli: bool = False) -> DataFrame:
     """Rule table per run: the first finding of each rule id describes it."""
     place = F.struct("file_no", "path", "ordinal")
@@ -224,7 +233,7 @@ def sarif_level_counts(results: DataFrame, by: tuple[str, ...] = ("run_id",)) ->
 def report_pr_comment(results: DataFrame, scores: DataFrame, top: int = 10) -> DataFrame:
     """Comment per run from SARIF results: score line, counts and the first ``top`` results.
 
-    ``results`` is the output of :func:`read_sarif_results`; ``scores`` has run_id, overall_score,
+    ``results`` is the output of :func:`comment_results` or :func:`read_sarif_results`; ``scores`` has run_id, overall_score,
     pass_threshold and optionally the four category scores.
     """
     order = [F.col(c) for c in ("part", "pos") if c in results.columns]

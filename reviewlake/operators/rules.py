@@ -234,13 +234,13 @@ def bulk_update(rules: DataFrame, ids: list[str], **updates) -> DataFrame:
     return rules.withColumns({c: F.when(listed, F.lit(v)).otherwise(F.col(c)) for c, v in updates.items()})
 
 
-def rule_hit_counts(findings: DataFrame, by: list[str]) -> DataFrame:
-    """Findings and files per rule, severity or category.
+def rule_hit_counts(findings: DataFrame, by: list[str], keys: tuple[str, ...] = ("run_id", "path")) -> DataFrame:
+    """Findings and files (``keys``) per rule, severity or category.
 
     Two steps instead of one distinct count: counting per (group, file) first keeps a group with a
     third of all rows spread over many tasks.
     """
-    per_file = findings.groupBy(*by, "path").agg(F.count("*").alias("n"))
+    per_file = findings.groupBy(*by, *keys).agg(F.count("*").alias("n"))
     return per_file.groupBy(*by).agg(F.sum("n").alias("findings"), F.count("*").alias("files"))
 
 

@@ -62,7 +62,10 @@ def check_feedback(df: DataFrame, records: DataFrame) -> DataFrame:
               "action must be 'accept', 'reject', or 'modify'")
         .when(F.col("record_id").isNull(), F.concat(F.lit("No training record found for run_id: "), "run_id"))
     )
-    return df.join(known, "run_id", "left").withColumn("reject_reason", reason)
+    # Rows without a run id are decided already: they would all meet under one key.
+    named = df.where(~is_blank(F.col("run_id"))).join(known, "run_id", "left")
+    unnamed = df.where(is_blank(F.col("run_id"))).withColumn("record_id", F.lit(None).cast(records.schema["id"].dataType))
+    return named.unionByName(unnamed).withColumn("reject_reason", reason)
 
 
 def validate_feedback(df: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -197,6 +197,8 @@ notes AS (SELECT run_id, path, target, count(*) AS attached,
   FROM placed WHERE place <> target GROUP BY run_id, path, target)
 """
 
+REVIEW_MERGED = MERGED.replace("{candidates}", "{review_candidates}").replace("{similar_places}", "{review_similar}")
+
 HASH = """list_reduce(
   list_prepend(CAST(0 AS BIGINT), list_transform(string_split({m}, ''), lambda c: CAST(unicode(c) AS BIGINT))),
   lambda a, x: xor((a * 32) & 4294967295, 2147483648) - 2147483648 - a + x)"""
@@ -216,6 +218,9 @@ EXTRA = {
     "candidates": CANDIDATES,
     "similar_places": SIMILAR,
     # Issues of the readable answers, rebuilt from the columns the answers were made of.
+    # The flagship's candidates: issues of the stored answers instead of the findings table.
+    "review_candidates": CANDIDATES.replace("FROM {model_findings}", "FROM (SELECT *, (response_id << 20) + pos AS ordinal FROM {answer_issues}) a"),
+    "review_similar": SIMILAR.replace("{candidates}", "{review_candidates}"),
     "answer_issues": """
 SELECT run_id, path, ordinal AS response_id, 0 AS pos, severity, category, message, line_number, suggestion, reasoning
 FROM {model_findings} WHERE ordinal % 11 <> 0

@@ -126,16 +126,19 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("scan_training", """
-SELECT r.id, r.run_id, r.model_version, CAST(NULL AS VARCHAR) AS full_diff, count(f.record_id) AS feedback_rows
-FROM {training_records} r LEFT JOIN {training_feedback} f ON f.record_id = r.id GROUP BY r.id, r.run_id, r.model_version""")
+SELECT r.id, r.run_id, r.model_version, CAST(NULL AS VARCHAR) AS full_diff, count(f.record_id) AS feedback_rows,
+  any_value(l.supervised_label) AS supervised_label, any_value(l.rl_reward) AS rl_reward
+FROM {training_records} r LEFT JOIN {training_feedback} f ON f.record_id = r.id LEFT JOIN {labels_all} l ON l.record_id = r.id
+GROUP BY r.id, r.run_id, r.model_version""")
 def _(t: Tables) -> DataFrame:
-    records, given = t.scratch("records"), t.scratch("feedback")
-    t.training_records.write.parquet(records)
-    t.training_feedback.write.parquet(given)
-    stored = tables.scan_training(t.spark, records, given)
+    paths = [t.scratch(n) for n in ("records", "feedback", "labels")]
+    for df, path in zip((t.training_records, t.training_feedback, t.labels), paths):
+        df.write.parquet(path)
+    stored = tables.scan_training(t.spark, *paths)
     counts = stored["feedback"].groupBy(F.col("record_id").alias("id")).agg(F.count("*").alias("n"))
-    return stored["records"].join(counts, "id", "left").select(
-        "id", "run_id", "model_version", "full_diff", F.coalesce("n", F.lit(0)).alias("feedback_rows"))
+    labels = stored["labels"].select(F.col("record_id").alias("id"), "supervised_label", "rl_reward")
+    return stored["records"].join(counts, "id", "left").join(labels, "id", "left").select(
+        "id", "run_id", "model_version", "full_diff", F.coalesce("n", F.lit(0)).alias("feedback_rows"), "supervised_label", "rl_reward")
 
 
 @query("scan_source_files", """
@@ -272,19 +275,30 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("export_dataset", """
-SELECT r.id, r.run_id, r.created_at, count(f.record_id) AS feedback_rows, any_value(l.supervised_label) AS supervised_label
-FROM {training_records} r LEFT JOIN {training_feedback} f ON f.record_id = r.id LEFT JOIN {labels_all} l ON l.record_id = r.id
-GROUP BY r.id, r.run_id, r.created_at""")
-def _(t: Tables) -> DataFrame:
-    path = t.scratch("export")
-    export = feedback.training_export(t.training_records, t.labels, t.training_feedback, limit=None)
-    sinks.export_dataset(export, path, "jsonl")
-    lines = t.spark.read.schema(
-        "id bigint, run_id string, created_at timestamp_ntz, human_feedback array<struct<action:string>>, "
-        "outcome_labels struct<supervised_label:string>").json(path)
-    return lines.groupBy("id", "run_id", "created_at").agg(
-        F.sum(F.size("human_feedback")).cast("long").alias("feedback_rows"),
-        F.max("outcome_labels.supervised_label").alias("supervised_label"))
+SELECT form, r.id, r.run_id, r.created_at, count(f.record_id) AS feedback_rows, any_value(l.supervised_label) AS supervised_label
+FROM {training_records} r LEFT JOIN {training_feedback} f ON f.record_id = r.id LEFT JOIN {labels_all} l ON l.record_id = r.id,
+  (VALUES ('jsonl'), ('json'), ('parquet')) v(form)
+GROUP BY form, r.id, r.run_id, r.created_at""")
+def _(t: Tables) -> DataFrame:
+    """The three forms, each read back from its files."""
+    export = cut_lineage(feedback.training_export(t.training_records, t.labels, t.training_feedback, limit=None))
+    schema = ("id bigint, run_id string, created_at timestamp_ntz, human_feedback array<struct<action:string>>, "
+              "outcome_labels struct<supervised_label:string>")
+    found = []
+    for form in ("jsonl", "json", "parquet"):
+        path = t.scratch(form)
+        sinks.export_dataset(export, path, form)
+        if form == "jsonl":
+            rows = t.spark.read.schema(schema).json(path)
+        elif form == "parquet":
+            rows = t.spark.read.parquet(path)
+        else:  # the document's lines between its head and its end are its records
+            lines = t.spark.read.text(path).where(~F.col("value").startswith('{"count":') & (F.col("value") != "]}"))
+            rows = lines.select(F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("r")).select("r.*")
+        found.append(rows.groupBy("id", "run_id", "created_at").agg(
+            F.sum(F.size("human_feedback")).cast("long").alias("feedback_rows"),
+            F.max("outcome_labels.supervised_label").alias("supervised_label")).withColumn("form", F.lit(form)))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 # ------------------------------------------------------- projections, validation, filters
@@ -645,10 +659,10 @@ UNION ALL SELECT 'severity', severity, count(*), count(DISTINCT path) FROM {rule
 UNION ALL SELECT 'category', category, count(*), count(DISTINCT path) FROM {rule_findings} GROUP BY category""")
 def _(t: Tables) -> DataFrame:
     # One scan: each finding is counted under its three keys.
-    keyed = rules.rule_scan(t.files).select("path", F.explode(F.array(*[
+    keyed = rules.rule_scan(t.files, keys=("run_id", "path")).select("run_id", "path", F.explode(F.array(*[
         F.struct(F.lit(level).alias("level"), F.col(c).alias("key"))
         for level, c in (("rule", "rule_id"), ("severity", "severity"), ("category", "category"))])).alias("k")
-    ).select("path", "k.level", "k.key")
+    ).select("run_id", "path", "k.level", "k.key")
     return rules.rule_hit_counts(keyed, ["level", "key"])
 
 

@@ -127,7 +127,7 @@ SELECT path, CAST(greatest(0, least(100, overall)) AS BIGINT) AS overall_score,
   CAST(greatest(0, least(100, s)) AS BIGINT) AS security, CAST(greatest(0, least(100, q)) AS BIGINT) AS code_quality,
   CAST(greatest(0, least(100, m)) AS BIGINT) AS maintainability FROM {category_raw}""")
 def _(t: Tables) -> DataFrame:
-    return scoring.category_scores(t.files, t.rule_findings).select(
+    return scoring.category_scores(t.files, t.rule_findings, review.KEYS).select(
         "path", "overall_score", "performance", "security", "code_quality", "maintainability")
 
 
@@ -144,7 +144,7 @@ SELECT path, CASE WHEN s1 OR s2 OR s3 OR s4 OR s5 THEN concat_ws('|', CASE WHEN
     'Add comprehensive unit tests for transformation logic', 'Implement logging for pipeline monitoring and debugging') AS recommendations
 FROM {category_raw}""")
 def _(t: Tables) -> DataFrame:
-    advice = scoring.review_advice(scoring.category_scores(t.files, t.rule_findings))
+    advice = scoring.review_advice(scoring.category_scores(t.files, t.rule_findings, review.KEYS))
     return advice.select("path", F.array_join("strengths", "|").alias("strengths"),
                          F.array_join("recommendations", "|").alias("recommendations"))
 
@@ -158,7 +158,7 @@ SELECT path, CAST(critical_count * 4 + high_count * 2 + issues AS BIGINT) AS eff
       CAST(high_count AS STRING), ' high') ELSE '' END) AS summary
 FROM {category_raw}""")
 def _(t: Tables) -> DataFrame:
-    return scoring.effort_estimate(scoring.category_scores(t.files, t.rule_findings)).select("path", "effort", "estimate", "summary")
+    return scoring.effort_estimate(scoring.category_scores(t.files, t.rule_findings, review.KEYS)).select("path", "effort", "estimate", "summary")
 
 
 def _merged_scores(t: Tables) -> DataFrame:
@@ -257,6 +257,14 @@ def _(t: Tables) -> DataFrame:
     return out.select("run_id", "path", "language", "validation_count", "llm_count", "error")
 
 
+@query("review_merged", oracles.REVIEW_MERGED + """
+SELECT b.run_id, b.path, b.is_model AS target_model, b.ordinal, b.severity, b.category, b.message, b.line_number,
+  concat(b.suggestion, coalesce(n.added, '')) AS suggestion, coalesce(n.last, b.reasoning) AS reasoning, coalesce(n.attached, 0) AS merged_count
+FROM placed b LEFT JOIN notes n ON n.run_id = b.run_id AND n.path = b.path AND n.target = b.place WHERE b.place = b.target""")
+def _(t: Tables) -> DataFrame:
+    return review.review_run(t.files, t.model_responses, t.run_usage, t.prices)["merged"]
+
+
 @query("review_records", "SELECT run_id, gate_status, status, total_issues, model AS model_version, 'pipeline' AS source, '1.0' AS schema_version FROM ("
        + REVIEW_ORACLE + ") v")
 def _(t: Tables) -> DataFrame:
@@ -514,8 +522,8 @@ SELECT coalesce(o.path, n.path) AS path, sum(greatest(coalesce(n, 0) - coalesce(
 FROM old_lines o FULL JOIN new_lines n ON n.path = o.path AND n.line = o.line GROUP BY coalesce(o.path, n.path)""")
 def _(t: Tables) -> DataFrame:
     changed = F.concat(F.replace("content", F.lit("the"), F.lit("teh")), F.lit("\nend"))
-    old = t.files.select("path", "content")
-    return delta.line_delta(old, old.withColumn("content", changed))
+    old = t.files.select(*review.KEYS, "content")
+    return delta.line_delta(old, old.withColumn("content", changed), review.KEYS).drop("run_id")
 
 
 def _template_sql(template: str, **values: str) -> str:
@@ -530,27 +538,42 @@ def _case_sql(column: str, table: dict[str, str], default: str) -> str:
     return f"CASE lower({column}) {whens} ELSE {default} END"
 
 
-_PROMPT = _template_sql(
-    prompts.REVIEW_PROMPT,
-    persona=_case_sql("language", prompts.REVIEW_PERSONA, oracles.text_literal(prompts.REVIEW_PERSONA_DEFAULT)),
-    TYPE="'SECURITY'", focus=oracles.text_literal(prompts.FOCUS["security"]), path="path", language="language", content="content")
+def _prompt_sql(focus: str) -> str:
+    return _template_sql(
+        prompts.REVIEW_PROMPT, persona=_case_sql("language", prompts.REVIEW_PERSONA, oracles.text_literal(prompts.REVIEW_PERSONA_DEFAULT)),
+        TYPE=f"'{focus.upper()}'", focus=oracles.text_literal(prompts.FOCUS[focus]), path="path", language="language", content="content")
+
+
+_NAME = _case_sql("language", prompts.LANGUAGE_NAMES, "language")
+_EDITOR_PROMPT = _template_sql(
+    prompts.EDITOR_PROMPT, persona=_case_sql("language", prompts.EDITOR_PERSONA, oracles.text_literal(prompts.EDITOR_PERSONA_DEFAULT)),
+    name=_NAME, lower_name=f"lower({_NAME})", content="content")
+_FORMS = " UNION ALL ".join(
+    f"SELECT path, '{kind}' AS kind, CAST(0 AS BIGINT) AS seq, length(prompt) AS chars, md5(prompt) AS prompt_md5 FROM (SELECT path, {sql} AS prompt FROM {{source_files}}) p"
+    for kind, sql in [*((focus, _prompt_sql(focus)) for focus in prompts.FOCUS), ("editor", _EDITOR_PROMPT)])
+# Every second file of a run comes with a diff.
+_DIFF = f"CASE WHEN file_no % 2 = 0 THEN concat({oracles.text_literal(prompts.BATCH_CHANGES)}, '+ ', path) ELSE '' END"
 
 
 @query("render_prompts", f"""
-SELECT path, 'file' AS kind, CAST(0 AS BIGINT) AS seq, length(prompt) AS chars, md5(prompt) AS prompt_md5 FROM (SELECT path, {_PROMPT} AS prompt FROM {{source_files}}) p
+{_FORMS}
 UNION ALL
 SELECT run_id, 'batch', index, length(segment), md5(segment) FROM (
   SELECT run_id, index, concat(CASE WHEN index > 1 THEN concat(chr(10), chr(10)) ELSE '' END,
-    {_template_sql(prompts.BATCH_FILE, index="CAST(index AS STRING)", path="path", language="language", changes="''", content="content")}) AS segment
+    {_template_sql(prompts.BATCH_FILE, index="CAST(index AS STRING)", path="path", language="language", changes=_DIFF, content="content")}) AS segment
   FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY file_no) AS index FROM {{source_files}}) n
   UNION ALL SELECT run_id, 0, {oracles.text_literal(prompts.BATCH_HEAD)} FROM {{source_files}} GROUP BY run_id
   UNION ALL SELECT run_id, count(*) + 1, {oracles.text_literal(prompts.BATCH_TAIL)} FROM {{source_files}} GROUP BY run_id) b""")
 def _(t: Tables) -> DataFrame:
-    one = prompts.render_prompts(t.source_files, "security").select(
-        "path", F.lit("file").alias("kind"), F.lit(0).cast("long").alias("seq"), F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5"))
-    batch = prompts.render_batch_prompts(t.source_files).select(
+    """All focus types, the editor's prompt, and batch prompts with and without diffs."""
+    forms = {focus: prompts.render_prompts(t.source_files, focus) for focus in prompts.FOCUS} | {"editor": prompts.render_editor_prompts(t.source_files)}
+    diff = F.when(F.col("file_no") % 2 == 0, F.concat(F.lit("+ "), "path"))
+    out = prompts.render_batch_prompts(t.source_files.withColumn("diff", diff)).select(
         F.col("run_id").alias("path"), F.lit("batch").alias("kind"), "seq", F.length("segment").alias("chars"), F.md5("segment").alias("prompt_md5"))
-    return one.unionByName(batch)
+    for kind, rows in forms.items():
+        out = out.unionByName(rows.select("path", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("seq"), F.length("prompt").alias("chars"),
+                                          F.md5("prompt").alias("prompt_md5")))
+    return out
 
 
 # ---------------------------------------------------------------------------------- reports
@@ -585,6 +608,27 @@ def _(t: Tables) -> DataFrame:
     return reports.report_markdown(_summary(scores), scores, listed)
 
 
+@query("report_markdown_cli", f"""
+WITH pieces AS (
+  SELECT run_id, 0 AS section, CAST(-1 AS BIGINT) AS file_no, 0 AS block, CAST(0 AS BIGINT) AS item, ['# Code Review Report', '',
+    concat('**Status:** ', CASE WHEN pass_threshold THEN '✅ PASSED' ELSE '❌ FAILED' END), '', concat('**Average Score:** ', average_score::STRING, '/100'), '',
+    '## Summary', '', '| Metric | Value |', '|--------|-------|', concat('| Files Analyzed | ', total_files::STRING, ' |'),
+    concat('| Total Issues | ', total_issues::STRING, ' |'), concat('| Critical | ', critical_count::STRING, ' |'),
+    concat('| High | ', high_count::STRING, ' |'), '', '', '## File Results', ''] AS lines FROM {{batch_totals}}
+  UNION ALL SELECT run_id, 1, file_no, 0, 0, [concat('### ', path), '', concat('**Score:** ', score::STRING, '/100 | **Issues:** ', issues::STRING), '']
+    FROM {{scored_files}} WHERE issues > 0
+  UNION ALL SELECT run_id, 1, file_no, 2, place, list_filter([concat('- ', CASE WHEN severity = 'info' THEN '🔵' ELSE {_ICON} END, ' **', upper(severity), '**: ', message),
+      CASE WHEN line_number <> 0 THEN concat('  - Line: ', line_number::STRING) END, concat('  - Fix: ', suggestion)], lambda l: l IS NOT NULL) FROM {{batch_issues}}
+  UNION ALL SELECT run_id, 1, file_no, 3, 0, [''] FROM {{scored_files}} WHERE issues > 0)
+SELECT run_id, section, file_no, block, item, CAST(pos - 1 AS INT) AS line_no, lines[pos] AS line
+FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM pieces) p""")
+def _(t: Tables) -> DataFrame:
+    issues = cut_lineage(_issues(t))
+    scores = cut_lineage(_scores(t, issues))
+    listed = issues.drop("ordinal").withColumnRenamed("place", "ordinal")
+    return reports.report_markdown_cli(_summary(scores), scores, listed)
+
+
 @query("report_sarif", f"""
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY file_no, path, place) - 1 AS pos, {_LEVELS} AS level, path AS file,
   CASE WHEN line_number <> 0 THEN line_number END AS line, concat(message, chr(10), chr(10), 'Suggestion: ', suggestion) AS text
@@ -614,7 +658,7 @@ FROM {{batch_totals}} s LEFT JOIN c ON c.run_id = s.run_id""")
 def _(t: Tables) -> DataFrame:
     issues = cut_lineage(_issues(t))
     listed = issues.drop("ordinal").withColumnRenamed("place", "ordinal")
-    results = reports.read_sarif_results(reports.report_sarif(listed))
+    results = reports.comment_results(listed)
     scores = scoring.batch_summary(_scores(t, issues)).select("run_id", F.col("average_score").alias("overall_score"), "pass_threshold")
     return reports.report_pr_comment(results, scores)
 

@@ -11,15 +11,17 @@ from reviewlake.operators.validation import valid_files
 from reviewlake.session import cut_lineage
 
 KEYS = ("run_id", "path")
+# Issues of one answer: up to 2 ** 20.
+POSITION_BITS = 20
 # Fixed value: the model of a run that names none.
 DEFAULT_MODEL = "claude-sonnet-4-20250514"
 
 
 def model_issues(answers: DataFrame) -> DataFrame:
-    """Issues of all answers of a file, numbered in the order of (answer, position)."""
+    """Issues of all answers of a file; ``ordinal`` grows with (answer, position), so no file has to be numbered in one task."""
     parsed = responses.parse_findings(answers, keys=("run_id", "path", "response_id"))
-    place = Window.partitionBy(*KEYS).orderBy("response_id", "pos")
-    return parsed.withColumn("ordinal", F.row_number().over(place).cast("long")).drop("response_id", "pos")
+    ordinal = F.shiftleft(F.col("response_id").cast("long"), POSITION_BITS) + F.col("pos")
+    return parsed.withColumn("ordinal", ordinal).drop("response_id", "pos")
 
 
 def _stored(df: DataFrame) -> DataFrame:
