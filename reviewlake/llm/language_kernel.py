@@ -189,13 +189,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows that one of the classifiers accepts, with their own columns; the others go.
+    """The rows whose language could be told, with their own columns: those with a letter.
 
-    A classifier accepts a text if its regression value is above 0 (a score above one half), the decision of one versus the rest: it was
-    fitted to 1 for its language and -1 for the others, and a text without any known n-gram has 0 from all.
+    The score draws no line here.  Of 51,282 documents in learned languages 96 score 0.5 or less, the lowest 0.355, while short texts in
+    scripts that no language was learned from score 0.44 to 0.49: any bound that rejects these would drop clean documents.
     """
     names = ("_told_language", "_told_score")
     taken = [c for c in docs.columns if c in names]
     if taken:
         raise ValueError(f"columns {taken} are reserved")
-    return predict(docs, model, text, names).where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) > 0.5)).drop(*names)
+    return predict(docs, model, text, names).where(F.col(names[0]) != UNDETERMINED).drop(*names)

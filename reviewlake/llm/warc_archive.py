@@ -1,8 +1,8 @@
 """WARC archives compressed with Zstandard: one frame per record, the dictionary in a leading skippable frame.
 
 Writing: pages with equal payloads of at least LEAST_REVISIT bytes are stored once; the others become revisit records that
-name it.  Each partition becomes one archive.  Its task trains a dictionary on a bounded sample of its own records, puts it
-in front, and streams one frame per record.  Spark's own file writer puts the bytes down and commits them, so a lost or
+name it.  Each partition becomes archives of at most ARCHIVE_ROWS frames and about ARCHIVE_BYTES.  Its task trains a dictionary on a bounded sample of its own records, puts it
+in front of each, and streams one frame per record.  Spark's own file writer puts the bytes down and commits them, so a lost or
 repeated task leaves no half archive, on any file system that Spark can write to.  (That writer puts a separator after each
 row; it is an empty skippable frame, which every Zstandard reader passes over.)
 
@@ -35,6 +35,8 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_REVISIT = 100
 DATE = "2000-01-01T00:00:00Z"
 DICTIONARY_BYTES = 32 << 10
+ARCHIVE_ROWS = 1 << 16
+ARCHIVE_BYTES = 256 << 20
 SAMPLE_RECORDS = 256
 SAMPLE_BYTES = 2 << 20
 LEVEL = 6
@@ -87,9 +89,14 @@ def train(samples: list[bytes]) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """One archive per partition below ``path``; an empty table gives no record."""
+    """Archives of a bounded size below ``path``; an empty table gives no record.
+
+    Spark's writer starts a file after ARCHIVE_ROWS rows.  An archive that has its bytes before is filled up with rows
+    without bytes, so the next file begins with the dictionary too.
+    """
     rows = with_types(pages, page_id, url, html)
     small_batches(pages.sparkSession, 256)
+    most_rows, most_bytes = ARCHIVE_ROWS, ARCHIVE_BYTES
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
@@ -108,19 +115,26 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         dictionary = train([r[:SAMPLE_BYTES] for r in head])
         known = zstandard.ZstdCompressionDict(dictionary)
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=True, write_checksum=True)
-        out, size = [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary], 0
+        front = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
+        out, waiting, held, size = [], 0, 0, 0  # rows to give, their bytes; rows and bytes of the open archive
         for source in (head, coming):
             for r in source:
+                if held == most_rows or size >= most_bytes:
+                    out += [b""] * (most_rows - held)
+                    held = 0
+                if not held:
+                    out.append(front)
+                    waiting, held, size = waiting + len(front), 1, len(front)
                 out.append(compressor.compress(r))
-                size += len(out[-1])
-                if size >= SAMPLE_BYTES:
+                held, size, waiting = held + 1, size + len(out[-1]), waiting + len(out[-1])
+                if waiting >= SAMPLE_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                    out, size = [], 0
+                    out, waiting = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     written = rows.mapInArrow(frames, "value binary").select(F.col("value").cast("string"))
-    written.write.option("lineSep", EMPTY_FRAME).text(path)
+    written.write.options(lineSep=EMPTY_FRAME, maxRecordsPerFile=ARCHIVE_ROWS).text(path)
 
 
 def frames_of(data: memoryview) -> Iterator[tuple[int, bytes | None, str | None]]:

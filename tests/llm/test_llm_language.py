@@ -68,3 +68,23 @@ def test_edge_rows(edge, nothing):
     empty = lk.learn(nothing, F.lit(True))
     assert empty.languages == [] and lk.predict(nothing, empty).count() == 0
     assert {r.lang_pred for r in lk.predict(edge, empty).collect()} == {"und"}
+
+
+def test_clean_documents_stay(spark, sf_dir):
+    """Every document with a letter stays, whatever its score; texts without one go."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = lk.learn(docs, ~lk.held_out())
+    junk = spark.createDataFrame([(-3, "12 34 !?", None), (-4, None, None)], docs.schema)
+    kept = {r.doc_id for r in lk.accepted(docs.union(junk), model).collect()}
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    """More languages than the sample was made for: each is learned, from fewer texts."""
+    monkeypatch.setattr(lk, "TRAIN_TEXTS", 20)
+    rows = [(i * 100 + k, f"{chr(97 + i)}{chr(98 + i)} " * (k + 2), f"l{i:02}") for i in range(18) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lk.learn(docs, F.lit(True))
+    assert len(model.languages) == 18
+    found = lk.predict(docs, model).collect()
+    assert sum(r.lang_pred == r.lang for r in found) >= 0.9 * len(found)

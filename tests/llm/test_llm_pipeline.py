@@ -1,5 +1,5 @@
-import importlib.util
 import re
+import sys
 
 from edge_rows import SCHEMA, TEXTS
 from pyspark.sql import functions as F
@@ -71,6 +71,9 @@ def test_edge_rows(spark, sf_dir):
 def test_entry_works_without_the_subpackage(monkeypatch):
     import __spark_entry__ as entry
     assert {"pipeline", *queries.QUERIES} <= set(entry.queries())
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name: None if name == "reviewlake.llm" else find(name))
-    assert not {"pipeline", *queries.QUERIES} & set(entry.queries()) and "op8_warc" not in entry.oracle_sql()
+    with monkeypatch.context() as m:
+        m.setitem(sys.modules, "reviewlake.llm", None)  # as if it could not be imported
+        assert not {"pipeline", *queries.QUERIES} & set(entry.queries()) and "op8_warc" not in entry.oracle_sql()
+        assert "review_run" in entry.queries()
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(queries.QUERIES) <= set(entry.queries()) and "pipeline" not in entry.queries()

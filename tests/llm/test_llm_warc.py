@@ -94,3 +94,18 @@ def test_damaged_archives():
     front = struct.pack("<II", 0x184D2A5D, len(packed)) + packed
     known = zstandard.ZstdCompressionDict(b"some dictionary content")
     assert got(front + zstandard.ZstdCompressor(dict_data=known).compress(record())) == [None]
+
+
+@pytest.mark.parametrize("limits, archives", [((4, 1 << 20), 4), ((100, 1), 10), ((7, 1 << 20), 2)])
+def test_archives_have_a_bound(spark, monkeypatch, limits, archives):
+    """One partition of ten records makes several archives, each with the dictionary in front; all are read back."""
+    monkeypatch.setattr(warc_archive, "ARCHIVE_ROWS", limits[0])
+    monkeypatch.setattr(warc_archive, "ARCHIVE_BYTES", limits[1])
+    rows = [(i, f"http://a/{i}", f"<p>{i}</p>" * 50) for i in range(10)]
+    path = scratch_path(spark, "warc")
+    warc_archive.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    files = [f.content for f in spark.read.format("binaryFile").load(path).collect()]
+    assert len(files) == archives
+    assert all(struct.unpack("<I", f[:4])[0] == warc_archive.DICTIONARY_MAGIC for f in files)
+    got = warc_archive.read_archives(spark, path).collect()
+    assert all(r.problem is None for r in got) and sorted(bytes(r.payload).decode() for r in got) == sorted(h for _, _, h in rows)
