@@ -141,17 +141,23 @@ def unseen_keys(batch: DataFrame, path: str, batch_id: int, run: str, key: str,
     return first.join(held, F.col(key).eqNullSafe(F.col("_held")), "left_anti")
 
 
-def export_dataset(df: DataFrame, path: str, fmt: str = "jsonl") -> None:
+# Lines of one file of a text form: a compressed file is read by one task.
+FILE_LINES = 100_000
+
+
+def export_dataset(df: DataFrame, path: str, fmt: str = "jsonl", compression: str | None = None) -> None:
     """Write an export as JSON lines, Parquet, or one JSON document in text parts.
 
     No form has a bound: the parts of the document are written side by side, and its text is the parts one after another.
+    ``compression`` (such as gzip) is for the text forms, which repeat every name in every record.
     """
+    options = {"compression": compression or "none", "maxRecordsPerFile": FILE_LINES}
     if fmt == "jsonl":
-        df.write.mode("overwrite").json(path)
+        df.write.mode("overwrite").options(**options).json(path)
     elif fmt == "parquet":
         df.write.mode("overwrite").parquet(path)
     elif fmt == "json":
-        json_document(df).write.mode("overwrite").text(path)
+        json_document(df).write.mode("overwrite").options(**options).text(path)
     else:
         raise ValueError(f"unknown format {fmt!r}: use jsonl, json or parquet")
 

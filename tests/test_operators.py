@@ -1,6 +1,7 @@
 """Truth tables, edge cases and quirks that the corpora do not reach."""
 
 import itertools
+import gzip
 import json
 
 from pyspark.sql import functions as F
@@ -246,6 +247,25 @@ def test_export_formats(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
 
 
+def test_export_compressed(spark, tmp_path, monkeypatch):
+    """Compressed text forms hold what the plain ones hold, in files of a bounded number of lines, for a part of the bytes."""
+    monkeypatch.setattr(sinks, "FILE_LINES", 100)
+    df = spark.range(1000).selectExpr("id", "concat('v', id) AS x", "array(struct('accept' AS action)) AS human_feedback").repartition(2)
+    size = {}
+    for form, suffix in (("jsonl", "json"), ("json", "txt")):
+        for compression, end in ((None, suffix), ("gzip", f"{suffix}.gz")):
+            path = tmp_path / f"{form}-{compression}"
+            sinks.export_dataset(df, str(path), form, compression)
+            files = sorted(path.glob(f"part-*.{end}"))
+            size[form, compression] = sum(f.stat().st_size for f in files)
+            read = [gzip.decompress(f.read_bytes()).decode() if compression else f.read_text() for f in files]
+            assert max(text.count("\n") for text in read) <= 100
+            text = "".join(read)
+            rows = json.loads(text)["data"] if form == "json" else [json.loads(line) for line in text.splitlines()]
+            assert sorted(r["id"] for r in rows) == list(range(1000))
+        assert size[form, "gzip"] * 3 < size[form, None]
+
+
 def test_sarif(spark):
     rows = [("r", 1, "a.py", i, "high" if i % 2 else "info", "security", f"m{i % 3}", "fix" if i % 2 else "", 5 if i % 4 else None, None)
             for i in range(20)]
