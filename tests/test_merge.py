@@ -1,13 +1,14 @@
 """The greedy merge and the similarity join against plain-Python restatements."""
 
 import random
+import re
 import time
 
 import pytest
 
 from reviewlake.functions.similarity import KEYWORDS
 from reviewlake.operators.holders import FirstHolders
-from reviewlake.operators.merge import merge_batch_findings, merge_findings, merge_findings_tagged, similar_links
+from reviewlake.operators.merge import assignments, merge_batch_findings, merge_findings, merge_findings_tagged, similar_links
 
 FIELDS = "run_id string, path string, ordinal long, severity string, category string, message string, " \
          "line_number int, suggestion string"
@@ -169,3 +170,31 @@ def test_similar_links(spark):
         assert got.links == len(others), x
         head = next(y for k, y in rows if (y["path"], k, y["ordinal"]) == (x["path"], got.class_kind, got.class_ordinal))
         assert (head["line_number"] or 0, set(head["message"].lower().split(" "))) == (x["line_number"] or 0, set(x["message"].lower().split(" ")))
+
+
+def test_features_are_computed_once(spark):
+    """Once for the rule findings and once for the model findings in each plan, also below a join's test for NULL."""
+    r, m = frames(spark, *make(5, 5, 8))
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(assignments(r, m)).count("array_distinct(") == 2
+    assert plan(similar_links(r, m)).count("sha2(") == 2
+
+
+def test_merge_of_blanks_and_nulls(spark):
+    """Messages of blanks, with words between odd spaces, and without text or category."""
+    said = ["", " ", "a\u00a0b", "a b", " a  b ", "A B", None, "a b c"]
+    rows = [dict(run_id="r", path="p", ordinal=i, severity="low", category=c, message=x, line_number=None, suggestion="s", reasoning=f"w{i}")
+            for i, (x, c) in enumerate((x, c) for x in said for c in ("k", None, "-"))]
+    r, m = frames(spark, [], rows)
+    got = {x.ordinal: x.target for x in assignments(r, m).collect()}
+    words = [set(re.split("[\\s\u00a0]+", (x["message"] or "").lower())) for x in rows]
+    heads = []
+    for i, x in enumerate(rows):
+        hit = next((h for h in heads if rows[h]["category"] == x["category"]
+                    and len(words[h] & words[i]) / max(len(words[h]), len(words[i])) > 0.6), None)
+        if hit is None:
+            heads.append(i)
+        assert got[i] == (i if hit is None else hit), x

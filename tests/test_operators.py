@@ -1,8 +1,10 @@
 """Truth tables, edge cases and quirks that the corpora do not reach."""
 
-import itertools
 import gzip
+import itertools
 import json
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -393,3 +395,17 @@ def test_advice_and_effort_count_the_model(spark):
     assert rows["a"].strengths == ["short", "tested"]
     assert rows["a"].recommendations[:3] == ["split it", "name it", "Address high-severity issues first for maximum impact"]
     assert (rows["b"].issues, rows["b"].effort, rows["b"].strengths) == (0, 0, ["Code structure is clean"])
+
+
+def test_json_text_without_patterns(spark):
+    """The text between the first two fences, cut to the outermost braces, as a pattern would find it, without running one."""
+    rng = random.Random(3)
+    parts = ["```", "json", "`", " ", "\n", "{", "}", "a", "\u00a0", "\t", "\U0001f600"]
+    texts = ["", "```json{}```", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(500))]
+    out = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", responses.json_text(F.col("text")).alias("x"))
+    assert not re.search("(?i)rlike|regexp", out._jdf.queryExecution().optimizedPlan().toString())
+    for i, found in out.collect():
+        fenced = re.search(r"```(?:json)?\s*(.*?)\s*```", texts[i], re.S | re.A)
+        body = fenced[1] if fenced else texts[i]
+        braces = re.search(r"\{.*\}", body, re.S)
+        assert found == (braces[0] if braces else body.strip(" ")), texts[i]

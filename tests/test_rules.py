@@ -220,3 +220,16 @@ def test_large_custom_catalog(spark):
                 want[path, rid] = lines[0] if lines else None
     assert set(got) == set(want)
     assert sum(got[k] != want[k] for k in want) == 0
+
+
+def test_line_of_an_empty_match(spark):
+    """The first match counts, also an empty one at the start; a match over two lines has no line; no pattern is compiled for each row."""
+    df = spark.createDataFrame([("a\n\U0001f600b\nb",)], "content string")
+    line = {p: df.selectExpr(rules.first_match_line(p) + " AS n").first().n for p in ("^", "b", r"a\s+", r"a\s+\S")}
+    assert line == {"^": 1, "b": 2, r"a\s+": None, r"a\s+\S": None}
+    assert "split(" not in rules.first_match_line("b")
+
+
+def test_guards_belong_to_rules():
+    """Every guard of a pattern without a literal is that of a rule in the catalog: dates and quoted paths too."""
+    assert {r.id for r in builtin_rules() if r.pattern in rules.NECESSARY} == {"common-001", "common-002", "common-003"}
