@@ -3,11 +3,13 @@
 import random
 import re
 import time
+import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from reviewlake.functions.similarity import KEYWORDS
-from reviewlake.operators.holders import FirstHolders
+from reviewlake.functions.similarity import BUCKETS, KEYWORDS, bucket
+from reviewlake.operators.holders import FirstHolders, rarest_first
 from reviewlake.operators.merge import assignments, merge_batch_findings, merge_findings, merge_findings_tagged, similar_links
 
 FIELDS = "run_id string, path string, ordinal long, severity string, category string, message string, " \
@@ -198,3 +200,32 @@ def test_merge_of_blanks_and_nulls(spark):
         if hit is None:
             heads.append(i)
         assert got[i] == (i if hit is None else hit), x
+
+
+def test_merge_scans_the_findings_once(spark):
+    """The plan holds each side's findings once for the pass; findings do not meet their targets in a join."""
+    r, m = frames(spark, *make(5, 5, 8))
+    plan = merge_findings(r, m)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count("array_distinct(") == 2
+
+
+def test_repeated_ordinals(spark, batch_rows):
+    """Where an ordinal repeats, each of its rows goes wherever one of them goes; findings without a file are left out."""
+    base = dict(run_id="r", path="p", severity="low", category="a", line_number=None, suggestion="s")
+    models = [dict(base, ordinal=1, message="red ring", reasoning="x"), dict(base, ordinal=2, message="red ring", reasoning="y"),
+              dict(base, ordinal=2, message="red ring", reasoning="y"), dict(base, ordinal=2, message="red ring", reasoning="z"),
+              dict(base, ordinal=3, message="blue bolt", reasoning="w"), dict(base, ordinal=5, message="red ring", reasoning="v"),
+              dict(base, ordinal=5, message="blue bolt", reasoning="u"), dict(base, ordinal=1, path=None, message="red ring", reasoning="t")]
+    r, m = frames(spark, [], models)
+    got = {x.ordinal: (x.merged_count, x.suggestion.split("\n\nAI Analysis: ")) for x in merge_findings(r, m).collect()}
+    assert got == {1: (11, ["s", *"yyyyyyzzz", *"uv"]), 3: (2, ["s", "u", "v"])}
+
+
+def test_word_buckets_agree(spark):
+    """Tasks and Spark find the same bucket for a word."""
+    words = ["", "ring", "größe", " ", "数", "a'b"]
+    found = spark.createDataFrame([(w,) for w in words], "w string").select(bucket(F.col("w"))).collect()
+    assert [x[0] for x in found] == [zlib.crc32(w.encode()) % BUCKETS for w in words]
+    rarity = bytes(BUCKETS - 1) + b"\x01"
+    assert rarest_first("b a", rarity) == ["a", "b"]
