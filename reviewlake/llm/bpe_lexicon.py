@@ -39,10 +39,10 @@ from reviewlake.llm.common import small_batches, stored
 
 LEXICON_WORDS = 200_000
 COUNTED_WORDS = 200_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 LONG_WORD = 64
 PIECE_CHARS = 1 << 20
-CHUNKS_AT_ONCE = 1 << 19
+CHUNKS_AT_ONCE = 1 << 17
 ENCODED_ROWS = 1024
 SHORT_WORD = 40
 LATIN_END = "\u0250"  # letters below are the same in all versions of Unicode
@@ -318,7 +318,10 @@ def _chunks(text: str) -> list[str]:
 
 
 class Remembered:
-    """Results by key, in two generations of a bounded size: the older one goes when the newer one is full."""
+    """Results by key, in two generations of a bounded size: the older one goes when the newer one is full.
+
+    What is asked for again moves to the newer one, so that frequent keys stay though few are held.
+    """
 
     def __init__(self, size: int):
         self.size, self.newer, self.older = size, {}, {}
@@ -326,7 +329,10 @@ class Remembered:
     def known(self, keys: list[str]) -> dict[str, tuple[int, ...]]:
         """Those of the keys that are remembered."""
         newer, older = self.newer, self.older
-        return {k: v for k in keys if (v := newer.get(k) or older.get(k)) is not None}
+        found = {k: v for k in keys if (v := newer.get(k)) is not None}
+        again = {k: v for k in keys if k not in found and (v := older.get(k)) is not None}
+        self.keep(again)
+        return found | again
 
     def keep(self, found: dict[str, tuple[int, ...]]) -> None:
         for key, value in found.items():

@@ -118,3 +118,13 @@ def test_edge_rows(edge, nothing, library):
         want = ids_of(library, r.text or "")
         assert list(r.ids) == want and r.decoded == library.decode(want, skip_special_tokens=False) and r.private == "x"
     assert bpe_lexicon.tokenized(nothing, PATH).count() == 0
+
+
+def test_frequent_words_stay_remembered():
+    """A word that is asked for again and again stays, however many others pass."""
+    seen = bpe_lexicon.Remembered(4)
+    seen.keep({"often": (1,)})
+    for k in range(50):
+        assert seen.known(["often"]) == {"often": (1,)}
+        seen.keep({f"w{k}": (2,)})
+        assert len(seen.newer) + len(seen.older) <= 8
