@@ -22,7 +22,6 @@ import tempfile
 import types
 import unicodedata
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,14 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlake.llm.common import small_batches, stored
+from reviewlake.llm.common import small_batches, stored, text_bytes
 
 LEXICON_WORDS = 200_000
 COUNTED_WORDS = 200_000
-CACHED_WORDS = 100_000
+CACHED_WORDS = 50_000
+CACHED_CHUNKS = 100_000
 LONG_WORD = 64
 PIECE_CHARS = 1 << 20
-CHUNKS_AT_ONCE = 1 << 17
+CHUNKS_AT_ONCE = 1 << 18
 ENCODED_ROWS = 1024
 SHORT_WORD = 40
 LATIN_END = "\u0250"  # letters below are the same in all versions of Unicode
@@ -57,6 +57,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
+def of_process() -> dict:
+    """What tasks of one worker process leave for later ones."""
+    return sys.modules.setdefault("_bpe_encoders", types.ModuleType("_bpe_encoders")).__dict__
+
+
 class Vocabulary:
     """Merge rules, ids and special tokens of a word-end BPE tokenizer file."""
 
@@ -83,6 +88,14 @@ class Vocabulary:
         marks = [m for m in ".,;:!?" if self.words(f"ab{m}") == ["ab", m] and self.words("Ab") == ["Ab"]]
         self.marks = frozenset(marks)
 
+    @classmethod
+    def of_worker(cls, path: str) -> Vocabulary:
+        """The vocabulary of this worker process, read once for all its tasks."""
+        held = of_process()
+        if f"vocabulary {path}" not in held:
+            held[f"vocabulary {path}"] = cls(path)
+        return held[f"vocabulary {path}"]
+
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one word: the adjacent pair of lowest rank is merged first, the leftmost among equals."""
         return self.merge_many([word])[0]
@@ -186,6 +199,30 @@ class Vocabulary:
                 return [chunk[:-1], chunk[-1]]
         return self.words(chunk)
 
+    def split(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """The chunks in another order, the words of all of them in that order, and the number of words of each.
+
+        Those that :meth:`words_of` takes for Latin words without the pattern are found by their bytes, all at once.
+        """
+        data, ends = text_bytes(chunks)
+        before = np.concatenate([[0], data[:-1]]).astype(np.uint8)[:len(data)]
+        small = data | 0x20
+        two = (before >= 0xC3) & (before <= 0xC8) & (data & 0xC0 == 0x80) & ~((before == 0xC3) & ((data == 0x97) | (data == 0xB7)))
+        letter = ((small >= ord("a")) & (small <= ord("z"))) | ((data >= 0xC3) & (data <= 0xC8)) | two
+        others = np.diff(np.concatenate([[0], np.cumsum(~letter)])[ends])
+        size = np.diff(ends)
+        last = np.zeros(len(size), np.uint8)
+        last[size > 0] = data[ends[1:][size > 0] - 1]
+        marked = (others == 1) & (size > 1) & np.isin(last, [ord(m) for m in self.marks])
+        easy = (((others == 0) & (size > 0)) | marked) & bool(self.marks)
+        plain, hard = chunks.filter(pa.array(easy)), chunks.filter(pa.array(~easy))
+        found = [self.words(c) for c in hard.to_pylist()]
+        data, ends = text_bytes(plain)
+        starts = np.sort(np.concatenate([ends, ends[1:][marked[easy]] - 1])).astype(np.int32)
+        latin = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(np.ascontiguousarray(data))])
+        counts = np.concatenate([1 + marked[easy], np.fromiter(map(len, found), np.int64, len(found))])
+        return pa.concat_arrays([plain, hard]), pa.concat_arrays([latin, pa.array(list(chain.from_iterable(found)), pa.string())]), counts
+
     def normal(self, text: str) -> str:
         """NFC and lower case, each character by itself (a final sigma is not special)."""
         if not text.isascii():
@@ -195,6 +232,12 @@ class Vocabulary:
         return text.lower()
 
 
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``starts``, one behind the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+
 class Lexicon:
     """Minimal acyclic automaton from UTF-8 words to ids, in flat arrays of one memory-mapped file.
 
@@ -216,12 +259,11 @@ class Lexicon:
         # Arcs are sorted by state and label, so one number finds an arc.
         self.arc = np.repeat(np.arange(len(self.final), dtype=np.int64), np.diff(self.first)) * 256 + self.label
 
-    def ordinals(self, words: list[str]) -> np.ndarray:
+    def ordinals(self, words: pa.Array) -> np.ndarray:
         """Ordinal of each word, -1 for a word that isn't held; all words walk through the automaton side by side."""
-        raw = [w.encode("utf-8") for w in words]
-        data, length = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
-        start, out = np.cumsum(length) - length, np.full(len(raw), -1, np.int64)
-        walking, state, ordinal = np.arange(len(raw)), np.full(len(raw), self.root, np.int64), np.zeros(len(raw), np.int64)
+        data, ends = text_bytes(words)
+        start, length, out = ends[:-1], np.diff(ends), np.full(len(words), -1, np.int64)
+        walking, state, ordinal = np.arange(len(words)), np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
         for step in range(int(length.max(initial=0)) + 1):
             done = length[walking] == step
             accepted = done & (self.final[state] == 1)
@@ -236,13 +278,17 @@ class Lexicon:
             state, ordinal = self.target[arc].astype(np.int64), ordinal[held] + self.skipped[arc]
         return out
 
-    def get_many(self, words: list[str]) -> list[tuple[int, ...] | None]:
-        """The words' ids, None for a word that isn't held."""
-        starts, ids = self.starts, self.ids
-        return [None if k < 0 else tuple(ids[starts[k]:starts[k + 1]].tolist()) for k in self.ordinals(words).tolist()]
+    def get_many(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are held, the number of ids of each of these, and all their ids."""
+        ordinals = self.ordinals(words)
+        held = ordinals >= 0
+        first = self.starts[ordinals[held]].astype(np.int64)
+        sizes = self.starts[ordinals[held] + 1] - first
+        return held, sizes, gathered(self.ids, first, sizes)
 
     def get(self, word: str) -> tuple[int, ...] | None:
-        return self.get_many([word])[0]
+        held, _, ids = self.get_many(pa.array([word], pa.string()))
+        return tuple(ids.tolist()) if held[0] else None
 
     @classmethod
     def write(cls, path: str, entries: dict[str, tuple[int, ...]]) -> None:
@@ -317,6 +363,37 @@ def _chunks(text: str) -> list[str]:
     return SPACE.split(text) if SEPARATORS.search(text) else text.split()
 
 
+class Tally:
+    """Counts of strings; when there are more than twice ``size``, those with the ``size`` largest counts stay."""
+
+    def __init__(self, size: int):
+        self.size, self.rows = size, 0
+        self.parts = [pa.table({"key": pa.array([], pa.string()), "n": pa.array([], pa.int64())})]
+
+    def add(self, keys: pa.Array, times: np.ndarray | None = None) -> None:
+        if times is None:
+            found = keys.value_counts()
+            keys, times = found.field("values"), found.field("counts").to_numpy()
+        self.parts.append(pa.table({"key": keys, "n": pa.array(times, pa.int64())}))
+        self.rows += len(keys)
+        if self.rows > 4 * self.size:
+            self._fold()
+
+    def _fold(self) -> None:
+        whole = pa.concat_tables(self.parts).group_by("key", use_threads=False).aggregate([("n", "sum")])
+        whole = whole.rename_columns({"n_sum": "n"}).select(["key", "n"])
+        if len(whole) > 2 * self.size:
+            whole = whole.take(pc.select_k_unstable(whole, self.size, [("n", "descending")]))
+        self.parts, self.rows = [whole], len(whole)
+
+    def most(self, size: int) -> tuple[pa.Array, np.ndarray]:
+        """The strings that came more than once, at most the ``size`` most frequent ones, and their counts."""
+        self._fold()
+        whole = self.parts[0].filter(pc.greater(self.parts[0]["n"], 1))
+        whole = whole.take(pc.select_k_unstable(whole, size, [("n", "descending")])) if len(whole) > size else whole
+        return whole["key"].combine_chunks(), whole["n"].to_numpy()
+
+
 class Remembered:
     """Results by key, in two generations of a bounded size: the older one goes when the newer one is full.
 
@@ -342,6 +419,39 @@ class Remembered:
                 self.newer[key] = value
 
 
+class ChunkTable:
+    """Ids by chunk in flat arrays, which take some tens of bytes a chunk where a dict of tuples takes hundreds.
+
+    When it holds more than ``size`` chunks, the half of them asked for last stay.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.calls = size, 0
+        self.keys, self.ids = pa.array([], pa.string()), np.empty(0, np.int32)
+        self.sizes, self.asked = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def places(self, keys: pa.Array) -> np.ndarray:
+        """Place of each chunk, -1 for one that isn't held."""
+        self.calls += 1
+        at = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+        self.asked[at[at >= 0]] = self.calls
+        return at
+
+    def keep(self, keys: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Chunks that aren't held, with the number of ids of each and all their ids."""
+        short = pc.less_equal(pc.binary_length(keys), LONG_WORD).to_numpy(zero_copy_only=False)
+        self.keys = pa.concat_arrays([self.keys, keys.filter(pa.array(short))])
+        self.ids = np.concatenate([self.ids, ids[np.repeat(short, sizes)]])
+        self.sizes = np.concatenate([self.sizes, sizes[short]])
+        self.asked = np.concatenate([self.asked, np.full(int(short.sum()), self.calls)])
+        if len(self.keys) > self.size:
+            last = np.sort(np.argsort(self.asked, kind="stable")[len(self.keys) - self.size // 2:])
+            stays = np.zeros(len(self.keys), bool)
+            stays[last] = True
+            self.keys, self.ids = self.keys.take(pa.array(last)), self.ids[np.repeat(stays, self.sizes)]
+            self.sizes, self.asked = self.sizes[last], self.asked[last]
+
+
 class Encoder:
     """Exact encoder of one worker: remembered words, then lexicon, then merges.
 
@@ -349,14 +459,14 @@ class Encoder:
     """
 
     def __init__(self, vocabulary_path: str, lexicon_path: str | None):
-        self.vocabulary = Vocabulary(vocabulary_path)
+        self.vocabulary = Vocabulary.of_worker(vocabulary_path)
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
-        self.words, self.chunks = Remembered(CACHED_WORDS), Remembered(CACHED_WORDS)
+        self.words, self.chunks = Remembered(CACHED_WORDS), ChunkTable(CACHED_CHUNKS)
 
     @classmethod
     def of_worker(cls, vocabulary_path: str, lexicon: str | None) -> Encoder:
         """The encoder of this worker process, which later tasks find with its words remembered."""
-        held = sys.modules.setdefault("_bpe_encoders", types.ModuleType("_bpe_encoders")).__dict__
+        held = of_process()
         key = f"{vocabulary_path}|{lexicon}"
         if key not in held:
             for old in [k for k in held if "|" in k]:
@@ -364,50 +474,67 @@ class Encoder:
             held[key] = cls(vocabulary_path, SparkFiles.get(lexicon) if lexicon else None)
         return held[key]
 
-    def _ids_of_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        found = self.words.known(words)
-        new = [w for w in words if w not in found]
-        held = self.lexicon.get_many(new) if self.lexicon and new else [None] * len(new)
-        made = {w: ids for w, ids in zip(new, held) if ids is not None}
-        rest = [w for w, ids in zip(new, held) if ids is None]
-        made.update(zip(rest, self.vocabulary.merge_many(rest)))
+    def _ids_of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each of some distinct words, and all their ids in order."""
+        if self.lexicon:
+            held, held_sizes, held_ids = self.lexicon.get_many(words)
+        else:
+            held, held_sizes, held_ids = np.zeros(len(words), bool), np.empty(0, np.int64), np.empty(0, np.int32)
+        rest = words.filter(pa.array(~held)).to_pylist()
+        found = self.words.known(rest)
+        new = [w for w in rest if w not in found]
+        made = dict(zip(new, self.vocabulary.merge_many(new)))
         self.words.keep(made)
-        return found | made
-
-    def _ids_of_chunks(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """Ids of distinct chunks."""
-        found = self.chunks.known(chunks)
-        split = {c: self.vocabulary.words_of(c) for c in chunks if c not in found}
-        ids = self._ids_of_words(list(dict.fromkeys(chain.from_iterable(split.values()))))
-        made = {c: ids[w[0]] if len(w) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, w))) for c, w in split.items()}
-        self.chunks.keep(made)
-        return [found[c] if c in found else made[c] for c in chunks]
-
-    def _resolved(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [found[w] if w in found else made[w] for w in rest]
+        sizes = np.empty(len(words), np.int64)
+        sizes[held], sizes[~held] = held_sizes, np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.empty(int(sizes.sum()), np.int32)
+        of_held = np.repeat(held, sizes)
+        ids[of_held], ids[~of_held] = held_ids, np.fromiter(chain.from_iterable(lists), np.int32, len(ids) - len(held_ids))
+        return sizes, ids
+
+    def _ids_of_chunks(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct chunks in another order, the number of ids of each, and all their ids in that order."""
+        chunks, words, counts = self.vocabulary.split(chunks)
+        coded = words.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        sizes, ids = self._ids_of_words(coded.dictionary)
+        of_word = sizes[codes]
+        of_chunk = np.diff(np.concatenate([[0], np.cumsum(of_word)])[np.cumsum(counts)], prepend=0)
+        return chunks, of_chunk, gathered(ids, (np.cumsum(sizes) - sizes)[codes], of_word)
+
+    def _resolved(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunks in order, and the number of ids of each chunk."""
-        coded = pa.array(chunks, pa.string()).dictionary_encode()
-        codes, lists = coded.indices.to_numpy(), self._ids_of_chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
-        counts = sizes[codes]
-        ends = np.cumsum(counts)
-        places = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - counts), counts) + np.arange(int(counts.sum()))
-        return flat[places], counts
+        coded = chunks.dictionary_encode()
+        codes, table = coded.indices.to_numpy(), self.chunks
+        at = table.places(coded.dictionary)
+        new = at < 0
+        some, new_sizes, new_ids = self._ids_of_chunks(coded.dictionary.filter(pa.array(new)))
+        at[new] = len(table.sizes) + pc.index_in(coded.dictionary.filter(pa.array(new)), value_set=some).to_numpy()
+        sizes = np.concatenate([table.sizes, new_sizes])
+        ids = np.concatenate([table.ids, new_ids])
+        table.keep(some, new_sizes, new_ids)
+        at = at[codes]
+        return gathered(ids, (np.cumsum(sizes) - sizes)[at], sizes[at]), sizes[at]
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the number of ids of each text."""
         v, parts, sizes = self.vocabulary, [], np.zeros(len(texts), np.int64)
-        chunks: list[str] = []
-        owners: list[tuple[int, int]] = []
+        chunks: list[pa.Array] = []
+        owners: list[int] = []
+        waiting = 0
 
         def flush() -> None:
-            if not chunks:
+            nonlocal waiting
+            if not waiting:
                 return
-            ids, counts = self._resolved(chunks)
+            ids, counts = self._resolved(pa.concat_arrays(chunks))
             parts.append(ids)
-            np.add.at(sizes, np.repeat([o for o, _ in owners], [n for _, n in owners]), counts)
+            ends = np.cumsum(list(map(len, chunks)))
+            np.add.at(sizes, owners, np.diff(np.concatenate([[0], np.cumsum(counts)])[ends], prepend=0))
             chunks.clear()
             owners.clear()
+            waiting = 0
 
         for k, text in enumerate(texts):
             special = v.special and any(s in text for s in v.specials)
@@ -418,10 +545,10 @@ class Encoder:
                     sizes[k] += 1
                     continue
                 for piece in _pieces(part):
-                    new = _chunks(v.normal(piece))
-                    chunks += new
-                    owners.append((k, len(new)))
-                    if len(chunks) >= CHUNKS_AT_ONCE:
+                    chunks.append(pa.array(_chunks(v.normal(piece)), pa.string()))
+                    owners.append(k)
+                    waiting += len(chunks[-1])
+                    if waiting >= CHUNKS_AT_ONCE:
                         flush()
         flush()
         return np.concatenate([*parts, np.empty(0, np.int32)]), sizes
@@ -440,33 +567,27 @@ def frequent_words(docs: DataFrame, vocabulary_path: str, text: str = "text", wo
     small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, chunks, seen = Vocabulary(vocabulary_path), Counter(), Counter()
-        waiting: list[str] = []
-
-        def count() -> None:
-            found = pa.array(waiting, pa.string()).value_counts()
-            for chunk, n in zip(found.field("values").to_numpy(zero_copy_only=False).tolist(), found.field("counts").to_numpy().tolist()):
-                chunks[chunk] += n
-            waiting.clear()
-
+        v, chunks = Vocabulary.of_worker(vocabulary_path), Tally(COUNTED_WORDS)
+        waiting: list[pa.Array] = []
+        size = 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 for piece in _pieces(t or ""):
-                    waiting += _chunks(v.normal(piece))
-                    if len(waiting) >= CHUNKS_AT_ONCE:
-                        count()
-            if len(chunks) > 2 * COUNTED_WORDS:
-                kept = dict(chunks.most_common(COUNTED_WORDS))
-                chunks.clear()
-                chunks.update(kept)
-        count()
-        for chunk, n in chunks.items():
-            if n > 1:
-                for w in v.words_of(chunk):
-                    seen[w] += n
-        top = [(w, n) for w, n in seen.most_common(words) if n > 1 and len(w) <= LONG_WORD]
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()),
-                                          "n": pa.array([n for _, n in top], pa.int64())})
+                    waiting.append(pa.array(_chunks(v.normal(piece)), pa.string()))
+                    size += len(waiting[-1])
+                    if size >= CHUNKS_AT_ONCE:
+                        chunks.add(pa.concat_arrays(waiting))
+                        waiting, size = [], 0
+        if waiting:
+            chunks.add(pa.concat_arrays(waiting))
+        known, times = chunks.most(COUNTED_WORDS)
+        order, parts, sizes = v.split(known)
+        seen = Tally(words)
+        seen.add(parts, np.repeat(times[pc.index_in(order, value_set=known).to_numpy()], sizes))
+        top, times = seen.most(words)
+        short = pc.less_equal(pc.utf8_length(top), LONG_WORD)
+        yield pa.RecordBatch.from_arrays([top.filter(short), pa.array(times, pa.int64()).filter(short)], names=["word", "n"])
+        pa.default_memory_pool().release_unused()
 
     totals = stored(docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     scale = F.floor(F.log2("n")).cast("int")
@@ -525,6 +646,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", lexicon: s
             if decoded:
                 columns.append(joined_tokens(tokens, flat, ends))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(encoded, schema)
 

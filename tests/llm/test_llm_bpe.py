@@ -1,6 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from edge_rows import TEXTS
 from tokenizers import Tokenizer
@@ -128,3 +131,55 @@ def test_frequent_words_stay_remembered():
         assert seen.known(["often"]) == {"often": (1,)}
         seen.keep({f"w{k}": (2,)})
         assert len(seen.newer) + len(seen.older) <= 8
+
+
+def test_remembered_chunks_are_small(tmp_path):
+    """Chunks that the lexicon knows cost the worker a few tens of bytes each, in flat arrays."""
+    rng, path = random.Random(6), str(tmp_path / "lexicon.bin")
+    words = sorted({"".join(rng.choice("etaoinshrdlu") for _ in range(8)) for _ in range(20_000)})
+    bpe_lexicon.Lexicon.write(path, dict(zip(words, bpe_lexicon.Vocabulary(PATH).merge_many(words))))
+    encoder = bpe_lexicon.Encoder(PATH, path)
+    tracemalloc.start()
+    try:
+        ids, sizes = encoder.encode_many([" ".join(words), " ".join(words[::-1])])
+        del ids
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert sizes[0] == sizes[1] >= len(words) and held < 100 * len(words)
+
+
+def test_chunk_table_is_bounded_and_keeps_what_is_asked_for():
+    table = bpe_lexicon.ChunkTable(8)
+    table.places(pa.array([], pa.string()))
+    table.keep(pa.array(["often"]), np.array([2]), np.array([7, 8], np.int32))
+    for k in range(50):
+        at = int(table.places(pa.array(["often", "never"]))[0])
+        start = int(table.sizes[:at].sum())
+        assert table.ids[start:start + 2].tolist() == [7, 8] and table.sizes[at] == 2
+        table.keep(pa.array([f"w{k}", "x" * 65]), np.array([1, 1]), np.array([k, 0], np.int32))
+        assert len(table.keys) == len(table.sizes) == len(table.asked) <= 8 and len(table.ids) == table.sizes.sum()
+
+
+def test_split_of_many_as_one_by_one():
+    rng, v = random.Random(7), bpe_lexicon.Vocabulary(PATH)
+    parts = [*"abzAZ.,;:!?'1$_", "é", "×", "÷", "ß", "ɏ", "ɐ", "\u02b0", "ª", "中", "ii", "the", "s", "\u0301"]
+    chunks = list(dict.fromkeys(["", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) for _ in range(5000))]))
+    order, words, counts = v.split(pa.array(["cut", *chunks], pa.string()).slice(1))
+    assert sorted(order.to_pylist()) == sorted(chunks)
+    ends = np.cumsum(counts).tolist()
+    for chunk, a, b in zip(order.to_pylist(), [0, *ends], ends):
+        assert words[a:b].to_pylist() == v.words_of(chunk) == v.words(chunk), repr(chunk)
+
+
+def test_tally_counts_and_is_bounded():
+    rng, tally, want = random.Random(8), bpe_lexicon.Tally(50), {}
+    for _ in range(40):
+        keys = [f"k{min(rng.randint(0, 19), rng.randint(0, 19))}" for _ in range(30)] + [f"rare{rng.random()}" for _ in range(40)]
+        tally.add(pa.array(keys))
+        assert tally.rows <= 200
+        for k in keys:
+            want[k] = want.get(k, 0) + 1
+    keys, times = tally.most(5)
+    best = sorted(want.values())[-5:]
+    assert sorted(times.tolist()) == best and all(want[k] == n for k, n in zip(keys.to_pylist(), times.tolist()))
