@@ -5,10 +5,12 @@ import re
 import time
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.functions.similarity import BUCKETS, KEYWORDS, bucket
+from reviewlake.operators import holders
 from reviewlake.operators.holders import FirstHolders, rarest_first
 from reviewlake.operators.merge import assignments, merge_batch_findings, merge_findings, merge_findings_tagged, similar_links
 
@@ -229,3 +231,28 @@ def test_word_buckets_agree(spark):
     assert [x[0] for x in found] == [zlib.crc32(w.encode()) % BUCKETS for w in words]
     rarity = bytes(BUCKETS - 1) + b"\x01"
     assert rarest_first("b a", rarity) == ["a", "b"]
+
+
+def test_small_batches_are_put_together(monkeypatch):
+    """Batches of a few rows, as a session may set them, make few larger ones; rows of one finding stay together."""
+    rows = pa.RecordBatch.from_pydict({"k": [i // 3 for i in range(1000)], "x": [str(i) for i in range(1000)]})
+    small = [rows.slice(i, 7) for i in range(0, 1000, 7)]
+    assert [b.num_rows for b in holders.whole_findings(iter(small), ["k"])] == [1000]
+    monkeypatch.setattr(holders, "ROWS_AT_ONCE", 100)
+    cut = list(holders.whole_findings(iter([rows.slice(0, 0), *small]), ["k"]))
+    assert 8 <= len(cut) <= 12 and pa.Table.from_batches(cut).to_pylist() == rows.to_pylist()
+    assert all(a["k"][-1].as_py() < b["k"][0].as_py() for a, b in zip(cut, cut[1:]))
+    monkeypatch.setattr(holders, "BYTES_AT_ONCE", 1)
+    cut = list(holders.whole_findings(iter(small), ["k"]))
+    assert len(cut) > 100 and pa.Table.from_batches(cut).to_pylist() == rows.to_pylist()
+    assert all(a["k"][-1].as_py() < b["k"][0].as_py() for a, b in zip(cut, cut[1:]))
+
+
+def test_places_of_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(holders, "REMEMBERED", 5)
+    rng, rarity = random.Random(9), bytes(range(256))
+    places = holders.Places(rarity)
+    for _ in range(200):
+        words = [f"w{rng.randint(0, 30)}" for _ in range(4)]
+        assert places.rarest_first(" ".join(words)) == sorted(words, key=lambda w: (rarity[zlib.crc32(w.encode()) % 256], w))
+        assert len(places) <= 5
