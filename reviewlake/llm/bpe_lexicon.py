@@ -38,11 +38,11 @@ from reviewlake.llm.common import small_batches, stored, text_bytes
 
 LEXICON_WORDS = 200_000
 COUNTED_WORDS = 200_000
-CACHED_WORDS = 50_000
-CACHED_CHUNKS = 100_000
+CACHED_WORDS = 20_000
+CACHED_CHUNKS = 60_000
 LONG_WORD = 64
 PIECE_CHARS = 1 << 20
-CHUNKS_AT_ONCE = 1 << 18
+CHUNKS_AT_ONCE = 1 << 16
 ENCODED_ROWS = 1024
 SHORT_WORD = 40
 LATIN_END = "\u0250"  # letters below are the same in all versions of Unicode
