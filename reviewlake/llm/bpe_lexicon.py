@@ -596,7 +596,7 @@ def frequent_words(docs: DataFrame, vocabulary_path: str, text: str = "text", wo
     while least > 0 and held + sizes.get(least - 1, 0) <= words:
         least -= 1
         held += sizes.get(least, 0)
-    return [r.word for r in totals.where(scale >= least).orderBy(F.desc("n"), "word").collect()]
+    return totals.where(scale >= least).orderBy(F.desc("n"), "word").select("word").toArrow().column("word").to_pylist()
 
 
 def ship_lexicon(spark: SparkSession, words: list[str], vocabulary_path: str) -> str:

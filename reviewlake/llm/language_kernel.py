@@ -8,8 +8,8 @@ The sums over landmarks fold into one weight per n-gram and language, which is t
 a batch of texts is scored by one matrix product (texts x n-grams) @ (n-grams x languages).
 
 The model is fitted on a bounded sample: TRAIN_PER_LANGUAGE texts of each language, a quarter of them landmarks; with more than
-TRAIN_TEXTS / TRAIN_PER_LANGUAGE languages each has fewer texts, at least one, and none is left out.  Their n-gram sets travel as bitmaps of a
-fixed size.  Every text is scored whole.
+TRAIN_TEXTS / TRAIN_PER_LANGUAGE languages each has fewer texts, at least one, and none is left out.  Their n-gram sets are written as bitmaps
+of a fixed size; the vocabulary is counted in the executors, and only its part of each set goes to the driver.  Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlake.llm.common import drawn, small_batches
+from reviewlake.llm.common import drawn, small_batches, stored
 from reviewlake.operators.skew import first_rows
 
 ORDERS = (1, 2, 3, 4)
@@ -37,6 +38,7 @@ PARTS = 64
 RIDGE = 1e-2
 PIECE_CHARS = 1 << 18
 BATCH_TEXTS = 64
+FIT_TEXTS = 256
 UNDETERMINED = "und"
 
 _SPACE = len(ORDERS) << HASH_BITS
@@ -88,28 +90,60 @@ class Model:
     weights: np.ndarray
 
 
-def fit(bitmaps: list[bytes], labels: list[str], landmarks: list[bool]) -> Model:
-    """Kernel ridge regression on Nystroem features from packed n-gram bitmaps."""
+def fit(bitmaps: list[bytes], labels: list[str], landmarks: list[bool], chosen: np.ndarray | None = None) -> Model:
+    """Kernel ridge regression on Nystroem features from packed n-gram bitmaps.
+
+    ``chosen`` are the hashed n-grams that the bits stand for; without it they stand for all, and the most frequent are taken.
+    """
     languages = sorted(set(labels))
-    counts = np.zeros(_SPACE, np.int32)
-    for b, is_landmark in zip(bitmaps, landmarks):
-        if is_landmark:
-            counts += np.unpackbits(np.frombuffer(b, np.uint8))
-    order = np.argsort(-counts, kind="stable")[:VOCABULARY]
-    chosen = np.sort(order[counts[order] > 0])
+    if chosen is None:
+        counts = np.zeros(_SPACE, np.int32)
+        for b, is_landmark in zip(bitmaps, landmarks):
+            if is_landmark:
+                counts += np.unpackbits(np.frombuffer(b, np.uint8))
+        order = np.argsort(-counts, kind="stable")[:VOCABULARY]
+        chosen = np.sort(order[counts[order] > 0])
+        bitmaps = [_narrow(b, chosen) for b in bitmaps]
     table = np.full(_SPACE, len(chosen), np.int32)
     table[chosen] = np.arange(len(chosen))
     if not languages:
         return Model([], table, np.zeros((len(chosen), 0), np.float32))
-    x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8))[chosen] for b in bitmaps]).astype(np.float64)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    g = x[np.asarray(landmarks, bool)]
-    across, within = x @ g.T, g @ g.T
+
+    def features(part: list[bytes]) -> np.ndarray:
+        bits = np.frombuffer(b"".join(part), np.uint8).reshape(len(part), (len(chosen) + 7) // 8)
+        x = np.unpackbits(bits, axis=1, count=len(chosen)).astype(np.float64)
+        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        return x
+
+    g = features([b for b, is_landmark in zip(bitmaps, landmarks) if is_landmark])
+    across = np.concatenate([features(bitmaps[at:at + FIT_TEXTS]) @ g.T for at in range(0, len(bitmaps), FIT_TEXTS)])
+    within = g @ g.T
     y = np.where(np.asarray(labels)[:, None] == np.asarray(languages)[None, :], 1.0, -1.0)
     normal = across.T @ across + RIDGE * within + 1e-8 * np.trace(within) / len(g) * np.eye(len(g))
     return Model(languages, table, (g.T @ np.linalg.solve(normal, across.T @ y)).astype(np.float32))
 
 
+def _narrow(bitmap: bytes, chosen: np.ndarray) -> bytes:
+    """The bits of the chosen n-grams."""
+    return np.packbits(np.unpackbits(np.frombuffer(bitmap, np.uint8))[chosen]).tobytes()
+
+
+def vocabulary(landmarks: DataFrame) -> np.ndarray:
+    """The VOCABULARY n-grams that most of the landmarks have, in order; of equally frequent ones the smaller hash."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.zeros(_SPACE, np.int64)
+            for b in batch.column(0):
+                counts += np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8))
+            slots = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[slots], pa.int64())], names=["slot", "n"])
+
+    counts = landmarks.select("bits").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    most = counts.orderBy(F.desc("n"), "slot").limit(VOCABULARY).select("slot").toArrow()
+    return np.sort(most.column("slot").to_numpy())
+
+
 def learn(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a bounded sample of the rows where ``usable`` holds: per language those with the smallest id hashes.
 
@@ -139,13 +173,20 @@ def learn(docs: DataFrame, usable, doc_id: str = "doc_id", text: str = "text", l
     sample = docs.where(F.col(doc_id).isin(chosen) & usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sample = sample.select(F.xxhash64(F.col(doc_id).cast("string")).alias("at"), F.col(lang).alias("label"), text)
     sample = first_rows(sample, ["label"], [F.col("at"), F.col(text)], each)
-    got = sorted(map(tuple, sample.mapInArrow(sets, "at long, label string, bits binary").collect()))
-    met: dict[str, int] = {}
-    landmarks = []
-    for _, label, _ in got:
-        met[label] = met.get(label, 0) + 1
-        landmarks.append(met[label] <= max(1, each * LANDMARKS_PER_LANGUAGE // TRAIN_PER_LANGUAGE))
-    return fit([bytes(b) for _, _, b in got], [label for _, label, _ in got], landmarks)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("at", "bits"))  # of at most ``each`` rows a language
+    sample = stored(sample.mapInArrow(sets, "at long, label string, bits binary").withColumn("place", place), "language-sample")
+    is_landmark = F.col("place") <= max(1, each * LANDMARKS_PER_LANGUAGE // TRAIN_PER_LANGUAGE)
+    grams = vocabulary(sample.where(is_landmark))
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = pa.array([_narrow(b.as_buffer(), grams) for b in batch.column(4)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], bits], names=batch.schema.names)
+
+    got = sample.select("at", "label", "place", is_landmark.alias("landmark"), "bits").mapInArrow(
+        narrowed, "at long, label string, place int, landmark boolean, bits binary").toArrow()
+    got = got.take(pc.sort_indices(got, [("at", "ascending"), ("label", "ascending"), ("place", "ascending")]))
+    return fit(got.column("bits").to_pylist(), got.column("label").to_pylist(), got.column("landmark").to_pylist(), grams)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -252,6 +252,13 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of known components with the links (a, b) added; what is connected already goes on as links to its root."""
+    if links.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, kept), one row per document.
 
@@ -302,8 +309,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_shingle = shown.alias("x").join(
         shown.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & apart & _possible("x", "y", percent)).select(*nodes)
     open_pairs = by_bucket.union(by_shingle).distinct()
-    more = _similar(open_pairs.join(stars, ["a", "b"], "left_anti"), about, sets, percent)
-    roots = components(links.union(stored(more, "links")))
+    more = stored(_similar(open_pairs.join(stars, ["a", "b"], "left_anti"), about, sets, percent), "links")
+    roots = extended(roots, more)
     placed = classes.select("node", "id").join(roots, "node", "left").select(
         "node", "id", F.coalesce("root", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("id").alias("component_id"))

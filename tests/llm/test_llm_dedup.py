@@ -109,3 +109,25 @@ def test_edge_rows(edge, nothing):
     assert kept.columns == edge.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 8, 9]
     assert minmax_dedup.one_of_each(nothing).count() == 0
+
+
+def test_components_again_only_for_more_links(spark, monkeypatch):
+    """Links to the heads of the buckets connect a pair; the components are not looked for a second time without others."""
+    calls, found = [], minmax_dedup.components
+    monkeypatch.setattr(minmax_dedup, "components", lambda edges: calls.append(1) or found(edges))
+    words = [f"w{k}" for k in range(60)]
+    docs = list(enumerate([" ".join(words), " ".join([*words, "end"]), "something else that nobody copies here"]))
+    got = minmax_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(docs, 85)
+    assert sorted(r.component_id for r in got) == [0, 0, 2] and len(calls) == 1
+
+
+def test_more_links_extend_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    rooted = lambda df: {r.node: r.root for r in df.collect()}
+    want = rooted(minmax_dedup.components(table(edges)))
+    first = minmax_dedup.components(table(edges[:180]))
+    assert rooted(first) != want == rooted(minmax_dedup.extended(first, table(edges[180:])))
+    assert rooted(minmax_dedup.extended(first, table([]))) == rooted(first)

@@ -88,3 +88,28 @@ def test_many_languages_share_the_sample(spark, monkeypatch):
     assert len(model.languages) == 18
     found = lk.predict(docs, model).collect()
     assert sum(r.lang_pred == r.lang for r in found) >= 0.9 * len(found)
+
+
+def test_driver_gets_the_vocabulary_only(spark, monkeypatch):
+    """What goes to the driver is one bit per chosen n-gram and text; the model is that of the whole sets."""
+    monkeypatch.setattr(lk, "VOCABULARY", 300)
+    words = ["alpha", "beta", "straße", "naïve", "delta", "gamma", "o'neil", "tapis", "dans", "the"]
+    rows = [(i, " ".join(words[(i * k + k) % 10] + str(k) * (i % 3) for k in range(1, 9)), f"l{i % 3}") for i in range(60)]
+    rows += [(7, "the same id, another text", "l1"), (7, "the same id, a third text", "l1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, fit = [], lk.fit
+    monkeypatch.setattr(lk, "fit", lambda *a: got.append(a) or fit(*a))
+    model = lk.learn(docs, F.lit(True))
+    assert len(got[0][0]) == len(rows) and max(map(len, got[0][0])) <= 38
+    hashed = docs.select(F.xxhash64(F.col("doc_id").cast("string")).alias("at"), "lang", "text").collect()
+    whole = []
+    for at, label, text in hashed:
+        seen = np.zeros(lk._SPACE, bool)
+        lk.present(text, seen)
+        whole.append((at, label, np.packbits(seen).tobytes()))
+    whole.sort()
+    met = {}
+    marks = [met.setdefault(label, []).append(0) or len(met[label]) <= lk.LANDMARKS_PER_LANGUAGE for _, label, _ in whole]
+    want = fit([b for _, _, b in whole], [label for _, label, _ in whole], marks)
+    assert model.languages == want.languages and (model.table == want.table).all()
+    assert np.allclose(model.weights, want.weights, atol=1e-6)
