@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +43,64 @@ def append_feedback(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def _file_writer(folder: str, key: str, most: int):
+    """Function for tasks: sorted (name, text) rows to files ``<key>=<name>.txt`` in folders of ``most`` files.
+
+    A folder is filled under a hidden name and renamed when the task has all its rows, so a task that is tried again, or twice at
+    once, leaves one set of files.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        part, attempt = task.partitionId(), task.taskAttemptId()
+        last, file, files, folders = None, None, 0, []
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name != last:
+                    if file:
+                        file.close()
+                    if files % most == 0:
+                        done = f"{part:05d}-{files // most:05d}"
+                        folders.append((f"{folder}/_{done}-{attempt}", f"{folder}/folder={done}"))
+                        os.makedirs(folders[-1][0])
+                    file, last, files = open(f"{folders[-1][0]}/{key}={name}.txt", "wb"), name, files + 1
+                if text.is_valid:
+                    file.write(text.as_buffer())
+                file.write(b"\n")
+        if file:
+            file.close()
+        for filled, done in folders:
+            try:
+                os.rename(filled, done)
+            except OSError:  # another try of this task was first
+                if not os.path.isdir(done):
+                    raise
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return write
+
+
+def write_text_files(df: DataFrame, path: str, key: str, value: str) -> None:
+    """One text file per whole-number ``key`` and partition, at ``<path>/folder=…/<key>=…``; rows of a key are lines of its file.
+
+    Hadoop's local file system starts two processes for the rights of each file that it makes, and Spark's committer renames one
+    folder after another in the driver.  So tasks write to a ``file:`` path themselves; elsewhere Spark writes, a folder per task.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at = store.makeQualified(target).toUri()
+    if at.getScheme() == "file":
+        if store.exists(target):
+            raise FileExistsError(path)
+        store.mkdirs(target)
+        name = F.coalesce(F.col(key).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+        rows = df.sortWithinPartitions(key).select(name, F.col(value).cast("string"))
+        rows.mapInArrow(_file_writer(at.getPath(), key, FILES_PER_FOLDER), "files long").agg(F.sum("files")).collect()
+    else:
+        rows = df.select(F.spark_partition_id().alias("folder"), key, F.col(value).alias("value"))
+        rows.write.partitionBy("folder", key).text(path)
+
+
 def upsert_last(existing: DataFrame, new: DataFrame, key: str = "run_id", order: str = "ingest_seq") -> DataFrame:
     """One row per key: the last write wins.
 
@@ -64,6 +126,9 @@ def replace_keys(existing: DataFrame, new: DataFrame, key: str = "record_id") ->
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+# Files of a folder: few enough to be listed by one task of many.
+FILES_PER_FOLDER = 1000
+
 # Partitions of a keyed table, fixed when it is made: choose it so that one partition is some tasks' work.
 BUCKETS = 16
 

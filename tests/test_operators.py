@@ -6,6 +6,9 @@ import json
 import random
 import re
 
+import pyarrow as pa
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from reviewlake.functions import language as lang
@@ -349,6 +352,88 @@ def test_source_files(spark, tmp_path):
     assert sorted((r.path.rsplit("/", 1)[1], r.content) for r in out) == [("a.py", "one\ntwo"), ("b.sql", "x")]
 
 
+def test_source_files_below_another_path(spark, tmp_path):
+    """Paths below another one aren't listed again, texts aren't shuffled to find twins, hidden and missing paths keep their meaning."""
+    for name in ("a.py", "d/b.sql", "d/e/c.sql", "_h/x.sql"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    top, plain, hidden = str(tmp_path), ["a.py", "b.sql", "c.sql"], ["a.py", "b.sql", "c.sql", "x.sql"]
+    for paths, left, want in (
+        ([top, f"{top}/d/b*", f"{top}/d", f"{top}/a.py", f"{top}/d/e/"], [top], plain), ([top, f"{top}/_h"], [top, f"{top}/_h"], hidden),
+        ([top, f"{top}/*"], [top, f"{top}/*"], hidden), ([top, f"file://{top}"], [top, f"file://{top}"], plain),
+        ([top, f"{top}/d/{{b,e/c}}.sql"], [top, f"{top}/d/{{b,e/c}}.sql"], plain), ([f"{top}/a.py"] * 2, [f"{top}/a.py"] * 2, ["a.py"]),
+    ):
+        found = tables.scan_source_files(spark, paths)
+        assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == want, paths
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString(), paths
+        assert tables._separate(spark, paths) == left
+    for missing in (f"{top}/q*", f"{top}/d/zz", f"{top}/a.py/a*"):
+        with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+            tables.scan_source_files(spark, [top, missing])
+
+
+def test_small_source_files_share_tasks(spark, tmp_path):
+    for n in range(200):
+        (tmp_path / f"{n}.py").write_text("x")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    try:
+        found = tables.scan_source_files(spark, [str(tmp_path)])
+        assert found.count() == 200 and found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+        assert spark.conf.get("spark.sql.files.openCostInBytes") != tables.SMALL_FILES["spark.sql.files.openCostInBytes"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_text_files(spark, tmp_path, monkeypatch):
+    """Files as Spark's writer makes them, one per key and partition, but in few folders and not one by one through Hadoop's local files."""
+    monkeypatch.setattr(sinks, "FILES_PER_FOLDER", 2)
+    rows = [(k, f"é{k}") for k in range(9) for _ in range(2)] + [(None, "n"), (3, None), (None, None), (-4, "a\nb"), (7, "")]
+    df = spark.createDataFrame(rows, "k long, v string").coalesce(2).cache()
+    spark.conf.set("fs.viewfs.mounttable.files.link./top", f"file://{tmp_path}")
+    try:
+        stores = {"local": str(tmp_path / "local"), "uri": f"file://{tmp_path}/uri", "other": "viewfs://files/top/other"}
+        for path in stores.values():
+            sinks.write_text_files(df, path, "k", "v")
+        df.select("k", F.col("v").alias("value")).write.partitionBy("k").text(str(tmp_path / "spark/folder=0"))
+
+        def read(path):
+            found = tables.scan_source_files(spark, [path, f"{path}/folder=*/k=*"])
+            return sorted((re.search("k=([^/.]*)", r.path)[1], sorted(r.content.split("\n"))) for r in found.collect())
+
+        want = read(str(tmp_path / "spark"))
+        assert len(want) >= 11 and all(read(path) == want for path in stores.values())
+    finally:
+        spark.conf.unset("fs.viewfs.mounttable.files.link./top")
+        df.unpersist()
+    folders = sorted(p.name for p in (tmp_path / "local").iterdir())
+    assert all(re.fullmatch(r"folder=0000[01]-\d{5}", f) for f in folders) and not list((tmp_path / "local").rglob("*.crc"))
+    assert max(len(list((tmp_path / "local" / f).iterdir())) for f in folders) == 2
+    with pytest.raises(FileExistsError):
+        sinks.write_text_files(df, stores["local"], "k", "v")
+
+
+def test_text_files_of_a_task_tried_twice(spark, tmp_path, monkeypatch):
+    """A second try of a task, after the first has renamed its folders, adds no file."""
+    class Task:
+        tries = 0
+
+        def partitionId(self):
+            return 0
+
+        def taskAttemptId(self):
+            Task.tries += 1
+            return Task.tries
+
+    monkeypatch.setattr(sinks.TaskContext, "get", staticmethod(Task))
+    batch = pa.RecordBatch.from_pydict({"k": ["1", "1", "2", "3"], "v": ["a", "b", None, "c"]})
+    for _ in range(2):
+        assert next(sinks._file_writer(str(tmp_path), "k", 2)(iter([batch]))).to_pydict() == {"files": [3]}
+    found = {r.path.rsplit("/", 1)[1]: r.content for r in tables.scan_source_files(spark, [str(tmp_path)]).collect()}
+    assert found == {"k=1.txt": "a\nb\n", "k=2.txt": "\n", "k=3.txt": "c\n"}
+    assert len(list(tmp_path.glob("folder=*/*"))) == 3
+
+
 def test_validation_reasons(spark):
     df = spark.createDataFrame([("", "p", "w", None), ("r", None, "", "ok"), ("r", "p", "w", "partial")],
                                "repository string, project_id string, workflow_run_id string, status string")
