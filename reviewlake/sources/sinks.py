@@ -82,7 +82,7 @@ def _file_writer(folder: str, key: str, most: int):
 def write_text_files(df: DataFrame, path: str, key: str, value: str) -> None:
     """One text file per whole-number ``key`` and partition, at ``<path>/folder=…/<key>=…``; rows of a key are lines of its file.
 
-    Hadoop's local file system starts two processes for the rights of each file that it makes, and Spark's committer renames one
+    Hadoop's local file system starts processes for the rights of each file that it makes, and Spark's committer renames one
     folder after another in the driver.  So tasks write to a ``file:`` path themselves; elsewhere Spark writes, a folder per task.
     """
     spark = df.sparkSession
